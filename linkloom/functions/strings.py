@@ -151,13 +151,21 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(java_trim(c), F.lit(""))
 
 
+# fixed value: the white space that a browser trims
+BROWSER_SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def browser_trim(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{BROWSER_SPACE}]+|[{BROWSER_SPACE}]+$", "")
+
+
 def parse_tag_list(text: Column) -> Column:
     """Comma list to trimmed, non-empty names."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    return clean_tag_array(F.split(text, ","))
 
 
 def clean_tag_array(tags: Column) -> Column:
-    return F.filter(F.transform(tags, F.trim), lambda t: t != "")
+    return F.filter(F.transform(tags, browser_trim), lambda t: t != "")
 
 
 def default_tags(own: Column, defaults: Column) -> Column:

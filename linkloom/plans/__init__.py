@@ -12,4 +12,4 @@ def catalog():
     return QUERIES
 
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "relational", "related"]

@@ -9,6 +9,13 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# fixed values: the five order priorities, filed as collection names
+COLLECTION_NAMES = [
+    (1, "Work/1-URGENT"), (2, "Work/2-HIGH"), (3, "Reading/Later/3-MEDIUM"),
+    (4, "Reading/Later/4-NOT SPECIFIED"), (5, "5-LOW"),
+]
 
 VIEW_SQL: dict[str, str] = {
     "v_users": """
@@ -101,7 +108,15 @@ class Tables:
     links = cached_property(lambda self: self.view("v_links"))
     tags = cached_property(lambda self: self.view("v_tags"))
     link_tags = cached_property(lambda self: self.view("v_link_tags"))
-    collections = cached_property(lambda self: self.view("v_collections"))
+    @cached_property
+    def collections(self) -> DataFrame:
+        """Five collections per customer, exploded per row instead of a cross join with orders."""
+        cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")) for k, name in COLLECTION_NAMES])
+        rows = self.base("customer").select("c_custkey", F.explode(cells).alias("c"))
+        slug = F.lower(F.replace(F.replace(F.col("c.name"), F.lit("/"), F.lit("-")), F.lit(" "), F.lit("-")))
+        return rows.select((F.col("c_custkey") * 10 + F.col("c.k")).alias("id"), F.col("c.name").alias("name"),
+                           slug.alias("slug"), F.col("c_custkey").alias("user_id"))
+
     users = cached_property(lambda self: self.view("v_users"))
     export_jobs = cached_property(lambda self: self.view("v_export_jobs"))
     doc_links = cached_property(lambda self: self.view("v_doc_links"))
