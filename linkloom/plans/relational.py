@@ -226,12 +226,12 @@ WITH kept AS (SELECT * FROM v_links WHERE status <> 'failed')
 SELECT 'link_tags' AS child, link_id AS parent_id FROM v_link_tags WHERE link_id NOT IN (SELECT id FROM kept)
 UNION ALL SELECT 'export_jobs', link_id FROM v_export_jobs WHERE link_id NOT IN (SELECT id FROM kept)
 UNION ALL SELECT 'links', collection_id FROM kept WHERE collection_id IS NOT NULL
-  AND collection_id NOT IN (SELECT id FROM v_collections WHERE id % 10 <> 3)""")
+  AND collection_id NOT IN (SELECT id FROM v_collections WHERE name <> 'Reading/Later/3-MEDIUM')""")
 def orphan_anti(t):
     kept = t.links.where(F.col("status") != "failed")
     gone = [("link_tags", rel.orphans(t.link_tags, "link_id", kept), "link_id"),
             ("export_jobs", rel.orphans(t.export_jobs, "link_id", kept), "link_id"),
-            ("links", rel.orphans(kept, "collection_id", t.collections.where(F.col("id") % 10 != 3)), "collection_id")]
+            ("links", rel.orphans(kept, "collection_id", t.collections.where(F.col("name") != "Reading/Later/3-MEDIUM")), "collection_id")]
     parts = [df.select(F.lit(name).alias("child"), F.col(key).alias("parent_id")) for name, df, key in gone]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 

@@ -179,9 +179,9 @@ def parse_tags(t):
 
 @query("default_tags", """
 SELECT l.id, coalesce(string_agg(lt.tag_id::VARCHAR, '|' ORDER BY lt.tag_id), 'inbox|later') AS tags
-FROM v_links l LEFT JOIN v_link_tags lt ON lt.link_id = l.id AND lt.tag_id % 2 = 0 GROUP BY l.id""")
+FROM v_links l LEFT JOIN v_link_tags lt ON lt.link_id = l.id GROUP BY l.id""")
 def default_tags(t):
-    own = (t.link_tags.where(F.col("tag_id") % 2 == 0).groupBy(F.col("link_id").alias("id"))
+    own = (t.link_tags.groupBy(F.col("link_id").alias("id"))
            .agg(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")).alias("own")))
     both = t.links.select("id").join(own, "id", "left")
     tags = strings.default_tags(F.col("own"), F.array(F.lit("inbox"), F.lit("later")))
