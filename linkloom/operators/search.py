@@ -24,16 +24,19 @@ WORD = r"\p{L}\p{Nd}"
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), f"[^{WORD}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), f"[^{WORD}]+"), "")
 
 
 def _field_tokens(docs: DataFrame) -> DataFrame:
-    """One row per document and field with the field's terms; the lists stay inside their row."""
-    cells = F.array(
-        F.struct(F.lit("title").alias("field"), tokens(F.col("title")).alias("terms")),
-        F.struct(F.lit("content").alias("field"), tokens(F.col("content")).alias("terms")),
-        F.struct(F.lit("tags").alias("field"), F.coalesce("tags", F.array().cast("array<string>")).alias("terms")))
-    return docs.select("id", "user_id", F.explode(cells).alias("f")).select("id", "user_id", "f.field", "f.terms")
+    """One row per document and field with the field's terms and their number.
+
+    The length is taken next to the list, so that exploding the list later drops the list itself.
+    """
+    lists = docs.select(
+        "id", "user_id", tokens(F.col("title")).alias("title"), tokens(F.col("content")).alias("content"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms"), F.size(f).alias("dl")) for f in BOOSTS])
+    return lists.select("id", "user_id", F.explode(cells).alias("f")).select("id", "user_id", "f.field", "f.terms", "f.dl")
 
 
 # ---- the index as tables -----------------------------------------------------------------------
@@ -42,14 +45,14 @@ def _field_tokens(docs: DataFrame) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """(field, term, id, user_id, tf, dl, positions): one row per term of a document's field."""
     spots = _field_tokens(docs).select(
-        "field", "id", "user_id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+        "field", "id", "user_id", "dl", F.posexplode("terms").alias("pos", "term"))
     return spots.groupBy("field", "term", "id", "user_id", "dl").agg(
         F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def field_stats(docs: DataFrame) -> DataFrame:
     """(field, n, avgdl) over documents that have the field."""
-    return _field_tokens(docs).select("field", F.size("terms").alias("dl")).where("dl > 0").groupBy("field").agg(
+    return _field_tokens(docs).select("field", "dl").where("dl > 0").groupBy("field").agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
@@ -74,6 +77,15 @@ def delete_docs(existing: DataFrame, gone: DataFrame) -> DataFrame:
     return existing.join(gone.select("id"), "id", "left_anti")
 
 
+# most query terms that are sent to every task; larger query tables are shuffled instead
+BROADCAST_TERMS = 200_000
+
+
+def few_terms(terms: DataFrame) -> bool:
+    """Is the query table of proven small size? Counts at most the bound."""
+    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
 # ---- ranked search -----------------------------------------------------------------------------
 
 
@@ -86,22 +98,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.select("query_id", fields.alias("field"), "term", "qtf").unionByName(whole)
 
 
-def matching_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Term counts of the asked terms only, straight from the documents (no stored index needed)."""
+def matching_postings(docs: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
+    """Term counts of the asked terms only, straight from the documents (no stored index needed).
+
+    With few terms the other tokens are dropped inside the scanning task, before any shuffle.
+    """
     wanted = terms.select("field", "term").distinct()
+    wanted = F.broadcast(wanted) if small else wanted
     spots = _field_tokens(docs).select(
-        "field", "id", "user_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        "field", "id", "user_id", "dl", F.explode("terms").alias("term"))
     return spots.join(wanted, ["field", "term"]).groupBy("field", "term", "id", "user_id", "dl").agg(
         F.count("*").alias("tf"))
 
 
-def score(found: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+def score(found: DataFrame, stats: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
     """(query_id, id, user_id, score) from postings of the query terms."""
     # counting tf keeps the aggregated postings identical in both branches, so Spark reuses their shuffle
     df = found.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weights = terms.join(df, ["field", "term"]).join(stats, "field").select(
         "query_id", "field", "term", "avgdl",
         (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    weights = F.broadcast(weights) if small else weights
     norm = F.when(F.col("field") == "tags", F.lit(K1)).otherwise(K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     hits = found.join(weights, ["field", "term"]).withColumn("part", part)
@@ -115,16 +132,19 @@ def search_fulltext(docs: DataFrame, queries: DataFrame, limit: int = 20) -> Dat
     Queries (query_id, text) may carry user_id to limit the answer to that user.
     """
     terms = query_terms(queries)
-    scored = score(matching_postings(docs, terms), field_stats(docs), terms)
+    small = few_terms(terms)
+    scored = score(matching_postings(docs, terms, small), field_stats(docs), terms, small)
     return _top(scored, queries, limit)
 
 
 def search_index(found: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """The same over a stored index (postings, field_stats)."""
     terms = query_terms(queries)
+    small = few_terms(terms)
     wanted = terms.select("field", "term").distinct()
+    wanted = F.broadcast(wanted) if small else wanted
     mine = found.join(wanted, ["field", "term"], "left_semi").select("field", "term", "id", "user_id", "dl", "tf")
-    return _top(score(mine, stats, terms), queries, limit)
+    return _top(score(mine, stats, terms, small), queries, limit)
 
 
 def _top(scored: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
