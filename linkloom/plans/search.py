@@ -25,7 +25,8 @@ def docs(t):
 
 
 def texts(t):
-    return t.spark.createDataFrame(TEXTS, "query_id int, text string")
+    rows = ", ".join(f"({n}, '{text}')" for n, text in TEXTS)
+    return t.spark.sql(f"SELECT * FROM VALUES {rows} AS v(query_id, text)")
 
 
 _DOCS = """d AS (SELECT l.id, l.user_id, l.title, l.content, l.collection, l.saved_seq, list(g.tag ORDER BY g.tag) AS tags
