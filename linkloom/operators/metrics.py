@@ -22,11 +22,19 @@ def slot_end(slot: Column) -> Column:
     return F.timestamp_seconds((slot + 1) * SLOT).cast("timestamp_ntz")
 
 
+def slot_counts(events: DataFrame, by: list[str] | None = None, ts: str = "ts") -> DataFrame:
+    """(by, slot, c): events per slot; on a stream this is the state to keep."""
+    return events.groupBy(*(by or []), slot_of(ts).alias("slot")).agg(F.count("*").alias("c"))
+
+
 def sliding_counts(events: DataFrame, width_seconds: int, by: list[str] | None = None, ts: str = "ts") -> DataFrame:
     """(by, at, n): for each slot with events, how many events the window that ends with it holds."""
+    return sliding_from_slots(slot_counts(events, by, ts), width_seconds, by)
+
+
+def sliding_from_slots(counts: DataFrame, width_seconds: int, by: list[str] | None = None) -> DataFrame:
     by = by or []
     width = width_seconds // SLOT
-    counts = events.groupBy(*by, slot_of(ts).alias("slot")).agg(F.count("*").alias("c"))
     day = F.floor(F.col("slot") / PER_DAY)
     reach = F.floor((F.col("slot") + width - 1) / PER_DAY)
     seen = counts.withColumn("own", day).withColumn("day", F.explode(F.sequence(day, reach)))
