@@ -27,7 +27,7 @@ def captures(t):
 @query("stream_ttl_dedup", q_ttl("user_id || ' ' || url", 86400))
 def stream_ttl_dedup(t):
     rows = captures(t).select(F.concat_ws(" ", "user_id", "url").alias("key"), "ts", "event_id")
-    out = flows.collect_batches(stateful.ttl_dedup_stream(rows, ["key"]), flows.work_folder(t.spark, "ttl"))
+    out = flows.collect_batches(stateful.ttl_dedup_stream(rows, ["key"]), flows.work_folder(t.spark, "ttl"), idle_batches=False)
     return out.where("verdict = 'kept'").select(
         "key", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.col("seq").alias("event_id"))
 
@@ -45,7 +45,7 @@ def stream_rate_limit(t):
         .when(F.col("event_type") == "error", "/health").otherwise("/links").alias("path"),
         F.concat(F.lit("10.0.0."), F.col("user_id") % 20, F.lit(", 172.16.0.1")).alias("x_forwarded_for"))
     judged = stateful.rate_limit_stream(ratelimit.keyed_requests(requests, TIGHT))
-    return flows.collect_batches(judged, flows.work_folder(t.spark, "rate")).drop("late")
+    return flows.collect_batches(judged, flows.work_folder(t.spark, "rate"), idle_batches=False).drop("late")
 
 
 @query("stream_slot_counts", """

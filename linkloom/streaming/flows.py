@@ -23,11 +23,21 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str) -> None:
-    """Process everything that has arrived, batch by batch, then stop."""
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, idle_batches: bool = True) -> None:
+    """Process everything that has arrived, batch by batch, then stop.
+
+    Operators that release state by wall-clock time ask for another batch for ever; run those with
+    ``idle_batches`` off, so that the run ends with the data.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(idle_batches).lower())
+    try:
+        query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 def run_every(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, period: str = "30 seconds"):
@@ -36,15 +46,15 @@ def run_every(stream: DataFrame, step: Callable[[DataFrame, int], None], folder:
         processingTime=period).start()
 
 
-def collect_batches(stream: DataFrame, folder: str, schema: T.StructType | None = None) -> DataFrame:
+def collect_batches(stream: DataFrame, folder: str, idle_batches: bool = True) -> DataFrame:
     """Run a stream over what is there, into a table, and read it back."""
     spark = stream.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={epoch}")
 
-    run_available(stream, step, folder)
-    return spark.read.schema(schema or stream.schema).parquet(f"{folder}/rows").drop("batch")
+    run_available(stream, step, folder, idle_batches)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").drop("batch")
 
 
 LINK_ROWS = T.StructType([
