@@ -140,6 +140,34 @@ def note_delete(manifest: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFr
     return left, manifest.join(ids, "link_id", "left_semi").select("link_id", "path", assets.alias("assets"))
 
 
+def delete_exports(jobs: DataFrame, manifest: DataFrame, asked: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, manifest, files to delete) after users delete exports of links (link_id): only finished ones go."""
+    ids = asked.select("link_id", F.lit(True).alias("asked")).distinct()
+    marked = jobs.join(ids, "link_id", "left")
+    hit = F.coalesce(F.col("asked") & (F.col("status") == "done"), F.lit(False))
+    files = marked.where(hit & F.col("vault_path").isNotNull()).select("link_id", F.col("vault_path").alias("path"))
+    kind = jobs.schema["completed_at"].dataType
+    new_jobs = marked.select(
+        *[c for c in jobs.columns if c not in ("status", "error_msg", "completed_at")],
+        F.when(hit, "deleted").otherwise(F.col("status")).alias("status"),
+        F.when(hit, "Deleted by user").otherwise(F.col("error_msg")).alias("error_msg"),
+        F.when(hit, at.cast(kind)).otherwise(F.col("completed_at")).alias("completed_at"))
+    return new_jobs, manifest.join(files.select("path"), "path", "left_anti"), files
+
+
+def reexport_notes(jobs: DataFrame, manifest: DataFrame, fresh: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifest, files to delete) after exporting asked links (link_id) again; ``fresh`` are their new notes.
+
+    The old file goes first, so it is on the list only where the new note has another path.
+    """
+    ids = asked.select("link_id").distinct()
+    done = jobs.join(ids, "link_id", "left_semi").where((F.col("status") == "done") & F.col("vault_path").isNotNull()).select(
+        "link_id", F.col("vault_path").alias("path"))
+    new = fresh.join(ids, "link_id", "left_semi")
+    cleared = manifest.join(done.select("path"), "path", "left_anti")
+    return manifest_upsert(cleared, new), done.join(new.select("path"), "path", "left_anti").select("link_id", "path")
+
+
 def empty_dirs(manifest: DataFrame, deleted: DataFrame) -> DataFrame:
     """Folders of deleted notes in which no note is left."""
     left = manifest.join(deleted.select("link_id"), "link_id", "left_anti").select(parent_dir(F.col("path")).alias("dir"))

@@ -13,6 +13,7 @@ from linkloom.plans.relational import _TAGGED, TAGS_SQL
 from linkloom.plans.scalars import (AS_OF, q_dir, q_front, q_iso, q_margin, q_minutes, q_note_path, q_stem, q_tags_yaml,
                                     q_wikilink)
 from linkloom.functions import strings
+from linkloom.streaming.flows import work_folder
 
 NL = "chr(10)"
 ISO = "2024-06-01T12:00:00Z"
@@ -222,3 +223,58 @@ lines AS (SELECT tag, 0 AS sub, lpad((k - 1)::VARCHAR, 3, '0') AS key2, 0 AS lin
 @query("tag_page", _TAG_LINES + f"SELECT 'by-tag/' || {q_wikilink('tag')} || '.md' AS page, 0 AS part, tag AS key1, sub, key2, link_id, line FROM lines")
 def tag_page(t):
     return vault.tag_pages(rel.tagged_titles(t.tags, t.link_tags, t.links, t.collections), as_of())
+
+
+def read_lines(t, folder):
+    return t.spark.read.option("basePath", folder).text(folder).select("page", F.col("value").alias("line"))
+
+
+@query("sink_index", _INDEX + "SELECT '_index.md' AS page, line FROM lines")
+def sink_index(t):
+    folder = work_folder(t.spark, "index-pages")
+    vault.write_lines(index_lines(t), folder)
+    return read_lines(t, folder)
+
+
+@query("sink_tag_pages", _TAG_LINES + f"SELECT 'by-tag/' || {q_wikilink('tag')} || '.md' AS page, line FROM lines")
+def sink_tag_pages(t):
+    folder = work_folder(t.spark, "tag-pages")
+    vault.write_lines(vault.tag_pages(rel.tagged_titles(t.tags, t.link_tags, t.links, t.collections), as_of()), folder)
+    return read_lines(t, folder)
+
+
+# ---- exports again and exports deleted ---------------------------------------------------------
+# asked: links without a collection
+
+
+def asked_links(t):
+    return t.links.where(F.col("collection_id").isNull()).select(F.col("id").alias("link_id"))
+
+
+_ASKED = "asked AS (SELECT id AS link_id FROM v_links WHERE collection_id IS NULL)"
+_OLD_FILES = """files AS (SELECT link_id, vault_path AS path FROM v_export_jobs WHERE status = 'done' AND vault_path IS NOT NULL
+  AND link_id IN (SELECT link_id FROM asked))"""
+
+
+@query("delete_exports", f"""
+WITH {_ROWS}, {_ASKED}, {_OLD_FILES} SELECT 'job' AS part, link_id, CASE WHEN status = 'done' AND link_id IN (SELECT link_id FROM asked) THEN 'deleted' ELSE status END AS value,
+  CASE WHEN status = 'done' AND link_id IN (SELECT link_id FROM asked) THEN CAST('{AS_OF}' AS TIMESTAMP) ELSE completed_at END AS at_time FROM v_export_jobs
+UNION ALL SELECT 'note', link_id, path, NULL FROM old WHERE path NOT IN (SELECT path FROM files)
+UNION ALL SELECT 'file', link_id, path, NULL FROM files""")
+def delete_exports(t):
+    jobs = t.export_jobs.withColumn("error_msg", F.lit(None).cast("string"))
+    new_jobs, manifest, files = vault.delete_exports(jobs, old_manifest(t), asked_links(t), as_of())
+    none = F.lit(None).cast("timestamp_ntz")
+    out = new_jobs.select(F.lit("job").alias("part"), "link_id", F.col("status").alias("value"), F.col("completed_at").alias("at_time"))
+    return out.unionAll(manifest.select(F.lit("note"), "link_id", "path", none)).unionAll(
+        files.select(F.lit("file"), "link_id", "path", none))
+
+
+@query("reexport_notes", f"""
+WITH {_ROWS}, {_ASKED}, {_OLD_FILES}, new AS (SELECT link_id, path FROM fresh WHERE link_id IN (SELECT link_id FROM asked))
+SELECT 'note' AS part, link_id, path FROM new
+UNION ALL SELECT 'note', link_id, path FROM old WHERE link_id NOT IN (SELECT link_id FROM new) AND path NOT IN (SELECT path FROM files)
+UNION ALL SELECT 'file', link_id, path FROM files WHERE path NOT IN (SELECT path FROM new)""")
+def reexport_notes(t):
+    manifest, files = vault.reexport_notes(t.export_jobs, old_manifest(t), note_rows(t), asked_links(t))
+    return manifest.select(F.lit("note").alias("part"), "link_id", "path").unionAll(files.select(F.lit("file"), "link_id", "path"))
