@@ -11,7 +11,7 @@ from linkloom.plans import catalog
 from linkloom.session import build_session
 from linkloom.sources.views import Tables
 
-HEADLINE = [
+HEADLINE = os.environ["BENCH_ONLY"].split(",") if os.environ.get("BENCH_ONLY") else [
     "related_top5", "related_weighted_top8", "backlinks_for_link", "backlinks_map", "related_hot_tags", "join_link_tags",
     "selfjoin_shared_tags", "collections_with_counts", "collection_tree", "links_for_user", "tag_upsert", "link_mark",
     "search_postings", "search_fulltext", "search_highlight", "search_advanced", "search_suggest", "resync_docs",

@@ -10,6 +10,7 @@ The answer is the same as that of the full self join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,20 @@ from linkloom.session import ensure_checkpoint_dir
 HOT_DEGREE = 1000
 # copies of a big group's short list, so that its members meet it in many tasks
 SALTS = 32
+# most items of a link that its rows carry along
+WIDE_LINK = 64
+
+Weigh = Callable[[Column], Column]
+
+
+def plain_weight(shared: Column) -> Column:
+    """Score of an array of shared items: one each."""
+    return F.size(shared)
+
+
+def tag_and_collection_weight(shared: Column) -> Column:
+    """Three for a tag (even item), one for the collection (odd item; a link has at most one)."""
+    return 3 * F.size(shared) - 2 * F.size(F.filter(shared, lambda x: x.bitwiseAND(1) == 1))
 
 
 @dataclass(frozen=True)
@@ -41,11 +56,6 @@ def _rank(pairs: DataFrame, k: int, order: Order) -> DataFrame:
     return pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Summed weight of the items two sorted arrays of (item, weight) share."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0).cast("bigint"), lambda acc, x: acc + x["weight"])
-
-
 def _pair_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     r = right.withColumnRenamed("link_id", "rel_id")
     return left.join(r, key).where(F.col("link_id") != F.col("rel_id"))
@@ -64,41 +74,77 @@ def _first_members(members: DataFrame, k: int, order: Order) -> DataFrame:
 
 
 def top_shared(items: DataFrame, targets: DataFrame, k: int, min_score: int = 1, order: Order = Order(),
-               hot_degree: int = HOT_DEGREE) -> DataFrame:
+               hot_degree: int = HOT_DEGREE, weigh: Weigh = plain_weight, wide_link: int = WIDE_LINK) -> DataFrame:
     """(link_id, rel_id, score, pos): best k other targets of every link.
 
-    items: (link_id, item bigint, weight bigint), one row per link and item.
+    items: (link_id, item bigint), one row per link and item; ``weigh`` sums the weights of an item array.
     targets: (rel_id[, order column]), one row per eligible right-hand link.
     """
-    spark = items.sparkSession
-    degree = items.groupBy("item").agg(F.count("*").alias("n"))
-    hot = degree.where(F.col("n") > hot_degree).select("item")
-    eligible = items.join(targets.select(F.col("rel_id").alias("link_id")), "link_id", "left_semi")
-    # the only eager step: one aggregate tells whether any item needs splitting
-    if hot.isEmpty():
-        pairs = _pair_up(items, eligible.drop("weight"), "item").groupBy("link_id", "rel_id").agg(
-            F.sum("weight").alias("score"))
-        return _finish(pairs, targets, k, min_score, order)
-
+    degrees = items.groupBy("item").agg(F.count("*").alias("n"))
+    widths = items.groupBy("link_id").agg(F.count("*").alias("n"))
+    # the only eager step: two maxima tell which of the cases below occur at all
+    largest = degrees.agg(F.lit("item").alias("side"), F.max("n").alias("n")).unionAll(widths.agg(F.lit("link"), F.max("n")))
+    most = {row["side"]: row["n"] or 0 for row in largest.collect()}
+    if most["item"] > hot_degree:
+        pairs = _split_pairs(items, degrees, targets, k, order, hot_degree, weigh)
+    else:
+        pairs = _small_pairs(items, targets, weigh, wide_link, most["link"] > wide_link)
+    return _finish(pairs, targets, k, min_score, order)
+
+
+def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link: int, any_wide: bool) -> DataFrame:
+    """All scored pairs where every item is on few links.
+
+    A link's items travel with each of its rows as an array, so a pair is scored where it meets and
+    kept only at the first item it shares: pairs are neither counted nor shuffled. Links with too many
+    items to carry are counted pair by pair.
+    """
+    bags = items.groupBy("link_id").agg(F.array_sort(F.collect_list("item")).alias("bag"))
+    narrow = bags.where(F.size("bag") <= wide_link) if any_wide else bags
+    left = narrow.select("link_id", "bag", F.explode("bag").alias("item"))
+    right = narrow.join(targets.select(F.col("rel_id").alias("link_id")), "link_id", "left_semi").select(
+        F.col("link_id").alias("rel_id"), F.col("bag").alias("rel_bag"), F.explode("bag").alias("item"))
+    both = F.array_intersect("bag", "rel_bag")
+    met = left.join(right, "item").where((F.col("link_id") != F.col("rel_id")) & (both[0] == F.col("item")))
+    pairs = met.select("link_id", "rel_id", weigh(both).cast("bigint").alias("score"))
+    if not any_wide:
+        return pairs
+    flagged = items.join(bags.where(F.size("bag") > wide_link).select("link_id", F.lit(True).alias("wide")), "link_id", "left")
+    wide, rest = flagged.where("wide").select("link_id", "item"), flagged.where("wide IS NULL").select("link_id", "item")
+    eligible = targets.select(F.col("rel_id").alias("link_id"))
+    counted = _pair_up(wide, items.select("link_id", "item").join(eligible, "link_id", "left_semi"), "item").unionByName(
+        _pair_up(rest, wide.join(eligible, "link_id", "left_semi"), "item"))
+    return pairs.unionByName(_counted(counted, weigh))
+
+
+def _counted(pairs: DataFrame, weigh: Weigh, *extra: Column) -> DataFrame:
+    score = F.sum(weigh(F.array("item")))
+    for part in extra:
+        score = score + part
+    return pairs.groupBy("link_id", "rel_id").agg(score.cast("bigint").alias("score"))
+
+
+def _split_pairs(items: DataFrame, degrees: DataFrame, targets: DataFrame, k: int, order: Order, hot_degree: int,
+                 weigh: Weigh) -> DataFrame:
+    """Scored pairs that hold every link's top k, where some items are on very many links."""
+    hot = degrees.where(F.col("n") > hot_degree).select("item")
     # hot items of each link, as one sorted array that travels with its rows
     hot_edges = items.join(hot, "item", "left_semi")
-    profile = hot_edges.groupBy("link_id").agg(F.array_sort(F.collect_list(F.struct("item", "weight"))).alias("hot"))
-    none = F.array().cast("array<struct<item:bigint,weight:bigint>>")
+    profile = hot_edges.groupBy("link_id").agg(F.array_sort(F.collect_list("item")).alias("hot"))
+    none = F.array().cast("array<bigint>")
 
     # 1. pairs inside small items; what they share among hot items is added from the profiles
     cold = items.join(hot, "item", "left_anti").join(profile, "link_id", "left").withColumn("hot", F.coalesce("hot", none))
     cold_right = cold.join(targets.select(F.col("rel_id").alias("link_id")), "link_id", "left_semi").select(
         "link_id", "item", F.col("hot").alias("rel_hot"))
-    cold_pairs = _pair_up(cold, cold_right, "item").groupBy("link_id", "rel_id").agg(
-        (F.sum("weight") + F.first(_overlap(F.col("hot"), F.col("rel_hot")))).alias("score"))
-    found = [cold_pairs]
+    found = [_counted(_pair_up(cold, cold_right, "item"), weigh, F.first(weigh(F.array_intersect("hot", "rel_hot"))))]
 
     # 2. groups of links by shared sets of hot items, grown one item at a time while they stay big
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(items.sparkSession)
     profile = profile.checkpoint()
     order_cols = [] if order.column == "rel_id" else [order.column]
-    members = profile.select("link_id", "hot", F.explode("hot").alias("x")).select(
-        "link_id", "hot", F.array(F.col("x.item")).alias("group"))
+    members = profile.select("link_id", "hot", F.explode("hot").alias("item")).select(
+        "link_id", "hot", F.array("item").alias("group"))
     while True:
         big = members.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree).select("group")
         big = big.checkpoint()
@@ -106,7 +152,7 @@ def top_shared(items: DataFrame, targets: DataFrame, k: int, min_score: int = 1,
             targets.select("rel_id", *order_cols), "rel_id")
         small = members.join(big, "group", "left_anti")
         small_right = right.join(big, "group", "left_anti").drop(*order_cols)
-        found.append(_scored(small.join(small_right, "group")))
+        found.append(_scored(small.join(small_right, "group"), weigh))
         if big.isEmpty():
             break
         large = members.join(big, "group", "left_semi")
@@ -114,21 +160,21 @@ def top_shared(items: DataFrame, targets: DataFrame, k: int, min_score: int = 1,
         # the short list is copied over salts, so no task meets a whole big group
         salted = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         spread = large.withColumn("salt", F.pmod(F.hash("link_id"), F.lit(SALTS)))
-        found.append(_scored(spread.join(salted, ["group", "salt"])))
-        later = F.filter("hot", lambda x: x["item"] > F.element_at("group", -1))
-        members = large.select("link_id", "hot", "group", F.explode(later).alias("x")).select(
-            "link_id", "hot", F.concat("group", F.array(F.col("x.item"))).alias("group")).checkpoint()
+        found.append(_scored(spread.join(salted, ["group", "salt"]), weigh))
+        later = F.filter("hot", lambda x: x > F.element_at("group", -1))
+        members = large.select("link_id", "hot", "group", F.explode(later).alias("item")).select(
+            "link_id", "hot", F.concat("group", F.array("item")).alias("group")).checkpoint()
 
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    best = pairs.groupBy("link_id", "rel_id").agg(F.max("score").alias("score"))
-    return _finish(best, targets, k, min_score, order)
+    return pairs.groupBy("link_id", "rel_id").agg(F.max("score").alias("score"))
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, weigh: Weigh) -> DataFrame:
+    shared = F.array_intersect("hot", "rel_hot")
     return pairs.where(F.col("link_id") != F.col("rel_id")).select(
-        "link_id", "rel_id", _overlap(F.col("hot"), F.col("rel_hot")).alias("score"))
+        "link_id", "rel_id", weigh(shared).cast("bigint").alias("score"))
 
 
 def _finish(pairs: DataFrame, targets: DataFrame, k: int, min_score: int, order: Order) -> DataFrame:
@@ -147,8 +193,8 @@ def _targets(links: DataFrame) -> DataFrame:
         F.col("id").alias("rel_id"), "title")
 
 
-def _tag_items(link_tags: DataFrame, weight: int = 1) -> DataFrame:
-    return link_tags.select("link_id", F.col("tag_id").cast("bigint").alias("item"), F.lit(weight).cast("bigint").alias("weight"))
+def _tag_items(link_tags: DataFrame) -> DataFrame:
+    return link_tags.select("link_id", F.col("tag_id").cast("bigint").alias("item"))
 
 
 def related_top(links: DataFrame, link_tags: DataFrame, k: int = 5, scope_user: bool = False,
@@ -161,7 +207,7 @@ def related_top(links: DataFrame, link_tags: DataFrame, k: int = 5, scope_user:
     if scope_user:
         owner = links.select(F.col("id").alias("link_id"), "user_id")
         items = items.join(owner, "link_id").select(
-            "link_id", F.xxhash64("item", "user_id").alias("item"), "weight")
+            "link_id", F.xxhash64("item", "user_id").alias("item"))
     targets = _targets(links)
     top = top_shared(items, targets, k, hot_degree=hot_degree)
     return top.join(targets, "rel_id").select(
@@ -175,11 +221,11 @@ def related_weighted(links: DataFrame, link_tags: DataFrame, collections: DataFr
 
     The collection is one more shared item of weight 1; items are kept apart by their last bit.
     """
-    tags = link_tags.select("link_id", (F.col("tag_id") * 2).cast("bigint").alias("item"), F.lit(3).cast("bigint").alias("weight"))
+    tags = link_tags.select("link_id", (F.col("tag_id") * 2).cast("bigint").alias("item"))
     filed = links.where(F.col("collection_id").isNotNull()).select(
-        F.col("id").alias("link_id"), (F.col("collection_id") * 2 + 1).cast("bigint").alias("item"), F.lit(1).cast("bigint").alias("weight"))
+        F.col("id").alias("link_id"), (F.col("collection_id") * 2 + 1).cast("bigint").alias("item"))
     targets = _targets(links)
-    top = top_shared(tags.unionByName(filed), targets, k, hot_degree=hot_degree)
+    top = top_shared(tags.unionByName(filed), targets, k, hot_degree=hot_degree, weigh=tag_and_collection_weight)
     slugs = collections.select(F.col("id").alias("collection_id"), F.col("slug").alias("collection"))
     about = links.select(F.col("id").alias("rel_id"), "title", "collection_id").join(slugs, "collection_id", "left")
     return top.join(about, "rel_id").select(

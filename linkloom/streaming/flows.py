@@ -75,7 +75,8 @@ class CaptureFlow:
     def table(self, name: str, before: int | None = None) -> DataFrame:
         rows = self.spark.read.option("basePath", f"{self.folder}/{name}")
         rows = rows.schema(T.StructType(LINK_ROWS.fields + [T.StructField("batch", T.LongType())])) if name == "links" else rows
-        found = rows.parquet(f"{self.folder}/{name}")
+        read = rows.text if name == "feed" else rows.parquet
+        found = read(f"{self.folder}/{name}")
         return found if before is None else found.where(F.col("batch") < before)
 
     def _links_before(self, epoch: int) -> DataFrame:
