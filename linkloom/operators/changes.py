@@ -31,10 +31,9 @@ def number_rows(rows: DataFrame, key: Column, base: DataFrame, base_id: str = "i
     # at most 4096 rows: the one unpartitioned window here is of fixed size
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = F.broadcast(sizes.select("_b", before.alias("_shift")))
-    top = base.agg(F.coalesce(F.max(base_id), F.lit(-1)).alias("_top"))
-    numbered = ranked.join(shifts, "_b").join(F.broadcast(top))
-    return numbered.withColumn(base_id, F.col("_top") + F.col("_shift") + F.col("_r")).drop(
-        "_h", "_b", "_r", "_shift", "_top")
+    top = base.select(F.coalesce(F.max(base_id), F.lit(-1))).scalar()
+    numbered = ranked.join(shifts, "_b")
+    return numbered.withColumn(base_id, top + F.col("_shift") + F.col("_r")).drop("_h", "_b", "_r", "_shift")
 
 
 # ---- tags --------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ def value(spark, make, *args):
 
 
 @pytest.mark.parametrize("text,wikilink,stem", [
-    ("a - b", "a---b", "a-b"), ("Hello World! (2024)", "hello-world-2024", "hello-world-2024"),
+    ("a - b", "a---b", "a-b"), ("Tea! (no. 7)", "tea-no-7", "tea-no-7"),
     ("  Report.MD", "-reportmd", "report"), ("--x--", "--x--", "x"), ("ÄÖ", "", "untitled"), ("tab\x0bbed", "tab-bed", "tab-bed"),
     ("w" * 90, "w" * 80, "w" * 80), ("", "", "untitled")])
 def test_slugs(spark, text, wikilink, stem):
@@ -37,8 +37,8 @@ def test_utf16_left(spark):
 
 def test_paths(spark):
     assert value(spark, strings.normalize_directory, r" sales\..//Q1 /./é") == "sales/q1"
-    path = value(spark, lambda d, n, t, c: strings.note_path(d, n, t, c), "sales/q1", "Follow Up Boss.md", "T", "dev")
-    assert path == "collections/sales/q1/follow-up-boss.md"
+    path = value(spark, lambda d, n, t, c: strings.note_path(d, n, t, c), "sales/q1", "Plan B (old).md", "T", "dev")
+    assert path == "collections/sales/q1/plan-b-old.md"
     assert value(spark, lambda d, n, t, c: strings.note_path(d, n, t, c), None, None, "T", "") == "collections/unsorted/t.md"
     absolute = value(spark, lambda d, n, t, c: strings.note_path(d, n, t, c, True), "/data/x/../y", None, "T", "c")
     assert absolute == "/data/y/t.md"
@@ -68,10 +68,10 @@ def test_tags_domain_snippet(spark):
 
 def test_note_text(spark):
     header = "---\nx: 1\n---"
-    text = value(spark, lambda h, t, b: notes.note_markdown(h, t, b, notes.related_section(F.array(F.lit("related-article")))),
+    text = value(spark, lambda h, t, b: notes.note_markdown(h, t, b, notes.related_section(F.array(F.lit("other-note")))),
                  header, "T", "| a |\n| b |\nend")
     # later body lines lose a leading '|'; the first keeps its own
-    assert text == "---\nx: 1\n---\n\n# T\n\n| a |\n b |\nend\n\n\n## Related\n[[related-article]]\n"
+    assert text == "---\nx: 1\n---\n\n# T\n\n| a |\n b |\nend\n\n\n## Related\n[[other-note]]\n"
 
 
 def test_clean_markdown(spark):
@@ -82,10 +82,10 @@ PAGE = "<html><head>{head}</head><body>{body}</body></html>"
 
 
 def test_page_titles_and_meta():
-    page = parse_page(PAGE.format(head='<title> A  B </title><meta name="description" content="A great article">'
-                                       '<meta property="og:image" content="https://example.com/image.jpg">', body="<h1>H</h1>"))
+    page = parse_page(PAGE.format(head='<title> A  B </title><meta name="description" content="About tea">'
+                                       '<meta property="og:image" content="https://i.org/c.jpg">', body="<h1>H</h1>"))
     assert (page["title_tag"], page["h1"], page["description"], page["og_image"]) == (
-        "A B", "H", "A great article", "https://example.com/image.jpg")
+        "A B", "H", "About tea", "https://i.org/c.jpg")
     named = parse_page('<meta property="og:title" content="P"><meta name="og:title" content="N"><p>x')
     assert named["og_title"] == "N"
 
@@ -97,11 +97,11 @@ def test_page_main_and_strip():
 
 
 @pytest.mark.parametrize("html,markdown", [
-    ("<article><h1>Hello World</h1><p>This is a <strong>test</strong> paragraph.</p></article>",
-     "Hello World\n===========\n\nThis is a **test** paragraph."),
-    ("<table><tr><th>Name<th>Age<tr><td>Alice<td>30</table>", "| Name  | Age |\n|-------|-----|\n| Alice | 30  |"),
+    ("<article><h1>Green tea</h1><p>Pour <strong>hot</strong> water.</p></article>",
+     "Green tea\n=========\n\nPour **hot** water."),
+    ("<table><tr><th>Leaf<th>Min<tr><td>Assam<td>4</table>", "| Leaf  | Min |\n|-------|-----|\n| Assam | 4   |"),
     ("<ul><li>a<li>b<ol><li>c</ol></ul>", "* a\n* b\n  1. c"),
-    ("<div><p>Unclosed paragraph<div>Nested badly</p></div>", "Unclosed paragraph\n\nNested badly"),
+    ("<div><p>left open<div>inside out</p></div>", "left open\n\ninside out"),
     ("<p><b>one<p>two</b> three", "**one**\n\n**two** three"),
     ("<pre><code class='language-py'>a = 1\n</code></pre>", "```py\na = 1\n```"),
     ("<blockquote>q<p>r</blockquote><hr>", "> q\n>\n> r\n\n*** ** * ** ***"),
