@@ -38,13 +38,7 @@ def html_parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, parts...): a narrow job, one Arrow pass per split.
-
-    Only a corpus of fewer splits than cores is redistributed first; a large one is never shuffled.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if not pages.isStreaming and pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
+    """(page_id, url, parts...): a narrow job, one Arrow pass per split."""
     return pages.select("page_id", "url", html_parts("html").alias("p")).select("page_id", "url", "p.*")
 
 

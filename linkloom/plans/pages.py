@@ -151,4 +151,4 @@ SELECT doc_id, at_n AS "at", CASE kind WHEN 'paragraph' THEN 0 WHEN 'list' THEN
   CASE WHEN kind IN ('code', 'list') THEN string_agg(val, chr(10) ORDER BY n) ELSE string_agg(val, ' ' ORDER BY n) END AS text
 FROM w WHERE at_n IS NOT NULL GROUP BY doc_id, at_n, kind, level""")
 def markdown_blocks(t):
-    return pg.markdown_blocks(t.base("documents").select("doc_id", marked("text").alias("md")), "doc_id", "md")
+    return pg.markdown_blocks(t.spread("documents").select("doc_id", marked("text").alias("md")), "doc_id", "md")

@@ -18,7 +18,7 @@ def q_tokens(x):
 def docs(t):
     """Search documents: tags are part of the document, as in an index."""
     title = F.trim(F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")))
-    return t.base("documents").select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("user_id"), title.alias("title"),
         F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.col("source").alias("collection"),
         F.col("doc_id").alias("saved_at"))

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # many small lists per task (tags of a link, positions of a term): stay in the hash map longer
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     # pages and notes are wide rows: small Arrow batches keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
