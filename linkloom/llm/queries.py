@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import naming, quality
+from linkloom.llm import licences, markup, naming, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,49 @@ FROM b""")
 def op6(spark, folder):
     return quality.judge(table(spark, folder, "documents")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+URL_RULES = tuple(urls.UrlRule(*r) for r in (
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+    ("net/fr/", "block")))
+
+
+@query("op5_url_filter")
+def op5(spark, folder):
+    return urls.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+def _licence_sql(threshold: float = 0.8) -> str:
+    """The scan as a join of every unit with every template: no size bounds."""
+    rows = ",\n".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(
+        (name, text) for name in sorted(licences.TEMPLATES) for text in licences.TEMPLATES[name]))
+    grams = "[words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]"
+    return rf"""
+WITH templates AS (SELECT place, name, string_split(text, ' ') AS words FROM (VALUES {rows}) AS v(place, name, text)),
+     t AS (SELECT place, name, list_distinct({grams}) AS grams FROM templates),
+     d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d
+           UNION ALL
+           SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
+[ 	-]*
+')) AS unit FROM d)
+           WHERE contains(trim(unit, ' '), chr(10))),
+     n AS (SELECT row_number() OVER () AS id, doc_id,
+                  string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM u),
+     g AS (SELECT id, doc_id, list_distinct({grams}) AS grams FROM n),
+     s AS (SELECT id, doc_id, name, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice,
+                  place FROM g, t),
+     b AS (SELECT id, doc_id, name FROM s WHERE dice >= {threshold}
+           QUALIFY row_number() OVER (PARTITION BY id ORDER BY dice DESC, place) = 1)
+SELECT d.doc_id, count(b.id) AS n_found, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licences
+FROM d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("op7_licence_scan", _licence_sql())
+def op7(spark, folder):
+    return licences.scan(table(spark, folder, "documents")).select("doc_id", "n_found", "licences")
+
+
+@query("op4_html_extraction")
+def op4(spark, folder):
+    return markup.extract(table(spark, folder, "pages"))
