@@ -62,11 +62,12 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums from which ``range_hash`` gets the hash of any range."""
+def prefix_hash(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Running polynomial sums from which ``range_hash`` gets the hash of any range; each seed gives another hash."""
+    value = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32))
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][:len(data)], out=out[1:])
+    np.cumsum(value[data] * powers(len(data) + 1)[0][:len(data)], out=out[1:])
     return out
 
 

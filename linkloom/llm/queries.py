@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import licences, markup, naming, quality, urls
+from linkloom.llm import licences, markup, naming, nearsets, packing, pieces, quality, suffixes, urls, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +91,8 @@ WITH templates AS (SELECT place, name, string_split(text, ' ') AS words FROM (VA
      u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d
            UNION ALL
            SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
-[ 	-]*
+[ 	-
+]*
 ')) AS unit FROM d)
            WHERE contains(trim(unit, ' '), chr(10))),
      n AS (SELECT row_number() OVER () AS id, doc_id,
@@ -113,3 +114,44 @@ def op7(spark, folder):
 @query("op4_html_extraction")
 def op4(spark, folder):
     return markup.extract(table(spark, folder, "pages"))
+
+
+@query("op10_substring_dedup", r"""
+WITH w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (
+               SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+     s AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER f = 20 THEN string_agg(word, ' ') OVER f END AS win FROM w
+           WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+     r AS (SELECT doc_id, i, word, win IS NOT NULL
+                  AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM s),
+     c AS (SELECT doc_id, i, word, max(CAST(again AS INT)) OVER (
+                      PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+     k AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+                  string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS body FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)""")
+def op10(spark, folder):
+    return windows.drop_repeats(table(spark, folder, "documents")).select(
+        "doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, folder):
+    return suffixes.drop_repeated_strings(table(spark, folder, "documents")).select(
+        F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_minhash_dedup")
+def op9(spark, folder):
+    return nearsets.near_groups(table(spark, folder, "documents")).drop("row")
+
+
+@query("op8_sentencepiece")
+def op8(spark, folder):
+    rows = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    return rows.select(F.col("key").alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_ids"),
+                       (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+@query("op1_best_fit_packing")
+def op1(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)

@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import bytetext as B
 from linkloom.llm import framed
-from linkloom.llm.tables import keyed, stored
+from linkloom.llm.tables import stored
 
 FLUSH_BYTES = 24 << 20  # packed strings that a task holds before it hands them on
 BUCKET_BYTES = 48 << 20  # packed strings of one bucket, about
-SECOND = 0xD6E8FEB86659FD93 | 1
 
 
 class Shape:
@@ -52,22 +51,35 @@ class Shape:
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit values for each window of the words that begin at ``starts``."""
-    words = B.range_hash(B.prefix_hash(data), starts, ends)
-    return B.sequence_hash(words, window), B.sequence_hash(B.mix(words ^ np.uint64(SECOND)), window, 1)
+    return tuple(B.sequence_hash(B.range_hash(B.prefix_hash(data, seed), starts, ends), window) for seed in (0, 1))
 
 
-def _counter(shape: Shape, at_least: int):
-    def count(batches):
+def counter(shape, at_least: int):
+    def count(batches: Iterator[pa.RecordBatch]):
         """Minimisers that this task meets ``at_least`` times: one met ``limit`` times in all is among them in some task."""
         seen: list[np.ndarray] = []
         for _, data, bounds in B.chunks(batches):
             seen.append(shape.runs(data, bounds)[0][3])
         values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64),) * 2
-        values = values[counts >= at_least]
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["minimiser"])
+        often = counts >= at_least
+        yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
+                                         ["minimiser", "n"])
     return count
 
 
+def hot_minimisers(texts: DataFrame, shape, limit: int, tasks: int) -> np.ndarray:
+    """Hashes of all minimisers that ``limit`` runs (or as many as there are tasks) share, and some that fewer share.
+
+    A task tells of a minimiser it meets ``limit / tasks`` times, so none is missed. What is told sums up to the number of
+    tasks at least, which makes the list no longer than the runs of one task are many.
+    """
+    limit = max(limit, tasks)
+    least = limit // max(1, tasks)
+    told = texts.mapInArrow(counter(shape, least), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    hot = told.where(F.col("n") >= limit - tasks * (least - 1)).select("minimiser")
+    return np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))
+
+
 def _packer(shape: Shape, buckets: int, hot: np.ndarray):
     def pack(batches: Iterator[pa.RecordBatch]):
         """Packed runs by bucket (h1 null), and single windows of hot minimisers (bucket null)."""
@@ -201,6 +213,12 @@ def _finder(window: int):
     return find
 
 
+def extent(rows: DataFrame) -> tuple[int, int]:
+    """Bytes of text, and tasks that read them (rows are numbered by task)."""
+    size, tasks = rows.agg(F.sum(F.octet_length("text")), F.countDistinct(F.shiftright("row", 33))).first()
+    return size or 0, tasks
+
+
 def later_windows(rows: DataFrame, window: int, minimiser: int, limit: int) -> DataFrame:
     """Runs of windows that also start earlier (smaller key, then row, then place): columns row, start, n, in words.
 
@@ -208,20 +226,21 @@ def later_windows(rows: DataFrame, window: int, minimiser: int, limit: int) -> D
     go one by one; the list of those is at most the number of runs over ``limit``.
     """
     shape = Shape(window, minimiser)
-    size, tasks = rows.agg(F.sum(F.octet_length("text")), F.countDistinct(F.shiftright("row", 33))).first()
-    buckets = max(1, 3 * (size or 0) // BUCKET_BYTES)
+    size, tasks = extent(rows)
+    buckets = max(1, 3 * size // BUCKET_BYTES)
     texts = rows.select("row", "key", "text")
-    often = texts.mapInArrow(_counter(shape, max(1, limit // max(1, tasks))), "minimiser long").distinct()
-    hot = np.sort(np.array([r[0] for r in often.toLocalIterator()], np.int64).view(np.uint64))
+    hot = hot_minimisers(texts, shape, limit, tasks)
     packed = texts.mapInArrow(
-        _packer(shape, buckets, hot), "bucket long, block binary, h1 long, h2 long, row long, key long, start int")
+        _packer(shape, buckets, hot), "bucket long, block binary, h1 long, h2 long, row long, key long, start long")
     found = packed.where("bucket IS NOT NULL").select("bucket", "block").repartition("bucket").sortWithinPartitions(
         "bucket").mapInArrow(_finder(window), "row long, start long, n long")
+    if not len(hot):
+        return found
     single = packed.where("bucket IS NULL").select("h1", "h2", "row", "key", "start")
     place = F.struct("key", "row", "start")
     firsts = stored(single.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     again = single.join(firsts.drop("n"), ["h1", "h2"]).where(place > F.col("first")).select(
-        "row", F.col("start").cast("long").alias("start"), F.lit(1).cast("long").alias("n"))
+        "row", "start", F.lit(1).cast("long").alias("n"))
     return found.unionByName(again)
 
 
@@ -249,25 +268,29 @@ def _cutter(window: int):
             offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
             n_words = np.diff(firsts)
             n_removed = np.add.reduceat(np.append(gone, False), firsts[:-1]) * (n_words > 0) if len(n_words) else n_words
+            given = [c for c in batch.schema.names if c not in ("text", "runs")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("key"), pa.array(n_words.astype(np.int64)),
-                 pa.array(n_removed.astype(np.int64)),
+                [*map(batch.column, given), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)),
                  pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(line.tobytes()))],
-                ["row", "key", "n_words", "n_removed", "kept_text"])
+                [*given, "n_words", "n_removed", "kept_text"])
     return cut
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, minimiser: int = 3,
                  limit: int = 5000) -> DataFrame:
-    """One row per input row: row, key, n_words, n_removed, kept_text (the words that stay, joined by one space).
+    """One row per input row: doc (the whole input row without its text), n_words, n_removed, kept_text (the words that
+    stay, joined by one space).
 
     A word goes if a window of ``window`` words covers it whose words also start earlier: in a row with a smaller key, of
     equal or null (last) keys in an earlier row, or earlier in the same text. Null and empty texts have no words; texts
     shorter than a window stay whole. Keys are whole numbers. An empty table gives an empty table. A text is read whole; one
-    may have up to 2 ** 28 bytes.
+    may have up to 2 ** 28 bytes. The input row is in ``doc``, so its column names clash with nothing.
     """
-    rows = keyed(docs, key, text).select("row", F.col("key").cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"),
+                       F.struct(*[c for c in docs.columns if c != text]).alias("doc"),
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
     runs = later_windows(rows, window, minimiser, limit).groupBy("row").agg(
         F.collect_list(F.struct("start", "n")).alias("runs"))  # no more than a text has words
-    return rows.join(stored(runs), "row", "left").mapInArrow(
-        _cutter(window), "row long, key long, n_words long, n_removed long, kept_text string")
+    kind = dict(rows.dtypes)["doc"]
+    return rows.drop("key").join(stored(runs), "row", "left").mapInArrow(
+        _cutter(window), f"row long, doc {kind}, n_words long, n_removed long, kept_text string").drop("row")
