@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts handled together; one longer text is a chunk by itself
+CHUNK_BYTES = 1 << 20  # texts handled together; one longer text is a chunk by itself
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,11 +41,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
         bounds = np.frombuffer(column.buffers()[1], kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        at = 0
-        while at < len(column):
-            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+        for at, end in shares(bounds, limit):
             yield batch.slice(at, end - at), data[bounds[at]:bounds[end]], bounds[at:end + 1] - bounds[at]
-            at = end
+
+
+def shares(bounds: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts with ``limit`` bytes at most, or a single longer text."""
+    at = 0
+    while at < len(bounds) - 1:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+        yield at, end
+        at = end
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

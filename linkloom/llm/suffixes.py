@@ -29,8 +29,8 @@ from linkloom.llm import framed
 from linkloom.llm.tables import keyed, stored
 from linkloom.llm.windows import extent, hot_minimisers, joined
 
-RUN_BYTES = 12 << 20  # bytes of text whose members are sorted together
-RANGE_BYTES = 48 << 20  # bytes of members in one range, about
+RUN_BYTES = 6 << 20  # bytes of text whose members are sorted together
+RANGE_BYTES = 8 << 20  # bytes of members in one range, about
 SAMPLE_BYTES = 16 << 20  # text from which the ends of the ranges are taken: they decide the balance only
 KINDS = ["<i8", "<i4", "<i2", "<i2", "<i2"]  # row, start, strings, shared prefix, bytes before the anchor
 
@@ -260,9 +260,13 @@ def _merger(shape: Shape):
         strings = [lefts[r][i] + runs[r][i] for r, i, _ in some]
         row, start, count = (np.array([columns[r][c][i] for r, i, _ in some], np.int64) for c in range(3))
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        data = np.frombuffer(b"".join(strings), np.uint8)
-        which = B.spread(np.cumsum(sizes) - sizes, count)
-        found = repeated(*[B.range_hash(B.prefix_hash(data, seed), which, which + shape.length) for seed in (0, 1)])
+        hashes = [], []
+        for lo, hi in B.shares(np.append(0, np.cumsum(sizes))):
+            data = np.frombuffer(b"".join(strings[lo:hi]), np.uint8)
+            which = B.spread(np.cumsum(sizes[lo:hi]) - sizes[lo:hi], count[lo:hi])
+            for seed in (0, 1):
+                hashes[seed].append(B.range_hash(B.prefix_hash(data, seed), which, which + shape.length))
+        found = repeated(*[np.concatenate(h) if h else np.empty(0, np.uint64) for h in hashes])
         row, start = np.repeat(row, count), B.spread(start, count)
         return joined(row[found], start[found])
 

@@ -22,8 +22,8 @@ from linkloom.llm import bytetext as B
 from linkloom.llm import framed
 from linkloom.llm.tables import stored
 
-FLUSH_BYTES = 24 << 20  # packed strings that a task holds before it hands them on
-BUCKET_BYTES = 48 << 20  # packed strings of one bucket, about
+FLUSH_BYTES = 8 << 20  # packed strings that a task holds before it hands them on
+BUCKET_BYTES = 8 << 20  # packed strings of one bucket, about
 
 
 class Shape:
@@ -187,16 +187,19 @@ def _finder(window: int):
             new = B.runs_of(gram[order])
             several = np.repeat(np.diff(np.append(new, len(order))) > 1, np.diff(np.append(new, len(order))))
             members = np.sort(order[several])
-            data = data[B.spread(at[members], lengths[members])]
-            bounds = np.append(0, np.cumsum(lengths[members]))
-            starts, ends, firsts = B.words(data, bounds)
-            h1, h2 = _hashes(data, starts, ends, window)
             count = count[members].astype(np.int64)
-            which = B.spread(firsts[:-1], count)
-            own = np.repeat(np.arange(len(members)), count)
-            row, key = row[members][own], key[members][own]
-            start = begin[members][own] + which - firsts[:-1][own]
-            found = later_ones(h1[which], h2[which], key, row, start)
+            hashes = [], []
+            for lo, hi in B.shares(np.append(0, np.cumsum(lengths[members]))):
+                some = members[lo:hi]
+                part = data[B.spread(at[some], lengths[some])]
+                starts, ends, firsts = B.words(part, np.append(0, np.cumsum(lengths[some])))
+                which = B.spread(firsts[:-1], count[lo:hi])
+                for h, values in zip(hashes, _hashes(part, starts, ends, window)):
+                    h.append(values[which])
+            h1, h2 = (np.concatenate(h) if h else np.empty(0, np.uint64) for h in hashes)
+            row, key = np.repeat(row[members], count), np.repeat(key[members], count)
+            start = B.spread(begin[members].astype(np.int64), count)
+            found = later_ones(h1, h2, key, row, start)
             out = joined(row[found], start[found])
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], ["row", "start", "n"])
 
