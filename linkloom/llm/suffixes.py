@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -315,7 +316,7 @@ def _cutter(length: int):
         for batch, data, bounds in B.chunks(batches):
             runs = batch.column("runs")
             flat = runs.flatten()
-            n_runs = np.array([len(r) if r is not None else 0 for r in runs.to_pylist()], np.int64)
+            n_runs = pc.list_value_length(runs).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             start = flat.field(0).to_numpy(zero_copy_only=False) + np.repeat(bounds[:-1], n_runs)
             end = start + flat.field(1).to_numpy(zero_copy_only=False) + length - 1
             depth = np.zeros(len(data) + 1, np.int32)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,7 +254,7 @@ def _cutter(window: int):
             starts, ends, firsts = B.words(data, bounds)
             runs = batch.column("runs")
             flat = runs.flatten()
-            n_runs = np.array([len(r) if r is not None else 0 for r in runs.to_pylist()], np.int64)
+            n_runs = pc.list_value_length(runs).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             start = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(firsts[:-1], n_runs)
             length = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64) + window - 1
             depth = np.zeros(len(starts) + 1, np.int64)
