@@ -97,9 +97,12 @@ def link_insert(links: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def link_update(links: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set collection and export overrides of owned links, nulls included."""
+    """Set collection and export overrides of owned links, nulls included; a link's update with the largest seq wins.
+
+    updates: (seq, link_id, user_id, collection_id, export_directory, export_file_name).
+    """
     fields = ["collection_id", "export_directory", "export_file_name"]
-    new = updates.select(F.col("link_id").alias("id"), "user_id", F.struct(*fields).alias("new"))
+    new = updates.groupBy(F.col("link_id").alias("id"), "user_id").agg(F.max_by(F.struct(*fields), "seq").alias("new"))
     joined = links.join(new, ["id", "user_id"], "left")
     for field in fields:
         joined = joined.withColumn(field, F.when(F.col("new").isNotNull(), F.col(f"new.{field}")).otherwise(F.col(field)))
@@ -114,23 +117,23 @@ def link_delete(links: DataFrame, requests: DataFrame, *children: DataFrame) ->
 
 
 def link_mark(links: DataFrame, events: DataFrame) -> DataFrame:
-    """Apply a batch of stage events (link_id, seq, kind, at, title, reading_time_min).
+    """Apply a batch of stage events (link_id, seq, kind, at, title, content_md, reading_time_min).
 
-    kind is parsing, parsed, failed or indexed; the latest event of each concern wins.
+    kind is parsing, parsed, failed or indexed; the latest event of each concern wins. Being parsed stores the content.
     """
+    given = [c for c in ("title", "content_md", "reading_time_min") if c in links.columns]
     seq = F.col("seq")
     states = F.col("kind").isin("parsing", "parsed", "failed")
     parsed = F.col("kind") == "parsed"
     latest = events.groupBy(F.col("link_id").alias("id")).agg(
         F.max_by(F.when(states, F.col("kind")), F.when(states, seq)).alias("new_status"),
-        F.max_by(F.when(parsed, F.struct("title", "reading_time_min", "at")), F.when(parsed, seq)).alias("parsed"),
+        F.max_by(F.when(parsed, F.struct(*given, "at")), F.when(parsed, seq)).alias("parsed"),
         F.max_by(F.when(F.col("kind") == "indexed", F.col("at")), F.when(F.col("kind") == "indexed", seq)).alias("new_indexed"))
     joined = links.join(latest, "id", "left")
     was_parsed = F.col("parsed").isNotNull()
     return joined.withColumns({
         "status": F.coalesce("new_status", "status"),
-        "title": F.when(was_parsed, F.col("parsed.title")).otherwise(F.col("title")),
-        "reading_time_min": F.when(was_parsed, F.col("parsed.reading_time_min")).otherwise(F.col("reading_time_min")),
+        **{c: F.when(was_parsed, F.col(f"parsed.{c}")).otherwise(F.col(c)) for c in given},
         "parsed_at": F.when(was_parsed, F.col("parsed.at")).otherwise(F.col("parsed_at")),
         "indexed_at": F.coalesce("new_indexed", "indexed_at"),
     }).select(links.columns)
@@ -146,14 +149,15 @@ def index_reset(links: DataFrame) -> DataFrame:
 def collection_write(collections: DataFrame, requests: DataFrame) -> DataFrame:
     """Judge inserts and renames (seq, collection_id null for an insert, user_id, name).
 
-    Within a batch the first request for a (user, slug) may succeed; a slug that a rename frees is
-    free from the next batch on.
+    Slugs that differ only in case, accents or trailing spaces are one slug. Within a batch the first request for a
+    (user, slug) may succeed; a slug that a rename frees is free from the next batch on.
     """
     name = strings.java_trim(F.col("name"))
-    judged = requests.withColumn("name", name).withColumn("slug", strings.collection_slug(F.col("name")))
-    taken = collections.select("user_id", "slug", F.col("id").alias("holder"))
+    judged = requests.withColumn("name", name).withColumn("slug", strings.collection_slug(F.col("name"))).withColumn(
+        "folded", same_name(F.col("slug")))
+    taken = collections.groupBy("user_id", same_name(F.col("slug")).alias("folded")).agg(F.min("id").alias("holder"))
     owners = collections.select(F.col("id").alias("collection_id"), F.col("user_id").alias("owner"))
-    rows = judged.join(taken, ["user_id", "slug"], "left").join(owners, "collection_id", "left")
+    rows = judged.join(taken, ["user_id", "folded"], "left").join(owners, "collection_id", "left")
     error = (
         F.when(F.col("name").isNull(), "Missing 'name' field")
         .when(F.col("name") == "", "Collection name cannot be empty")
@@ -165,13 +169,28 @@ def collection_write(collections: DataFrame, requests: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("error", error)
     # the first acceptable request per key, by aggregate and join: hot keys combine map-side
-    first = rows.where(F.col("error").isNull()).groupBy("user_id", "slug").agg(F.min("seq").alias("first_seq"))
+    first = rows.where(F.col("error").isNull()).groupBy("user_id", "folded").agg(F.min("seq").alias("first_seq"))
     verdict = F.coalesce(
         "error", F.when(F.col("seq") > F.col("first_seq"), "Collection with this name already exists"), F.lit("ok"))
-    return rows.join(first, ["user_id", "slug"], "left").select(
+    return rows.join(first, ["user_id", "folded"], "left").select(
         "seq", "collection_id", "user_id", "name", "slug", verdict.alias("verdict"))
 
 
+def collection_apply(collections: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The collections (id, name, slug, user_id) after the accepted requests of ``collection_write``.
+
+    Of several accepted renames of a collection the last one counts; inserts get the next free ids.
+    """
+    done = verdicts.where(F.col("verdict") == "ok")
+    renamed = done.where(F.col("collection_id").isNotNull()).groupBy(F.col("collection_id").alias("id")).agg(
+        F.max_by(F.struct("name", "slug"), "seq").alias("new"))
+    columns = ["id", "name", "slug", "user_id"]
+    kept = collections.join(renamed, "id", "left").select(
+        "id", F.coalesce("new.name", "name").alias("name"), F.coalesce("new.slug", "slug").alias("slug"), "user_id")
+    fresh = number_rows(done.where(F.col("collection_id").isNull()), F.col("seq"), collections)
+    return kept.unionByName(fresh.select(columns))
+
+
 def collection_delete(collections: DataFrame, links: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(collections, links) after deletes (collection_id, user_id): links lose the collection, not their row."""
     own = collections.select(F.col("id").alias("collection_id"), "user_id")
@@ -212,9 +231,9 @@ def export_upsert(jobs: DataFrame, asked: DataFrame, state: str = "pending") ->
 def export_update(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     """Set state, path and error; the completion time only for done and failed, cleared otherwise.
 
-    updates: (id, status, vault_path, error_msg, at), one per job.
+    updates: (seq, id, status, vault_path, error_msg, at); a job's update with the largest seq wins.
     """
-    new = updates.select("id", F.struct("status", "vault_path", "error_msg", "at").alias("new"))
+    new = updates.groupBy("id").agg(F.max_by(F.struct("status", "vault_path", "error_msg", "at"), "seq").alias("new"))
     joined = jobs.join(new, "id", "left")
     hit = F.col("new").isNotNull()
     closed = F.when(F.col("new.status").isin("done", "failed"), F.col("new.at"))

@@ -14,6 +14,8 @@ walked once more to list what was kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -38,11 +40,10 @@ def ttl_dedup(captures: DataFrame, keys: list[str], ts: str = "ts", seq: str = "
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = captures.select(*keys, us.alias("us"), F.col(seq).alias("seq"))
     hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        kept = _fold(rows, keys, ttl)
-    else:
-        kept = _fold(rows.join(hot, keys, "left_anti"), keys, ttl).unionByName(
-            _walk_hot(rows.join(hot, keys, "left_semi"), keys, ttl, cells))
+    # null keys are a key like others here, so the comparison is null-safe
+    found = reduce(and_, [rows[k].eqNullSafe(hot[k]) for k in keys])
+    kept = _fold(rows.join(hot, found, "left_anti"), keys, ttl).unionByName(
+        _walk_hot(rows.join(hot, found, "left_semi"), keys, ttl, cells))
     kind = captures.schema[ts].dataType
     return kept.select(*keys, F.timestamp_micros("us").cast(kind).alias(ts), F.col("seq").alias(seq))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.strings import wikilink_slug
+from linkloom.operators.changes import number_rows
 from linkloom.session import ensure_checkpoint_dir
 
 # largest group of links that is paired up directly: bounds the pairs at HOT_DEGREE per edge
@@ -206,8 +207,11 @@ def related_top(links: DataFrame, link_tags: DataFrame, k: int = 5, scope_user:
     items = _tag_items(link_tags)
     if scope_user:
         owner = links.select(F.col("id").alias("link_id"), "user_id")
-        items = items.join(owner, "link_id").select(
-            "link_id", F.xxhash64("item", "user_id").alias("item"))
+        items = items.join(owner, "link_id")
+        private = items.select(F.col("item").alias("tag"), "user_id").distinct()
+        none = links.select("id").limit(0)
+        private = number_rows(private, F.concat_ws(":", "tag", "user_id"), none).withColumnsRenamed({"tag": "item", "id": "own"})
+        items = items.join(private, ["item", "user_id"]).select("link_id", F.col("own").cast("bigint").alias("item"))
     targets = _targets(links)
     top = top_shared(items, targets, k, hot_degree=hot_degree)
     return top.join(targets, "rel_id").select(

@@ -58,13 +58,17 @@ def field_stats(docs: DataFrame) -> DataFrame:
 
 def write_index(docs: DataFrame, folder: str, buckets: int = 64) -> None:
     """Store postings, split by a hash of the term so that a query reads only its terms' buckets."""
-    rows = postings(docs).withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
+    rows = postings(docs).withColumn("bucket", _bucket(buckets))
     # bucket and id together spread a frequent term over many tasks and files
     rows.repartition("bucket", F.pmod(F.hash("id"), F.lit(16))).sortWithinPartitions("term").write.mode(
         "overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     field_stats(docs).write.mode("overwrite").parquet(f"{folder}/field_stats")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("term"), F.lit(buckets))
+
+
 def merge_docs(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert by id; of several writes of one id the last ``seq`` wins."""
     columns = existing.columns
@@ -77,15 +81,6 @@ def delete_docs(existing: DataFrame, gone: DataFrame) -> DataFrame:
     return existing.join(gone.select("id"), "id", "left_anti")
 
 
-# most query terms that are sent to every task; larger query tables are shuffled instead
-BROADCAST_TERMS = 200_000
-
-
-def few_terms(terms: DataFrame) -> bool:
-    """Is the query table of proven small size? Counts at most the bound."""
-    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-
-
 # ---- ranked search -----------------------------------------------------------------------------
 
 
@@ -98,27 +93,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.select("query_id", fields.alias("field"), "term", "qtf").unionByName(whole)
 
 
-def matching_postings(docs: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
+def matching_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Term counts of the asked terms only, straight from the documents (no stored index needed).
 
-    With few terms the other tokens are dropped inside the scanning task, before any shuffle.
+    Spark sends a small query table to the scanning tasks by its measured size, and other tokens are dropped there.
     """
     wanted = terms.select("field", "term").distinct()
-    wanted = F.broadcast(wanted) if small else wanted
     spots = _field_tokens(docs).select(
         "field", "id", "user_id", "dl", F.explode("terms").alias("term"))
     return spots.join(wanted, ["field", "term"]).groupBy("field", "term", "id", "user_id", "dl").agg(
         F.count("*").alias("tf"))
 
 
-def score(found: DataFrame, stats: DataFrame, terms: DataFrame, small: bool = False) -> DataFrame:
+def score(found: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id, user_id, score) from postings of the query terms."""
     # counting tf keeps the aggregated postings identical in both branches, so Spark reuses their shuffle
     df = found.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weights = terms.join(df, ["field", "term"]).join(stats, "field").select(
         "query_id", "field", "term", "avgdl",
         (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
-    weights = F.broadcast(weights) if small else weights
     norm = F.when(F.col("field") == "tags", F.lit(K1)).otherwise(K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     hits = found.join(weights, ["field", "term"]).withColumn("part", part)
@@ -132,19 +125,21 @@ def search_fulltext(docs: DataFrame, queries: DataFrame, limit: int = 20) -> Dat
     Queries (query_id, text) may carry user_id to limit the answer to that user.
     """
     terms = query_terms(queries)
-    small = few_terms(terms)
-    scored = score(matching_postings(docs, terms, small), field_stats(docs), terms, small)
+    scored = score(matching_postings(docs, terms), field_stats(docs), terms)
     return _top(scored, queries, limit)
 
 
-def search_index(found: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """The same over a stored index (postings, field_stats)."""
+def search_index(found: DataFrame, stats: DataFrame, queries: DataFrame, buckets: int = 64, limit: int = 20) -> DataFrame:
+    """The same over a stored index (postings in as many ``buckets`` as they were written in, field_stats).
+
+    Only the partitions of the asked terms' buckets are read; their numbers are the one thing the driver sees.
+    """
     terms = query_terms(queries)
-    small = few_terms(terms)
-    wanted = terms.select("field", "term").distinct()
-    wanted = F.broadcast(wanted) if small else wanted
-    mine = found.join(wanted, ["field", "term"], "left_semi").select("field", "term", "id", "user_id", "dl", "tf")
-    return _top(score(mine, stats, terms, small), queries, limit)
+    wanted = terms.select("field", "term", _bucket(buckets).alias("bucket")).distinct()
+    asked = [row[0] for row in wanted.select("bucket").distinct().collect()]
+    mine = found.where(F.col("bucket").isin(asked)).join(wanted, ["bucket", "field", "term"], "left_semi").select(
+        "field", "term", "id", "user_id", "dl", "tf")
+    return _top(score(mine, stats, terms), queries, limit)
 
 
 def _top(scored: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -250,7 +245,7 @@ def resync_docs(links: DataFrame, collections: DataFrame, link_tags: DataFrame,
 
 def mark_indexed(links: DataFrame, written: DataFrame, at: Column) -> DataFrame:
     """Set the index time of links whose document was really written."""
-    done = written.select("id", F.lit(True).alias("written"))
+    done = written.select("id").distinct().withColumn("written", F.lit(True))
     kind = links.schema["indexed_at"].dataType
     return links.join(done, "id", "left").withColumn(
         "indexed_at", F.when(F.col("written"), at.cast(kind)).otherwise(F.col("indexed_at"))).select(links.columns)

@@ -73,7 +73,7 @@ def write_notes(files: DataFrame, root: str) -> None:
 
     def write(rows) -> None:
         for row in rows:
-            target = os.path.join(root, row["path"].lstrip("/"))
+            target = os.path.join(root, row["path"])  # an absolute path stays one
             os.makedirs(os.path.dirname(target), exist_ok=True)
             aside = f"{target}.{os.getpid()}.tmp"
             with open(aside, "w", encoding="utf-8", newline="") as out:
@@ -87,7 +87,7 @@ def remove_files(paths: DataFrame, root: str) -> None:
     def remove(rows) -> None:
         for row in rows:
             try:
-                os.remove(os.path.join(root, row["path"].lstrip("/")))
+                os.remove(os.path.join(root, row["path"]))
             except FileNotFoundError:
                 pass
 
@@ -123,9 +123,13 @@ def manifest_upsert(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def note_moves(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(link_id, old_path, path) of notes whose path changed: the old files to remove."""
+    """(link_id, old_path, path) of notes whose path changed: the old files to remove.
+
+    An old path that is now another note's is not removed.
+    """
     old = manifest.select("link_id", F.col("path").alias("old_path"))
-    return old.join(fresh.select("link_id", "path"), "link_id").where(F.col("old_path") != F.col("path"))
+    moved = old.join(fresh.select("link_id", "path"), "link_id").where(F.col("old_path") != F.col("path"))
+    return moved.join(fresh.select(F.col("path").alias("old_path")), "old_path", "left_anti").select("link_id", "old_path", "path")
 
 
 def parent_dir(path: Column) -> Column:

@@ -84,16 +84,18 @@ def link_insert(t):
     return changes.link_insert(old, captures.unionByName(again))
 
 
+# every link is updated twice; the later update names another collection
 @query("link_update", f"""
 WITH {_UPDATES} SELECT l.id, l.user_id, l.status, CASE WHEN o.link_id IS NOT NULL THEN l.user_id * 10 + 5 ELSE l.collection_id END AS collection_id,
   CASE WHEN o.link_id IS NOT NULL THEN 'urgent' ELSE l.export_directory END AS export_directory,
   CASE WHEN o.link_id IS NOT NULL THEN NULL ELSE l.export_file_name END AS export_file_name
 FROM v_links l LEFT JOIN owned o ON o.link_id = l.id""")
 def link_update(t):
-    updates = urgent(t).select("link_id", "user_id", (F.col("user_id") * 10 + 5).alias("collection_id"),
-                               F.lit("urgent").alias("export_directory"),
-                               F.lit(None).cast("string").alias("export_file_name"))
-    return changes.link_update(t.links, updates).select(
+    def update(seq, collection, name):
+        return urgent(t).select(F.lit(seq).alias("seq"), "link_id", "user_id", (F.col("user_id") * 10 + collection).alias("collection_id"),
+                                F.lit("urgent").alias("export_directory"), F.lit(name).cast("string").alias("export_file_name"))
+
+    return changes.link_update(t.links, update(2, 5, None).unionByName(update(1, 4, "early"))).select(
         "id", "user_id", "status", "collection_id", "export_directory", "export_file_name")
 
 
@@ -113,13 +115,14 @@ _KIND = """CASE event_type WHEN 'click' THEN 'parsing' WHEN 'view' THEN 'parsed'
 
 
 @query("link_mark", f"""
-WITH ev AS (SELECT user_id AS link_id, event_id AS seq, {_KIND} AS kind, ts AS at_ts, 'Title ' || event_id AS title, (event_id % 9)::INT AS minutes FROM events),
+WITH ev AS (SELECT user_id AS link_id, event_id AS seq, {_KIND} AS kind, ts AS at_ts, 'Title ' || event_id AS title, (event_id % 9)::INT AS minutes, '# ' || event_id AS body FROM events),
 s AS (SELECT link_id, max_by(kind, seq) AS kind FROM ev WHERE kind IN ('parsing', 'parsed', 'failed') GROUP BY 1),
 p AS (SELECT link_id, max(seq) AS seq FROM ev WHERE kind = 'parsed' GROUP BY 1),
 x AS (SELECT link_id, max_by(at_ts, seq) AS at_ts FROM ev WHERE kind = 'indexed' GROUP BY 1)
 SELECT l.id, coalesce(s.kind, l.status) AS status, CASE WHEN e.seq IS NOT NULL THEN e.title ELSE l.title END AS title,
   CASE WHEN e.seq IS NOT NULL THEN e.minutes ELSE l.reading_time_min END AS reading_time_min,
-  CASE WHEN e.seq IS NOT NULL THEN e.at_ts ELSE l.parsed_at END AS parsed_at, coalesce(x.at_ts, l.indexed_at) AS indexed_at
+  CASE WHEN e.seq IS NOT NULL THEN e.at_ts ELSE l.parsed_at END AS parsed_at, coalesce(x.at_ts, l.indexed_at) AS indexed_at,
+  CASE WHEN e.seq IS NOT NULL THEN e.body ELSE 'old ' || l.id END AS content_md
 FROM v_links l LEFT JOIN s ON s.link_id = l.id LEFT JOIN p ON p.link_id = l.id LEFT JOIN ev e ON e.seq = p.seq LEFT JOIN x ON x.link_id = l.id""")
 def link_mark(t):
     kind = F.col("event_type")
@@ -127,9 +130,11 @@ def link_mark(t):
              .when(kind == "signup", "failed").otherwise("ignored"))
     events = t.base("events").select(
         F.col("user_id").alias("link_id"), F.col("event_id").alias("seq"), kinds.alias("kind"), F.col("ts").alias("at"),
-        F.concat(F.lit("Title "), "event_id").alias("title"), (F.col("event_id") % 9).cast("int").alias("reading_time_min"))
-    return changes.link_mark(t.links, events).select(
-        "id", "status", "title", "reading_time_min", "parsed_at", "indexed_at")
+        F.concat(F.lit("Title "), "event_id").alias("title"), (F.col("event_id") % 9).cast("int").alias("reading_time_min"),
+        F.concat(F.lit("# "), "event_id").alias("content_md"))
+    links = t.links.withColumn("content_md", F.concat(F.lit("old "), "id"))
+    return changes.link_mark(links, events).select(
+        "id", "status", "title", "reading_time_min", "parsed_at", "indexed_at", "content_md")
 
 
 @query("index_reset", """
@@ -141,9 +146,10 @@ def index_reset(t):
 # ---- collections -------------------------------------------------------------------------------
 
 
-@query("collection_write", rf"""
+_VERDICTS = rf"""
 WITH req AS (SELECT event_id AS seq, NULL::BIGINT AS collection_id, user_id, CASE event_type WHEN 'click' THEN '  Read & Later ' WHEN 'view' THEN 'Work/1-URGENT'
-    WHEN 'signup' THEN ' ' WHEN 'error' THEN '?!' ELSE 'Müßig ' || event_id END AS name FROM events
+    WHEN 'signup' THEN ' ' WHEN 'error' THEN '?!'
+    ELSE CASE WHEN event_id % 2 = 0 THEN 'Mühe ' ELSE 'MUHE ' END || (event_id % 40) // 2 END AS name FROM events
   UNION ALL SELECT 1000000000 + o_orderkey, o_custkey * 10 + 5, CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1 ELSE o_custkey END,
     'Box ' || o_orderpriority FROM orders),
 j AS (SELECT seq, collection_id, user_id, trim(name) AS name,
@@ -153,21 +159,39 @@ e AS (SELECT j.*, CASE WHEN j.name = '' THEN 'Collection name cannot be empty' W
    WHEN h.id IS NOT NULL AND h.id IS DISTINCT FROM j.collection_id THEN 'Collection with this name already exists' END AS error
   FROM j LEFT JOIN v_collections h ON h.user_id = j.user_id AND h.slug = j.slug
   LEFT JOIN v_collections o ON o.id = j.collection_id AND o.user_id = j.user_id),
-f AS (SELECT user_id, slug, min(seq) AS first FROM e WHERE error IS NULL GROUP BY 1, 2)
-SELECT e.seq, e.collection_id, e.user_id, e.name, e.slug,
+f AS (SELECT user_id, strip_accents(slug) AS slug, min(seq) AS first FROM e WHERE error IS NULL GROUP BY 1, 2),
+v AS (SELECT e.seq, e.collection_id, e.user_id, e.name, e.slug,
   coalesce(e.error, CASE WHEN e.seq > f.first THEN 'Collection with this name already exists' END, 'ok') AS verdict
-FROM e LEFT JOIN f ON f.user_id = e.user_id AND f.slug = e.slug""")
+FROM e LEFT JOIN f ON f.user_id = e.user_id AND f.slug = strip_accents(e.slug))"""
+
+
+@query("collection_write", f"{_VERDICTS} SELECT * FROM v")
 def collection_write(t):
+    return changes.collection_write(t.collections, name_requests(t))
+
+
+@query("collection_apply", f"""{_VERDICTS},
+r AS (SELECT collection_id AS id, max_by(name, seq) AS name, max_by(slug, seq) AS slug FROM v
+  WHERE verdict = 'ok' AND collection_id IS NOT NULL GROUP BY 1)
+SELECT c.id, coalesce(r.name, c.name) AS name, coalesce(r.slug, c.slug) AS slug, c.user_id FROM v_collections c LEFT JOIN r ON r.id = c.id
+UNION ALL SELECT (SELECT max(id) FROM v_collections) + row_number() OVER (ORDER BY md5(seq::VARCHAR)), name, slug, user_id
+FROM v WHERE verdict = 'ok' AND collection_id IS NULL""")
+def collection_apply(t):
+    return changes.collection_apply(t.collections, changes.collection_write(t.collections, name_requests(t)))
+
+
+def name_requests(t):
     kind = F.col("event_type")
     name = (F.when(kind == "click", "  Read & Later ").when(kind == "view", "Work/1-URGENT").when(kind == "signup", " ")
-            .when(kind == "error", "?!").otherwise(F.concat(F.lit("Müßig "), "event_id")))
+            .when(kind == "error", "?!").otherwise(F.concat(
+                F.when(F.col("event_id") % 2 == 0, "Mühe ").otherwise("MUHE "), F.floor(F.col("event_id") % 40 / 2))))
     inserts = t.base("events").select(
         F.col("event_id").alias("seq"), F.lit(None).cast("bigint").alias("collection_id"), "user_id", name.alias("name"))
     user = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
     renames = t.base("orders").select(
         (F.col("o_orderkey") + 1000000000).alias("seq"), (F.col("o_custkey") * 10 + 5).alias("collection_id"),
         user.alias("user_id"), F.concat(F.lit("Box "), "o_orderpriority").alias("name"))
-    return changes.collection_write(t.collections, inserts.unionByName(renames))
+    return inserts.unionByName(renames)
 
 
 _DROPS = """req AS (SELECT DISTINCT o_custkey * 10 + 1 AS collection_id, CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1 ELSE o_custkey END AS user_id
@@ -221,8 +245,8 @@ def export_update(t):
     s = F.col("status")
     new = F.when(s == "pending", "exporting").when(s == "exporting", "done").otherwise("failed")
     updates = t.export_jobs.where(s != "done").select(
-        "id", new.alias("status"), (F.col("created_at") + F.expr("INTERVAL '1' HOUR")).alias("at")).select(
-        "id", "status", F.when(s == "done", F.concat(F.lit("x/"), "id", F.lit(".md"))).alias("vault_path"),
-        F.when(s == "failed", "again").alias("error_msg"), "at")
+        "id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), new.alias("status"), (F.col("created_at") + F.expr("INTERVAL '1' HOUR")).alias("at")).select(
+        "id", "seq", "status", F.when(s == "done", F.concat(F.lit("x/"), "id", F.lit(".md"))).alias("vault_path"),
+        F.when(s == "failed", F.when(F.col("seq") == 2, "again").otherwise("early")).alias("error_msg"), "at")
     return changes.export_update(jobs_table(t), updates).select(
         "id", "link_id", "status", "vault_path", "error_msg", "completed_at")

@@ -76,14 +76,14 @@ AS_OF = "2024-06-01 12:00:00"
 # ---- slugs and paths ---------------------------------------------------------------------------
 
 
-@query("slug_wikilink", f"SELECT id, {q_wikilink('title')} AS slug FROM v_doc_links")
+@query("slug_wikilink", f"SELECT id, {q_wikilink('content')} AS slug FROM v_doc_links")
 def slug_wikilink(t):
-    return t.doc_links.select("id", strings.wikilink_slug(F.col("title")).alias("slug"))
+    return t.doc_links.select("id", strings.wikilink_slug(F.col("content")).alias("slug"))
 
 
-@query("slug_note", f"SELECT id, {q_note('title')} AS slug FROM v_doc_links")
+@query("slug_note", f"SELECT id, {q_note('content')} AS slug FROM v_doc_links")
 def slug_note(t):
-    return t.doc_links.select("id", strings.note_slug(F.col("title")).alias("slug"))
+    return t.doc_links.select("id", strings.note_slug(F.col("content")).alias("slug"))
 
 
 @query("slug_file_stem",
@@ -170,10 +170,10 @@ def blank_to_null(t):
 
 
 @query("parse_tags", """
-SELECT id, array_to_string(list_filter(list_transform(string_split(replace(title, ' ', ' ,'), ','), lambda s: trim(s)), lambda s: s <> ''), '|') AS tags
+SELECT id, array_to_string(list_filter(list_transform(string_split(replace(content, ' ', ' ,'), ','), lambda s: trim(s)), lambda s: s <> ''), '|') AS tags
 FROM v_doc_links""")
 def parse_tags(t):
-    text = F.replace(F.col("title"), F.lit(" "), F.lit(" ,"))
+    text = F.replace(F.col("content"), F.lit(" "), F.lit(" ,"))
     return t.doc_links.select("id", F.array_join(strings.parse_tag_list(text), "|").alias("tags"))
 
 

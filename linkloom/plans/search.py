@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import search
 from linkloom.plans.registry import query
 from linkloom.plans.relational import TAGS_SQL, joined
+from linkloom.streaming.flows import work_folder
 
 TEXTS = [(1, "The thand of"), (2, "le que la LE"), (3, "src3"), (4, "en")]
 
@@ -17,8 +18,8 @@ def q_tokens(x):
 
 def docs(t):
     """Search documents: tags are part of the document, as in an index."""
-    title = F.trim(F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")))
-    return t.spread("documents").select(
+    title = F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))
+    return t.base("documents").select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("user_id"), title.alias("title"),
         F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.col("source").alias("collection"),
         F.col("doc_id").alias("saved_at"))
@@ -69,6 +70,15 @@ def search_fulltext(t):
     return search.search_fulltext(docs(t), texts(t))
 
 
+@query("search_stored", _RANKED + "SELECT query_id, user_id, id, score, pos FROM top")
+def search_stored(t):
+    """Builds the index in a shared folder and answers from it."""
+    folder = work_folder(t.spark, "search-index")
+    search.write_index(docs(t), folder)
+    return search.search_index(
+        t.spark.read.parquet(f"{folder}/postings"), t.spark.read.parquet(f"{folder}/field_stats"), texts(t))
+
+
 def q_mark(x, terms):
     pieces = rf"regexp_extract_all({x}, '[\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}]+')"
     return (f"CASE WHEN len(list_filter({pieces}, lambda p: list_contains({terms}, lower(p)))) > 0 THEN array_to_string(list_transform({pieces}, "

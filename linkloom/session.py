@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -32,11 +34,19 @@ def build_session(app: str = "linkloom", master: str | None = None, **extra: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is named."""
+    """The folder that spark.checkpoint.dir names; all machines must share it.
+
+    Only a session without other machines (master ``local``) gets a folder of its own where none is named.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="linkloom-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -61,7 +61,7 @@ SELECT o_orderkey AS id, o_orderkey AS link_id,
 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0""",
     "v_doc_links": """
 SELECT doc_id AS id, 'https://docs.example.org/' || CAST(doc_id AS STRING) AS url,
-       trim(replace(substring(text, 1, 60), chr(10), ' ')) AS title, text AS content,
+       trim(split_part(text, chr(10), 1)) AS title, text AS content,
        source AS collection, doc_id % 50 AS user_id, doc_id AS saved_seq
 FROM documents""",
     "v_doc_tags": """
@@ -98,14 +98,6 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table of wide rows for CPU-heavy work.
-
-        Only a scan of fewer splits than cores is redistributed; a large table is never shuffled here.
-        """
-        rows, cores = self.base(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
     def view(self, name: str) -> DataFrame:
         text = VIEW_SQL[name]
         used = set(re.findall(rf"\b(?:FROM|JOIN)\s+({_BASE})\b", text))
@@ -132,7 +124,7 @@ class Tables:
     captures = cached_property(lambda self: self.view("v_captures"))
     requests = cached_property(lambda self: self.view("v_requests"))
     attempts = cached_property(lambda self: self.view("v_attempts"))
-    pages = cached_property(lambda self: self.spread("pages"))
+    pages = cached_property(lambda self: self.base("pages"))
 
 
 def with_views(body: str) -> str:

@@ -71,7 +71,9 @@ def test_stored_index_gives_the_same_answer(spark, tmp_path):
         "id bigint, user_id bigint, title string, content string, tags array<string>, collection string, saved_at bigint")
     queries = spark.createDataFrame([(1, "quick title"), (2, "x"), (3, "nothing here")], "query_id int, text string")
     search.write_index(docs, str(tmp_path / "ix"), buckets=4)
-    stored = search.search_index(spark.read.parquet(str(tmp_path / "ix/postings")), spark.read.parquet(str(tmp_path / "ix/field_stats")), queries)
+    stored = search.search_index(spark.read.parquet(str(tmp_path / "ix/postings")), spark.read.parquet(str(tmp_path / "ix/field_stats")), queries, buckets=4)
+    assert "PartitionFilters: [isnotnull(bucket" in stored._jdf.queryExecution().toString() or "bucket#" in str(
+        stored._jdf.queryExecution().executedPlan().toString()).split("PartitionFilters: [")[1].split("]")[0]
     direct = search.search_fulltext(docs, queries)
     assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in direct.collect()} != set()
 
