@@ -27,7 +27,7 @@ def captures(t):
 @query("stream_ttl_dedup", q_ttl("user_id || ' ' || url", 86400))
 def stream_ttl_dedup(t):
     rows = captures(t).select(F.concat_ws(" ", "user_id", "url").alias("key"), "ts", "event_id")
-    out = flows.collect_batches(stateful.ttl_dedup_stream(rows, ["key"]), flows.work_folder(t.spark, "ttl"), idle_batches=False)
+    out = flows.collect_batches(stateful.ttl_dedup_stream(rows, ["key"]), flows.work_folder(t.spark, "ttl"))
     return out.where("verdict = 'kept'").select(
         "key", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.col("seq").alias("event_id"))
 
@@ -38,23 +38,21 @@ def stream_permanent_dedup(t):
     return flows.collect_batches(kept.select("user_id", "url"), flows.work_folder(t.spark, "first"))
 
 
-@query("stream_rate_limit", "SELECT seq, key, allowed, used, reset_at FROM (" + q_replay(TIGHT).strip() + ") r WHERE key IS NOT NULL")
+@query("stream_rate_limit", "SELECT seq, key, allowed, used, reset_at FROM (" + q_replay(TIGHT).strip() + ") r")
 def stream_rate_limit(t):
     requests = stream_of(t, "events").select(
         "event_id", "ts", F.when(F.col("event_type") == "signup", "/auth/login").when(F.col("event_type") == "view", "/links/search")
         .when(F.col("event_type") == "error", "/health").otherwise("/links").alias("path"),
         F.concat(F.lit("10.0.0."), F.col("user_id") % 20, F.lit(", 172.16.0.1")).alias("x_forwarded_for"))
     judged = stateful.rate_limit_stream(ratelimit.keyed_requests(requests, TIGHT))
-    return flows.collect_batches(judged, flows.work_folder(t.spark, "rate"), idle_batches=False).drop("late")
+    return flows.collect_batches(judged, flows.work_folder(t.spark, "rate")).drop("late")
 
 
 @query("stream_slot_counts", """
-SELECT event_type, epoch(date_trunc('second', ts))::BIGINT // 15 AS slot, count(*) AS c FROM events GROUP BY 1, 2
-HAVING slot * 15 + 15 <= (SELECT epoch(max(ts)) FROM events) - 600""")
+SELECT event_type, epoch(date_trunc('second', ts))::BIGINT // 15 AS slot, count(*) AS c FROM events GROUP BY 1, 2""")
 def stream_slot_counts(t):
-    # slots that the watermark has closed
-    closed = windows.slot_counts_stream(stream_of(t, "events"), ["event_type"])
-    return flows.collect_batches(closed, flows.work_folder(t.spark, "slots"))
+    counts = windows.slot_counts_stream(stream_of(t, "events"), ["event_type"])
+    return windows.final_counts(flows.collect_batches(counts, flows.work_folder(t.spark, "slots"), "update"), ["event_type"])
 
 
 @query("feed", """SELECT '{"type":"link_parsed","linkId":' || user_id || '}' AS value FROM events WHERE event_type = 'view'""")
@@ -97,17 +95,19 @@ def capture_flow(t):
 def incremental_index(t):
     folder = flows.work_folder(t.spark, "index")
     ids = stream_of(t, "orders").select(F.col("o_orderkey").alias("link_id"))
-    flows.IncrementalIndex(t.links, t.collections, t.link_tags, t.tags, folder).run(ids)
-    return t.spark.read.parquet(f"{folder}/docs").drop("batch").withColumn("tags", joined())
+    index = flows.IncrementalIndex(t.links, t.collections, t.link_tags, t.tags, folder)
+    index.run(ids)
+    return index.documents().withColumn("tags", joined())
 
 
 @query("stream_links_per_hour", """
 WITH closed AS (SELECT event_id, ts, kind, epoch(date_trunc('second', ts))::BIGINT // 15 AS slot FROM v_attempts WHERE kind = 'link_created'),
-s AS (SELECT slot, count(*) AS c FROM closed WHERE slot * 15 + 15 <= (SELECT epoch(max(ts)) FROM closed) - 600 GROUP BY 1)
+s AS (SELECT slot, count(*) AS c FROM closed GROUP BY 1)
 SELECT make_timestamp((slot + 1) * 15 * 1000000) AS "at", (sum(c) OVER (ORDER BY slot RANGE BETWEEN 239 PRECEDING AND CURRENT ROW))::BIGINT AS n FROM s""")
 def stream_links_per_hour(t):
     created = stream_of(t, "events").where("event_type = 'click'")
-    slots = flows.collect_batches(windows.slot_counts_stream(created), flows.work_folder(t.spark, "hourly"))
+    counts = flows.collect_batches(windows.slot_counts_stream(created), flows.work_folder(t.spark, "hourly"), "update")
+    slots = windows.final_counts(counts)
     return metrics.sliding_from_slots(slots, 3600)
 
 

@@ -23,37 +23,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, idle_batches: bool = True) -> None:
-    """Process everything that has arrived, batch by batch, then stop.
-
-    Operators that release state by wall-clock time ask for another batch for ever; run those with
-    ``idle_batches`` off, so that the run ends with the data.
-    """
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key)
-    conf.set(key, str(idle_batches).lower())
-    try:
-        query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-            availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        conf.set(key, before)
-
-
-def run_every(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, period: str = "30 seconds"):
-    """Keep going, one batch per period."""
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        processingTime=period).start()
-
-
-def collect_batches(stream: DataFrame, folder: str, idle_batches: bool = True) -> DataFrame:
+def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
+    """Process everything that has arrived, batch by batch, then stop."""
+    stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
+
+
+def collect_batches(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into a table, and read it back."""
     spark = stream.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={epoch}")
 
-    run_available(stream, step, folder, idle_batches)
+    run_available(stream, step, folder, mode)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows").drop("batch")
 
 
@@ -112,7 +95,7 @@ class CaptureFlow:
 
 
 class IncrementalIndex:
-    """Keeps a document table up to date from a stream of parsed link ids."""
+    """Keeps a document table and the links' index times up to date from a stream of parsed link ids."""
 
     def __init__(self, links: DataFrame, collections: DataFrame, link_tags: DataFrame, tags: DataFrame, folder: str):
         self.inputs, self.folder = (links, collections, link_tags, tags), folder
@@ -122,6 +105,16 @@ class IncrementalIndex:
         asked = links.join(batch.select(F.col("link_id").alias("id")).distinct(), "id", "left_semi")
         search.resync_docs(asked, *others).write.mode("overwrite").parquet(f"{self.folder}/docs/batch={epoch}")
 
+    def documents(self) -> DataFrame:
+        """One document per link: that of the last batch that wrote it."""
+        rows = self.inputs[0].sparkSession.read.parquet(f"{self.folder}/docs")
+        columns = [c for c in rows.columns if c not in ("id", "batch")]
+        return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("id", "row.*")
+
+    def marked_links(self, at: Column) -> DataFrame:
+        """The links, those with a written document marked as indexed."""
+        return search.mark_indexed(self.inputs[0], self.documents(), at)
+
     def run(self, ids: DataFrame) -> None:
         run_available(ids, self.step, self.folder)
 

@@ -1,8 +1,9 @@
 """Streaming forms of deduplication and admission.
 
 State is per key and small. Rows are taken in time order inside a batch; a row older than one of its
-key already judged is answered 'late' and changes nothing, so nothing is dropped silently. State that
-saw no row for two windows of wall-clock time is released.
+key already judged is answered 'late' and changes nothing. State is released by event time only: once the
+watermark has passed the end of its window, however long a stall or backlog lasts. Spark drops rows behind
+the watermark and counts them in the query progress, so its delay is the caller's to choose.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ def _sorted(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame
 
 
 def ttl_dedup_stream(captures: DataFrame, keys: list[str], ts: str = "ts", seq: str = "event_id",
-                     ttl_seconds: int = DAY) -> DataFrame:
-    """(keys, us, seq, verdict) with verdict kept, repeat or late, for every capture."""
+                     ttl_seconds: int = DAY, delay: str = "1 hour") -> DataFrame:
+    """(keys, us, seq, verdict) with verdict kept, repeat or late, for every capture not behind the watermark."""
     ttl = ttl_seconds * 1_000_000
-    rows = captures.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(seq).alias("seq"))
+    rows = captures.select(*keys, F.col(ts).cast("timestamp").alias("at"), F.col(seq).alias("seq"))
+    rows = rows.withColumn("us", F.unix_micros("at")).withWatermark("at", delay)
     fields = ", ".join(f"{k} {captures.schema[k].dataType.simpleString()}" for k in keys)
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,7 +58,7 @@ def ttl_dedup_stream(captures: DataFrame, keys: list[str], ts: str = "ts", seq:
             at = int(np.searchsorted(us, until))
         if len(us):
             state.update((until, max(int(us[-1]), seen if seen is not None else int(us[-1]))))
-        state.setTimeoutDuration(2 * ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs()) + 1)
         out = pd.DataFrame({"us": us, "seq": rows["seq"].to_numpy(), "verdict": verdict})
         for position, name in enumerate(keys):
             out[name] = key[position]
@@ -64,12 +66,19 @@ def ttl_dedup_stream(captures: DataFrame, keys: list[str], ts: str = "ts", seq:
 
     return rows.groupBy(*keys).applyInPandasWithState(
         judge, f"{fields}, us bigint, seq bigint, verdict string", "until bigint, seen bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limit_stream(keyed: DataFrame) -> DataFrame:
-    """(seq, key, allowed, used, reset_at, late) of keyed requests (seq, ms, key, most, span); see ratelimit."""
-    rows = keyed.where(F.col("key").isNotNull())
+def rate_limit_stream(keyed: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(seq, key, allowed, used, reset_at, late) of keyed requests (seq, ms, key, most, span); see ratelimit.
+
+    Exempt requests (null key) are allowed.
+    """
+    timed = keyed.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
+    rows = timed.where(F.col("key").isNotNull())
+    free = timed.where(F.col("key").isNull()).select(
+        "seq", "key", F.lit(True).alias("allowed"), F.lit(0).alias("used"),
+        F.lit(None).cast("bigint").alias("reset_at"), F.lit(False).alias("late"))
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -91,10 +100,11 @@ def rate_limit_stream(keyed: DataFrame) -> DataFrame:
             out.append((seq, key[0], used < most, used, None if used < most else ms // 1000 + span // 1000, False))
         if out:
             state.update((list(log), seen))
-            state.setTimeoutDuration(max(2 * int(span), 1000))
+            state.setTimeoutTimestamp(max(seen + int(span), state.getCurrentWatermarkMs()) + 1)
         frame = pd.DataFrame(out, columns=["seq", "key", "allowed", "used", "reset_at", "late"])
         yield frame.astype({"used": "Int32", "reset_at": "Int64", "allowed": "boolean"})
 
-    return rows.groupBy("key").applyInPandasWithState(
+    judged = rows.groupBy("key").applyInPandasWithState(
         judge, "seq bigint, key string, allowed boolean, used int, reset_at bigint, late boolean",
-        "log array<bigint>, seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "log array<bigint>, seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return judged.unionByName(free)

@@ -89,20 +89,35 @@ def test_ttl_stream_equals_batch(spark, tmp_path):
     schema = "key string, ts timestamp, event_id bigint"
     batch_rows = [(k, t, s) for k, t, s in rows]
     stream = write_batches(spark, batch_rows, schema, tmp_path / "in")
-    out = flows.collect_batches(stateful.ttl_dedup_stream(stream, ["key"], ttl_seconds=7200), str(tmp_path / "run"), idle_batches=False)
+    out = flows.collect_batches(stateful.ttl_dedup_stream(stream, ["key"], ttl_seconds=7200), str(tmp_path / "run"))
     found = {(r.key, r.seq): r.verdict for r in out.collect()}
     assert len(found) == len(rows)
     assert {k for k, v in found.items() if v == "kept"} == greedy(rows, 7200)
     assert "late" not in found.values()
 
 
+def test_state_outlives_a_pause(spark, tmp_path):
+    """State is kept by event time: a stream that stands still for longer than the window forgets nothing."""
+    import time
+
+    def slow(batch, epoch):
+        time.sleep(3)
+        batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={epoch}"))
+
+    rows = [("a", START, 1), ("b", START, 2), ("b", START, 3), ("a", START + dt.timedelta(seconds=1), 4)]
+    stream = write_batches(spark, rows, "key string, ts timestamp, event_id bigint", tmp_path / "in")
+    flows.run_available(stateful.ttl_dedup_stream(stream, ["key"], ttl_seconds=2), slow, str(tmp_path / "run"))
+    found = {r.seq: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {1: "kept", 2: "kept", 3: "repeat", 4: "repeat"}
+
+
 def test_rate_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(9)
     rows = sorted((1_700_000_000_000 + rnd.randrange(60_000), s, rnd.choice("ab")) for s in range(300))
     schema = "seq bigint, ms bigint, key string, most int, span bigint"
     keyed = [(s, ms, k, 4, 3000) for ms, s, k in rows]
     stream = write_batches(spark, keyed, schema, tmp_path / "in")
-    out = flows.collect_batches(stateful.rate_limit_stream(stream), str(tmp_path / "run"), idle_batches=False)
+    out = flows.collect_batches(stateful.rate_limit_stream(stream), str(tmp_path / "run"))
     got = {r.seq: (r.allowed, r.used) for r in out.collect()}
     assert got == admit([(k, ms, s) for ms, s, k in rows], 4, 3000)
 
