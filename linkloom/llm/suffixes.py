@@ -32,6 +32,7 @@ from linkloom.llm.windows import extent, hot_minimisers, joined
 
 RUN_BYTES = 6 << 20  # bytes of text whose members are sorted together
 RANGE_BYTES = 8 << 20  # bytes of members in one range, about
+LIMIT = RANGE_BYTES // 400  # members of one gram that fill a range
 SAMPLE_BYTES = 16 << 20  # text from which the ends of the ranges are taken: they decide the balance only
 KINDS = ["<i8", "<i4", "<i2", "<i2", "<i2"]  # row, start, strings, shared prefix, bytes before the anchor
 
@@ -339,7 +340,7 @@ def _cutter(length: int):
 
 
 def drop_repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, gram: int = 16,
-                          limit: int = 5000) -> DataFrame:
+                          limit: int = LIMIT) -> DataFrame:
     """One row per input row: row, key, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay).
 
     A text's UTF-8 bytes go where a string of ``length`` bytes covers them that also starts anywhere else, in the same text

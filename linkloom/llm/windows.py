@@ -25,6 +25,7 @@ from linkloom.llm.tables import stored
 
 FLUSH_BYTES = 8 << 20  # packed strings that a task holds before it hands them on
 BUCKET_BYTES = 8 << 20  # packed strings of one bucket, about
+LIMIT = BUCKET_BYTES // 160  # runs of one minimiser that fill a bucket: a run is some 30 words
 
 
 class Shape:
@@ -281,7 +282,7 @@ def _cutter(window: int):
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, minimiser: int = 3,
-                 limit: int = 5000) -> DataFrame:
+                 limit: int = LIMIT) -> DataFrame:
     """One row per input row: doc (the whole input row without its text), n_words, n_removed, kept_text (the words that
     stay, joined by one space).
 

@@ -245,7 +245,7 @@ def brute_windows(frame, size):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [5000, 1])
+@pytest.mark.parametrize("limit", [50_000, 1])
 def test_windows(docs, odd, limit):
     for frame in (docs, odd):
         got = windows.drop_repeats(frame, limit=limit).select("doc.doc_id", "n_words", "n_removed", "kept_text")
@@ -270,7 +270,7 @@ def brute_strings(frame, size):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [5000, 1])
+@pytest.mark.parametrize("limit", [50_000, 1])
 def test_strings(docs, odd, limit, monkeypatch):
     monkeypatch.setattr(suffixes, "RANGE_BYTES", 200_000)  # several ranges
     for frame in (docs, odd):
