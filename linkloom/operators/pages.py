@@ -37,6 +37,10 @@ def html_parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=PARTS.fieldNames())
 
 
+# a filter on what the function gives must not run it a second time
+html_parts = html_parts.asNondeterministic()
+
+
 def page_parts(pages: DataFrame) -> DataFrame:
     """(page_id, url, parts...): a narrow job, one Arrow pass per split."""
     return pages.select("page_id", "url", html_parts("html").alias("p")).select("page_id", "url", "p.*")

@@ -48,6 +48,11 @@ def with_collection_name(links: DataFrame, collections: DataFrame) -> DataFrame:
         "collection_name", F.coalesce("collection_name", F.lit("Unsorted")))
 
 
+def owned(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows that are asked for (id, user_id) and belong to the asking user."""
+    return rows.join(asked.select("id", "user_id"), ["id", "user_id"], "left_semi")
+
+
 def links_page(links: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """Each user's newest links without their content, one page."""
     columns = [c for c in links.columns if c not in ("content_md", "indexed_at")]

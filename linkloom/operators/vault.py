@@ -113,6 +113,16 @@ def read_manifest(texts: DataFrame, column: str = "value") -> DataFrame:
         F.col("n.linkId").alias("link_id"), "n.path", "n.slug", "n.collection", F.col("n.updatedAt").alias("updated_at"))
 
 
+def write_manifest(manifest: DataFrame, folder: str, notes_per_text: int = 1000) -> None:
+    """Store the manifest as JSON texts of about ``notes_per_text`` notes each, one per line; ``read_manifest`` reads them."""
+    entry = F.struct(F.col("link_id").alias("linkId"), "path", "slug", "collection", F.col("updated_at").alias("updatedAt"))
+    texts = F.ceil(F.lit(manifest.count() / notes_per_text)).cast("long")
+    part = F.pmod(F.xxhash64("link_id"), F.greatest(texts, F.lit(1)))
+    named = F.map_from_entries(F.collect_list(F.struct(F.col("link_id").cast("string"), entry)))
+    manifest.groupBy(part.alias("part")).agg(F.to_json(F.struct(named.alias("notes"))).alias("value")).select(
+        "value").write.mode("overwrite").text(folder)
+
+
 def manifest_upsert(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
     """Manifest rows by link after new notes; untouched links keep theirs."""
     fields = ["path", "slug", "collection", "updated_at"]

@@ -44,13 +44,25 @@ def src_pages(t):
 # ---- lookups and filters -----------------------------------------------------------------------
 
 
+# every fourth request is another user's and finds nothing
+_ASKED = """asked AS (SELECT o_orderkey AS id, o_custkey * 10 + 5 AS collection, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id
+  FROM orders)"""
+
+
+def asked(t, key):
+    user = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    return t.base("orders").select(key.alias("id"), user.alias("user_id"))
+
+
 @query("link_by_id", f"""
-SELECT l.id, l.url, l.title, l.status, l.collection_id, l.user_id, l.saved_at, l.parsed_at, l.indexed_at, coalesce(g.tags, '') AS tags
-FROM v_links l LEFT JOIN ({TAGS_SQL}) g ON g.link_id = l.id""")
+WITH {_ASKED} SELECT l.id, l.url, l.title, l.status, l.collection_id, l.user_id, l.saved_at, l.parsed_at, l.indexed_at, d.text AS content_md,
+  coalesce(g.tags, '') AS tags
+FROM v_links l LEFT JOIN documents d ON d.doc_id = l.id LEFT JOIN ({TAGS_SQL}) g ON g.link_id = l.id
+WHERE (l.id, l.user_id) IN (SELECT (id, user_id) FROM asked)""")
 def link_by_id(t):
-    full = rel.with_tags(t.links, t.link_tags, t.tags)
+    full = rel.with_tags(rel.owned(t.full_links, asked(t, F.col("o_orderkey"))), t.link_tags, t.tags)
     return full.select("id", "url", "title", "status", "collection_id", "user_id", "saved_at", "parsed_at",
-                       "indexed_at", joined())
+                       "indexed_at", "content_md", joined())
 
 
 @query("links_for_user", f"""
@@ -69,14 +81,15 @@ def links_count_user(t):
 
 
 @query("links_not_indexed", """
-SELECT id, url, '' AS content_md FROM v_links WHERE status = 'parsed' AND indexed_at IS NULL""")
+SELECT id, url, coalesce(text, '') AS content_md FROM v_links LEFT JOIN documents ON doc_id = id WHERE status = 'parsed' AND indexed_at IS NULL""")
 def links_not_indexed(t):
-    return rel.links_not_indexed(t.links)
+    return rel.links_not_indexed(t.full_links)
 
 
-@query("collection_by_id", "SELECT id, name, slug, user_id FROM v_collections")
+@query("collection_by_id", f"""
+WITH {_ASKED} SELECT id, name, slug, user_id FROM v_collections WHERE (id, user_id) IN (SELECT (collection, user_id) FROM asked)""")
 def collection_by_id(t):
-    return t.collections.select("id", "name", "slug", "user_id")
+    return rel.owned(t.collections, asked(t, F.col("o_custkey") * 10 + 5)).select("id", "name", "slug", "user_id")
 
 
 @query("tags_for_link", """

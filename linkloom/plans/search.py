@@ -127,21 +127,21 @@ def search_suggest(t):
     return search.search_suggest(t.doc_links, "Of TH").select("user_id", "id", "title", "pos")
 
 
-_RESYNC = f"""SELECT l.id, l.url, coalesce(l.title, '') AS title, '' AS content, coalesce(l.reading_time_min, 0) AS reading_time, l.saved_at, l.user_id,
+_RESYNC = f"""SELECT l.id, l.url, coalesce(l.title, '') AS title, coalesce(d.text, '') AS content, coalesce(l.reading_time_min, 0) AS reading_time, l.saved_at, l.user_id,
   coalesce(c.slug, 'unsorted') AS collection, coalesce(g.tags, '') AS tags FROM v_links l LEFT JOIN v_collections c ON c.id = l.collection_id
-  LEFT JOIN ({TAGS_SQL}) g ON g.link_id = l.id WHERE l.status = 'parsed' AND l.indexed_at IS NULL"""
+  LEFT JOIN documents d ON d.doc_id = l.id LEFT JOIN ({TAGS_SQL}) g ON g.link_id = l.id WHERE l.status = 'parsed' AND l.indexed_at IS NULL"""
 
 
 @query("resync_docs", _RESYNC)
 def resync_docs(t):
-    return search.resync_docs(t.links, t.collections, t.link_tags, t.tags).withColumn("tags", joined())
+    return search.resync_docs(t.full_links, t.collections, t.link_tags, t.tags).withColumn("tags", joined())
 
 
 @query("sink_search_docs", f"""
 WITH n AS ({_RESYNC}) SELECT id, title, collection, user_id FROM n WHERE id NOT IN (SELECT user_id FROM events)
 UNION ALL SELECT user_id, 'Event ' || max(event_id), max_by(event_type, event_id), max_by(user_id, event_id) FROM events GROUP BY user_id""")
 def sink_search_docs(t):
-    old = search.resync_docs(t.links, t.collections, t.link_tags, t.tags).select("id", "title", "collection", "user_id")
+    old = search.resync_docs(t.full_links, t.collections, t.link_tags, t.tags).select("id", "title", "collection", "user_id")
     batch = t.base("events").select(
         F.col("user_id").alias("id"), F.concat(F.lit("Event "), "event_id").alias("title"),
         F.col("event_type").alias("collection"), "user_id", F.col("event_id").alias("seq"))

@@ -95,7 +95,7 @@ def capture_flow(t):
 def incremental_index(t):
     folder = flows.work_folder(t.spark, "index")
     ids = stream_of(t, "orders").select(F.col("o_orderkey").alias("link_id"))
-    index = flows.IncrementalIndex(t.links, t.collections, t.link_tags, t.tags, folder)
+    index = flows.IncrementalIndex(t.full_links, t.collections, t.link_tags, t.tags, folder)
     index.run(ids)
     return index.documents().withColumn("tags", joined())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import relational as rel
@@ -60,13 +61,13 @@ _PATH = q_note_path("l.export_directory", "l.export_file_name", "coalesce(l.titl
 _NOTES = _TOP5 + f""", rel AS (SELECT link_id, string_agg('[[' || slug || ']]', {NL} ORDER BY pos) AS lines FROM top5 GROUP BY 1),
 notes AS (SELECT l.id AS link_id, {_PATH} AS path, {q_stem("coalesce(l.export_file_name, coalesce(l.title, ''))")} AS slug,
   coalesce({q_dir("coalesce(c.slug, 'unsorted')")}, 'unsorted') AS collection, '{ISO}' AS updated_at,
-  {q_note_text(q_front("coalesce(l.title, '')", 'l.url', 'coalesce(g.tags, [])', f"coalesce({q_dir(chr(99) + 'oalesce(c.slug, ' + repr('unsorted') + ')')}, 'unsorted')", 'coalesce(l.reading_time_min, 1)', 'l.id'), "coalesce(l.title, '')", "''", 'rel.lines')} AS content
-  FROM v_links l LEFT JOIN v_collections c ON c.id = l.collection_id LEFT JOIN ({_LIST}) g ON g.link_id = l.id
+  {q_note_text(q_front("coalesce(l.title, '')", 'l.url', 'coalesce(g.tags, [])', f"coalesce({q_dir(chr(99) + 'oalesce(c.slug, ' + repr('unsorted') + ')')}, 'unsorted')", 'coalesce(l.reading_time_min, 1)', 'l.id'), "coalesce(l.title, '')", "coalesce(d.text, '')", 'rel.lines')} AS content
+  FROM v_links l LEFT JOIN documents d ON d.doc_id = l.id LEFT JOIN v_collections c ON c.id = l.collection_id LEFT JOIN ({_LIST}) g ON g.link_id = l.id
   LEFT JOIN rel ON rel.link_id = l.id WHERE l.status = 'parsed')"""
 
 
 def link_notes(t):
-    return vault.export_notes(t.links, t.link_tags, t.tags, t.collections, as_of())
+    return vault.export_notes(t.full_links, t.link_tags, t.tags, t.collections, as_of())
 
 
 @query("export_notes", _NOTES + "SELECT link_id, path, slug, collection, content, 'done' AS status FROM notes")
@@ -78,10 +79,10 @@ def export_notes(t):
 SELECT l.id, {q_wikilink("coalesce(l.title, 'untitled')")} || '.md' AS file_name,
   '---' || {NL} || 'title: "' || coalesce(l.title, 'untitled') || '"' || {NL} || 'url: "' || l.url || '"' || {NL} || 'tags: ' || {q_tags_yaml('coalesce(g.tags, [])')} || {NL}
   || 'saved_at: ' || {q_iso('l.saved_at')} || {NL} || 'parsed_at: ' || coalesce({q_iso('l.parsed_at')}, '') || {NL} || 'reading_time: ' || l.reading_time_min || 'min' || {NL}
-  || '---' || {NL} || {NL} || '# ' || coalesce(l.title, 'untitled') || {NL} || {NL} || '' || {NL} AS content
-FROM v_links l LEFT JOIN ({_LIST}) g ON g.link_id = l.id""")
+  || '---' || {NL} || {NL} || '# ' || coalesce(l.title, 'untitled') || {NL} || {NL} || coalesce(d.text, '') || {NL} AS content
+FROM v_links l LEFT JOIN documents d ON d.doc_id = l.id LEFT JOIN ({_LIST}) g ON g.link_id = l.id""")
 def sink_download(t):
-    rows = rel.with_tags(t.links, t.link_tags, t.tags).withColumn("content", F.lit(None).cast("string"))
+    rows = rel.with_tags(t.full_links, t.link_tags, t.tags).withColumnRenamed("content_md", "content")
     return vault.downloads(rows)
 
 
@@ -123,7 +124,9 @@ def old_manifest(t):
 
 @query("sink_manifest", f"WITH {_ROWS} SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE link_id NOT IN (SELECT link_id FROM fresh)")
 def sink_manifest(t):
-    return vault.manifest_upsert(old_manifest(t), note_rows(t))
+    folder = work_folder(t.spark, "manifest")
+    vault.write_manifest(vault.manifest_upsert(old_manifest(t), note_rows(t)), folder)
+    return vault.read_manifest(t.spark.read.text(folder))
 
 
 @query("note_moves", f"WITH {_ROWS} SELECT o.link_id, o.path AS old_path, f.path FROM old o JOIN fresh f ON f.link_id = o.link_id WHERE o.path <> f.path")
@@ -226,17 +229,22 @@ def tag_page(t):
 
 
 def read_lines(t, folder):
-    return t.spark.read.option("basePath", folder).text(folder).select("page", F.col("value").alias("line"))
+    """Lines of written pages with their number: parts in the order of their names, lines as they stand."""
+    rows = t.spark.read.option("basePath", folder).text(folder).select(
+        "page", F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    n = F.row_number().over(Window.partitionBy("page").orderBy("file", "at"))
+    return rows.select("page", n.alias("n"), "line")
 
 
-@query("sink_index", _INDEX + "SELECT '_index.md' AS page, line FROM lines")
+@query("sink_index", _INDEX + "SELECT '_index.md' AS page, row_number() OVER (ORDER BY part, key1, sub, key2, link_id) AS n, line FROM lines")
 def sink_index(t):
     folder = work_folder(t.spark, "index-pages")
     vault.write_lines(index_lines(t), folder)
     return read_lines(t, folder)
 
 
-@query("sink_tag_pages", _TAG_LINES + f"SELECT 'by-tag/' || {q_wikilink('tag')} || '.md' AS page, line FROM lines")
+@query("sink_tag_pages", _TAG_LINES + f"""SELECT 'by-tag/' || {q_wikilink('tag')} || '.md' AS page,
+  row_number() OVER (PARTITION BY {q_wikilink('tag')} ORDER BY tag, sub, key2, link_id) AS n, line FROM lines""")
 def sink_tag_pages(t):
     folder = work_folder(t.spark, "tag-pages")
     vault.write_lines(vault.tag_pages(rel.tagged_titles(t.tags, t.link_tags, t.links, t.collections), as_of()), folder)

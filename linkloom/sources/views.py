@@ -117,6 +117,12 @@ class Tables:
         return rows.select((F.col("c_custkey") * 10 + F.col("c.k")).alias("id"), F.col("c.name").alias("name"),
                            slug.alias("slug"), F.col("c_custkey").alias("user_id"))
 
+    @cached_property
+    def full_links(self) -> DataFrame:
+        """Links with their parsed content: the text of the document with the link's number."""
+        content = self.base("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content_md"))
+        return self.links.join(content, "id", "left")
+
     users = cached_property(lambda self: self.view("v_users"))
     export_jobs = cached_property(lambda self: self.view("v_export_jobs"))
     doc_links = cached_property(lambda self: self.view("v_doc_links"))
