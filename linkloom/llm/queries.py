@@ -74,7 +74,49 @@ URL_RULES = tuple(urls.UrlRule(*r) for r in (
     ("net/fr/", "block")))
 
 
-@query("op5_url_filter")
+def _url_sql(order: int = 4, bin_width: int = 20_000) -> str:
+    def fits(rule):
+        host, _, path = rule.place.partition("/")
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+    longest = sorted(URL_RULES, key=lambda r: (-len(r.place), r.place))
+    choose = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in longest) + " END"
+    models = ""
+    for n in range(order + 1):
+        low = "1.0::DOUBLE / 256" if n == 0 else "l.{c}"
+        chance = ", ".join(
+            f"(g.{c} + greatest({c}_kinds, 1)::DOUBLE * ({low.format(c=c)})) / ({c}_n + greatest({c}_kinds, 1)::DOUBLE) AS {c}"
+            for c in ("allow", "block"))
+        shorter = f" JOIN m{n - 1} l ON l.run = right(g.run, {n})" if n else ""
+        models += f""",
+g{n} AS (SELECT right(run, {n + 1}) AS run, sum(allow)::BIGINT AS allow, sum(block)::BIGINT AS block FROM seen GROUP BY 1),
+c{n} AS (SELECT left(run, {n}) AS context, sum(allow)::BIGINT AS allow_n, count(*) FILTER (allow > 0) AS allow_kinds,
+  sum(block)::BIGINT AS block_n, count(*) FILTER (block > 0) AS block_kinds FROM g{n} GROUP BY 1),
+m{n} AS (SELECT g.run, {chance} FROM g{n} g JOIN c{n} c ON c.context = left(g.run, {n}){shorter})"""
+    return f"""
+WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT row_number() OVER () AS row, page_id, url, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host FROM r),
+p AS (SELECT *, {choose(lambda r: r.place)} AS rule, {choose(lambda r: r.verdict)} AS decided FROM h),
+k AS (SELECT *, CASE WHEN md5(url) < '2' THEN 'held_' || decided ELSE decided END AS class,
+  repeat(chr(2), {order}) || host || path AS told FROM p),
+runs AS (SELECT row, class, substring(told, i, {order + 1}) AS run
+  FROM (SELECT row, class, told, unnest(range(1, length(told) - {order} + 1)) AS i FROM k)),
+seen AS (SELECT run, count(*) FILTER (class = 'allow') AS allow, count(*) FILTER (class = 'block') AS block FROM runs GROUP BY run){models},
+ratios AS (SELECT run, round((ln(allow) - ln(block)) * 1000000)::BIGINT AS ratio FROM m{order}),
+scores AS (SELECT row, class, round(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM runs JOIN ratios USING (run) GROUP BY row, class),
+bins AS (SELECT floor(score / {bin_width}) AS bin, count(*) FILTER (class = 'held_allow') AS good,
+  count(*) FILTER (class = 'held_block') AS bad FROM scores GROUP BY 1),
+sums AS (SELECT sum(good) AS good, sum(bad) AS bad, min(bin) AS least FROM bins),
+errors AS (SELECT least AS cut, 1.0::DOUBLE AS error, 0 AS turn FROM sums
+  UNION ALL SELECT bin + 1, sum(b.good) OVER o::DOUBLE / s.good + (s.bad - sum(b.bad) OVER o)::DOUBLE / s.bad, 1 FROM bins b, sums s
+  WHERE s.good > 0 AND s.bad > 0 WINDOW o AS (ORDER BY bin)),
+best AS (SELECT CASE WHEN good > 0 AND bad > 0 THEN (SELECT cut FROM errors ORDER BY round(error, 12), turn, cut LIMIT 1) * {bin_width} ELSE 0 END AS cut FROM sums)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score < cut THEN 'block' ELSE 'allow' END) AS verdict, score
+FROM k LEFT JOIN scores USING (row), best"""
+
+
+@query("op5_url_filter", _url_sql())
 def op5(spark, folder):
     return urls.judge_urls(table(spark, folder, "pages"), URL_RULES)
 
