@@ -24,11 +24,23 @@ def keyed(docs: DataFrame, key: str, *texts: str) -> DataFrame:
                        *[F.coalesce(F.col(t), F.lit("")).alias(t) for t in texts])
 
 
+# Spark then removes the shuffle files of an execution when it has ended; asking again for the same rows makes them anew.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(rows: DataFrame) -> DataFrame:
-    """Write rows to the folder that all machines share and read them again: cuts the lineage and outlives executors."""
+    """Write rows to the folder that all machines share and read them again: cuts the lineage and outlives executors.
+
+    What was shuffled to make them is no longer needed and does not stay on the executors' disks.
+    """
     spark = rows.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        rows.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(rows.schema).parquet(path)

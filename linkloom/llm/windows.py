@@ -70,15 +70,15 @@ def counter(shape, at_least: int):
 
 
 def hot_minimisers(texts: DataFrame, shape, limit: int, tasks: int) -> np.ndarray:
-    """Hashes of all minimisers that ``limit`` runs (or as many as there are tasks) share, and some that fewer share.
+    """Hashes of minimisers that ``limit`` runs share; any other one has less than twice as many.
 
-    A task tells of a minimiser it meets ``limit / tasks`` times, so none is missed. What is told sums up to the number of
-    tasks at least, which makes the list no longer than the runs of one task are many.
+    A task tells of the minimisers it meets ``limit / tasks`` times (at least once), and what is told is summed. The list
+    has no more entries than runs / limit; with more tasks than ``limit``, their number is the limit, so that the list
+    stays as small as the runs of one task.
     """
     limit = max(limit, tasks)
-    least = limit // max(1, tasks)
-    told = texts.mapInArrow(counter(shape, least), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    hot = told.where(F.col("n") >= limit - tasks * (least - 1)).select("minimiser")
+    told = texts.mapInArrow(counter(shape, limit // max(1, tasks)), "minimiser long, n long")
+    hot = told.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") >= limit).select("minimiser")
     return np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))
 
 
