@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,44 +92,56 @@ BLOCK_ORDER = {"paragraph": 0, "list": 1, "quote": 2, "code": 3, "heading": 4}
 def markdown_blocks(notes_df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, at, rank, kind, level, text): the blocks of each Markdown text in order of (at, rank).
 
-    Lines are classified one by one; three buffers (paragraph, list, quote) and the code fence fill up
-    side by side and each is emitted at the next line that flushes it. A line's block is therefore
-    named by that flushing line, found with a window over the lines of the same text.
+    Three buffers (paragraph, list, quote) and the code fence fill up side by side and each is emitted at the next line
+    that flushes it, which names the block. The lines of a text are folded where the text is read: no shuffle.
     """
-    lines = F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")
-    rows = notes_df.where(F.col(text) != "").select(key, F.posexplode(lines).alias("n", "line"))
-    trimmed = strings.browser_trim(F.col("line"))
-    rows = rows.withColumn("trimmed", trimmed).withColumn("fence", F.col("trimmed").startswith("```"))
-    so_far = Window.partitionBy(key).orderBy("n")
-    rows = rows.withColumn("fences", F.sum(F.col("fence").cast("int")).over(so_far))
     space = f"[{strings.BROWSER_SPACE}]"
     heading, item, quote = rf"^(#{{1,6}}){space}+(.*)$", rf"^[-*+]{space}+(.*)$", rf"^>{space}?(.*)$"
-    line = F.col("line")
-    kind = (
-        F.when(F.col("fence"), "fence").when(F.col("fences") % 2 == 1, "code").when(line.rlike(heading), "heading")
-        .when(line.rlike(item), "list").when(line.rlike(quote), "quote").when(F.col("trimmed") == "", "blank")
-        .otherwise("paragraph"))
-    value = (
-        F.when(F.col("kind") == "heading", F.regexp_extract("line", heading, 2))
-        .when(F.col("kind") == "list", F.regexp_extract("line", item, 1))
-        .when(F.col("kind") == "quote", F.regexp_extract("line", quote, 1))
-        .when(F.col("kind") == "code", line).otherwise(F.col("trimmed")))
-    rows = rows.withColumn("kind", kind).withColumn("value", value)
-    ahead = Window.partitionBy(key).orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-
-    def next_flush(*kinds: str) -> Column:
-        return F.coalesce(F.min(F.when(F.col("kind").isin(*kinds), F.col("n"))).over(ahead), F.lit(2**31 - 1))
-
-    at = (
-        F.when(F.col("kind") == "heading", F.col("n"))
-        .when(F.col("kind") == "paragraph", next_flush("fence", "heading", "list", "quote", "blank"))
-        .when(F.col("kind") == "list", next_flush("fence", "heading", "quote", "blank"))
-        .when(F.col("kind") == "quote", next_flush("fence", "heading", "list", "blank"))
-        .when(F.col("kind") == "code", next_flush("fence")))
-    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(r)) for k, r in BLOCK_ORDER.items()])
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", heading, 1)))
-    kept = rows.withColumns({"at": at, "rank": rank, "level": level}).where(F.col("at").isNotNull())
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"])
-    text = F.when(F.col("kind").isin("code", "list"), F.array_join("lines", "\n")).otherwise(F.array_join("lines", " "))
-    return kept.groupBy(key, "at", "rank", "kind", "level").agg(joined.alias("lines")).select(
-        key, "at", "rank", "kind", "level", text.alias("text"))
+    texts = F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")
+    lines = F.transform(texts, lambda line, n: F.struct(n.alias("n"), line.alias("line"), strings.browser_trim(line).alias("trimmed")))
+    # what a line is outside code; the fold below only compares names
+    lines = F.transform(lines, lambda x: F.struct(
+        x["n"].alias("n"), x["line"].alias("line"), x["trimmed"].alias("trimmed"),
+        F.when(F.startswith(x["trimmed"], F.lit("```")), "fence").when(F.rlike(x["line"], F.lit(heading)), "heading")
+        .when(F.rlike(x["line"], F.lit(item)), "list").when(F.rlike(x["line"], F.lit(quote)), "quote")
+        .when(x["trimmed"] == "", "blank").otherwise("paragraph").alias("kind")))
+    none = F.lit(None).cast("string")
+    block = "struct<at:int,rank:int,kind:string,level:int,text:string>"
+    start = F.struct(F.lit(False).alias("inside"), *[none.alias(k) for k in ("paragraph", "list", "quote", "code")],
+                     F.array().cast(f"array<{block}>").alias("out"))
+
+    def made(kind: str, at: Column, content: Column, level: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(BLOCK_ORDER[kind]).alias("rank"), F.lit(kind).alias("kind"),
+                        level.cast("int").alias("level"), content.alias("text"))
+
+    def flushed(state: Column, at: Column, **when: Column) -> Column:
+        """Blocks of the buffers that hold something and are flushed."""
+        blocks = F.array(*[F.when(full & state[k].isNotNull(), made(k, at, state[k], F.lit(None))) for k, full in when.items()])
+        return F.array_compact(blocks)
+
+    def step(state: Column, x: Column) -> Column:
+        line, trimmed = x["line"], x["trimmed"]
+        fence = x["kind"] == "fence"
+        code = ~fence & state["inside"]
+        head, listed, quoted, blank, plain = (
+            ~state["inside"] & (x["kind"] == kind) for kind in ("heading", "list", "quote", "blank", "paragraph"))
+        ends = fence | head | blank
+        full = {"paragraph": ends | listed | quoted, "list": ends | quoted, "quote": ends | listed, "code": fence}
+        values = {"paragraph": (plain, trimmed, " "), "list": (listed, F.regexp_extract(line, item, 1), "\n"),
+                  "quote": (quoted, F.regexp_extract(line, quote, 1), " "), "code": (code, line, "\n")}
+
+        def buffer(kind: str) -> Column:
+            more, value, glue = values[kind]
+            kept = F.when(~full[kind], state[kind])
+            return F.when(more, F.when(kept.isNull(), value).otherwise(F.concat(kept, F.lit(glue), value))).otherwise(kept)
+
+        title = F.when(head, F.array(made("heading", x["n"], F.regexp_extract(line, heading, 2),
+                                          F.length(F.regexp_extract(line, heading, 1))))).otherwise(F.array().cast(f"array<{block}>"))
+        return F.struct((state["inside"] != fence).alias("inside"), *[buffer(k).alias(k) for k in values],
+                        F.concat(state["out"], flushed(state, x["n"], **full), title).alias("out"))
+
+    def finish(state: Column) -> Column:
+        return F.concat(state["out"], flushed(state, F.lit(2**31 - 1), **dict.fromkeys(("paragraph", "list", "quote", "code"), F.lit(True))))
+
+    rows = notes_df.where(F.col(text) != "").select(key, F.explode(F.aggregate(lines, start, step, finish)).alias("block"))
+    return rows.select(key, "block.at", "block.rank", "block.kind", "block.level", "block.text")
