@@ -52,7 +52,7 @@ def _pieces(path: str, specials: dict[str, int], end_id: int, capacity: int, wit
                 cuts = cut_points(len(ids), capacity)
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     part = ids[a:b]
-                    for column, value in zip(out, (row, key, piece, a, b - a, zlib.crc32(part.tobytes()), part.view("<i4"))):
+                    for column, value in zip(out, (row, key, piece, a, b - a, zlib.crc32(part.tobytes()), part.view("<i4") if with_ids else None)):
                         column.append(value)
             kinds = (pa.int64(), batch.schema.field("key").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(out, kinds)]

@@ -5,7 +5,8 @@ backward sampling then draws the last piece, the one before it and so on, each w
 so a segmentation is drawn with exactly its probability. Numbers are drawn from the row's key and the place in the text, so
 a row is cut the same way wherever and whenever it is read.
 
-No piece has a word mark inside, so the lattice falls apart into words, and a word's sums are kept for its next occurrence.
+No piece has a word mark inside, so the lattice falls apart into words; the different words of a few hundred kilobytes are
+filtered together, place by place.
 The vocabulary file has merge ranks, not probabilities; a piece of rank r weighs (r + 1) ** -sharpness, as word frequencies
 fall with their rank. Characters without a piece are cut into byte pieces, and so is a word mark that the text itself holds;
 that keeps decoding lossless.
@@ -29,7 +30,7 @@ from linkloom.llm import bytetext as B
 
 MARK = "▁"
 WORD = re.compile(rf"{MARK}|\n| *[^ \n{MARK}]+| +")
-WORDS_KEPT = 200_000  # lattices that a task keeps
+CHUNK_BYTES = 1 << 19  # texts whose words' lattices are built together: some 200 bytes for each character of a new word
 
 
 class Vocabulary:
@@ -55,97 +56,133 @@ class Vocabulary:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.pieces))
         self.byte_weight = math.pow(rank + 1, -sharpness)
+        # the pieces by a hash of their characters, and a table that most other strings miss
+        names = list(self.pieces)
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        prefix = _prefix(_codes("".join(names)))
+        ends = np.cumsum(lengths)
+        hashes = B.range_hash(prefix, ends - lengths, ends)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([self.pieces[n][0] for n in names], np.int32)[order]
+        self.weights = np.array([self.pieces[n][1] for n in names])[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> np.uint64(44)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, and the pieces' numbers in the sorted table."""
+        some = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+        real = self.hashes[at] == hashes[some]
+        return some[real], at[real]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _prefix(codes: np.ndarray) -> np.ndarray:
+    """Running sums over characters, for ``bytetext.range_hash``."""
+    out = np.empty(len(codes) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum(B.mix(codes.astype(np.uint64) + np.uint64(1)) * B.powers(len(codes) + 1)[0][:len(codes)], out=out[1:])
+    return out
+
+
+class Lattice:
+    """The lattices of many words at once; words are sorted by falling length.
+
+    Node ``base[w] + j`` is the place after j characters of word w. ``shares[node, n - 1]`` is the share of the weight at a
+    node whose last piece has n characters or fewer, ``pieces[node, n - 1]`` the piece of n characters that begins there
+    (below 0: the bytes of a character without a piece).
+    """
 
-    def lattice(self, word: str) -> tuple[list[float], list[int], list[int], list[int]]:
-        """Edges by the node where they end: shares up to and with each, node before, piece; and edges per node.
-
-        Node 0 is the start. A character without a piece adds a node for each of its bytes.
-        """
-        spelled = word.replace(" ", MARK)
-        raw = word == MARK or word == "\n"
-        node_of, weights, shares, before, pieces, per_node = [0], [1.0], [], [], [], [0]
-        get = self.pieces.get
-        for end in range(1, len(spelled) + 1):
-            ways = []
-            if not raw:
-                for start in range(max(0, end - self.longest), end):
-                    found = get(spelled[start:end])
-                    if found and node_of[start] is not None:
-                        ways.append((weights[node_of[start]] * found[1], node_of[start], found[0]))
-            if raw or spelled[end - 1] not in self.pieces:
-                node = node_of[end - 1]
-                for value in word[end - 1].encode()[:-1]:
-                    shares.append(1.0)
-                    before.append(node)
-                    pieces.append(self.byte_ids[value])
-                    per_node.append(1)
-                    weights.append(weights[node] * self.byte_weight)
-                    node = len(weights) - 1
-                ways.append((weights[node] * self.byte_weight, node, self.byte_ids[word[end - 1].encode()[-1]]))
-            total = math.fsum(w for w, _, _ in ways)
-            run = 0.0
-            for w, node, piece in ways:
-                run += w
-                shares.append(run / total)
-                before.append(node)
-                pieces.append(piece)
-            shares[-1] = 1.0
-            per_node.append(len(ways))
-            node_of.append(len(weights))
-            weights.append(total)
-            if total < 1e-200:  # only ratios matter
-                scale = max(weights[-self.longest:])
-                weights = [w / scale for w in weights]
-        return shares, before, pieces, per_node
-
-
-def _sample(words: list[str], first: np.ndarray, seeds: np.ndarray, text_of: np.ndarray, vocabulary: Vocabulary, kept: dict):
+    def __init__(self, words: list[str], vocabulary: Vocabulary):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = _codes("".join(words)).copy()
+        ends = np.cumsum(lengths)
+        word_of = np.repeat(np.arange(len(words)), lengths)
+        # a mark of the text's own stands alone as a word and is no piece
+        codes[(codes == ord(MARK))] = OWN_MARK
+        codes[codes == 32] = ord(MARK)
+        k = vocabulary.longest
+        nodes = len(codes) + len(words)
+        begins = np.arange(len(codes)) + word_of  # node before each character
+        self.base = ends - lengths + np.arange(len(words))
+        self.last = self.base + lengths
+        self.pieces = np.zeros((nodes, k), np.int32)
+        weights = np.zeros((nodes, k))
+        prefix, left = _prefix(codes), ends[word_of] - np.arange(len(codes))
+        for n in range(1, k + 1):
+            start = np.flatnonzero(left >= n)
+            found, at = vocabulary.find(B.range_hash(prefix, start, start + n))
+            self.pieces[begins[start[found]], n - 1] = vocabulary.ids[at]
+            weights[begins[start[found]], n - 1] = vocabulary.weights[at]
+        lone = np.flatnonzero(weights[begins, 0] == 0)
+        self.pieces[begins[lone], 0] = -1 - codes[lone].astype(np.int64)
+        size = 1 + (codes[lone] > 0x7F) + (codes[lone] > 0x7FF).astype(np.int64) + ((codes[lone] > 0xFFFF) & (codes[lone] != OWN_MARK))
+        weights[begins[lone], 0] = vocabulary.byte_weight ** size
+        total = np.zeros(nodes)
+        total[self.base] = 1
+        self.shares = np.zeros((nodes, k))
+        for j in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
+            some = self.base[:np.searchsorted(-lengths, -j, "right")] + j
+            run = np.zeros(len(some))
+            for n in range(1, min(j, k) + 1):
+                run = run + total[some - n] * weights[some - n, n - 1]
+                self.shares[some, n - 1] = run
+            self.shares[some, min(j, k):] = run[:, None]
+            self.shares[some] /= run[:, None]
+            total[some] = run
+            tiny = some[run < 1e-200]
+            for n in range(min(j, k) if len(tiny) else 0):  # only ratios between the last nodes matter
+                total[tiny - n] *= 1e200
+
+
+OWN_MARK = 0x110000  # no character
+
+
+def _sample(words: list[str], first: np.ndarray, seeds: np.ndarray, text_of: np.ndarray, vocabulary: Vocabulary):
     """Ids of all words, and how many each has. ``first``: place of each word in its text."""
-    order: dict[str, int] = {}
-    number = np.fromiter((order.setdefault(w, len(order)) for w in words), np.int64, len(words))
-    lattices = []
-    for word in order:
-        lattice = kept.get(word)
-        if lattice is None:
-            if len(kept) >= WORDS_KEPT:
-                kept.clear()
-            kept[word] = lattice = tuple(np.array(c, t) for c, t in zip(
-                vocabulary.lattice(word), (np.float64, np.int64, np.int32, np.int64)))
-        lattices.append(lattice)
-    nodes = np.array([len(x[3]) for x in lattices], np.int64)
-    base = np.cumsum(nodes) - nodes  # number of each lattice's start node
-    edges = np.array([len(x[0]) for x in lattices], np.int64)
-    per_node = np.concatenate([x[3] for x in lattices])
-    ends_at = np.repeat(np.arange(len(per_node)), per_node)
-    shares = np.concatenate([x[0] for x in lattices]) + ends_at
-    before = np.concatenate([x[1] for x in lattices]) + np.repeat(base, edges)
-    pieces = np.concatenate([x[2] for x in lattices])
-    node = (base + nodes - 1)[number]
-    start = base[number]
+    different = sorted(set(words), key=len, reverse=True)
+    number_of = {word: i for i, word in enumerate(different)}
+    number = np.fromiter(map(number_of.__getitem__, words), np.int64, len(words))
+    lattice = Lattice(different, vocabulary)
+    node, start = lattice.last[number], lattice.base[number]
     counts = np.zeros(len(words), np.int64)
     active = np.arange(len(words))
     drawn = []
     while len(active):
-        place = B.mix(seeds[text_of[active]] + B.mix((first[active] + (node - start)[active]).astype(np.uint64)))
+        now = node[active]
+        place = B.mix(seeds[text_of[active]] + B.mix((first[active] + now - start[active]).astype(np.uint64)))
         u = (place >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        edge = np.searchsorted(shares, node[active] + u, "right")
-        # adding the node's number may round a share up to the next node's
-        edge = np.minimum(edge, np.searchsorted(ends_at, node[active], "right") - 1)
-        drawn.append((active, pieces[edge]))
+        n = (lattice.shares[now] <= u[:, None]).sum(axis=1) + 1
+        before = now - n
+        drawn.append((active, lattice.pieces[before, n - 1]))
         counts[active] += 1
-        node[active] = before[edge]
-        active = active[node[active] != start[active]]
+        node[active] = before
+        active = active[before != start[active]]
     ends = np.cumsum(counts)
     ids = np.empty(ends[-1] if len(ends) else 0, np.int32)
     for step, (some, piece) in enumerate(drawn):
         ids[ends[some] - 1 - step] = piece
-    return ids, counts
+    lone = np.flatnonzero(ids < 0)
+    if not len(lone):
+        return ids, counts
+    spelled = [list(map(vocabulary.byte_ids.__getitem__, (MARK if c == OWN_MARK else chr(c)).encode()))
+               for c in (-1 - ids[lone]).tolist()]
+    sizes = np.ones(len(ids), np.int64)
+    sizes[lone] = [*map(len, spelled)]
+    at = np.cumsum(sizes) - sizes
+    out = np.repeat(ids, sizes)
+    out[B.spread(at[lone], sizes[lone])] = [i for s in spelled for i in s]
+    return out, np.add.reduceat(sizes, ends - counts)
 
 
 def _encode(path: str, sharpness: float):
     def encode(batches: Iterator[pa.RecordBatch]):
-        vocabulary, kept = Vocabulary(path, sharpness), {}
-        for batch, _, _ in B.chunks(batches):
+        vocabulary = Vocabulary(path, sharpness)
+        for batch, _, _ in B.chunks(batches, limit=CHUNK_BYTES):
             words, sizes = [], []
             for text in batch.column("text").to_pylist():
                 found = WORD.findall(" " + text) if text else []
@@ -158,7 +195,7 @@ def _encode(path: str, sharpness: float):
                 at = np.cumsum(lengths) - lengths
                 heads = np.cumsum(sizes) - sizes
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
-                ids, counts = _sample(words, at - at[np.minimum(heads, len(at) - 1)][text_of], seeds, text_of, vocabulary, kept)
+                ids, counts = _sample(words, at - at[np.minimum(heads, len(at) - 1)][text_of], seeds, text_of, vocabulary)
                 totals = np.bincount(text_of, counts, len(sizes)).astype(np.int64)
             else:
                 ids, totals = np.empty(0, np.int32), np.zeros(len(sizes), np.int64)
