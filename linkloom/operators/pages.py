@@ -78,12 +78,6 @@ def image_size_filter(assets: DataFrame) -> DataFrame:
     return assets.where((declared <= MAX_IMAGE_BYTES) & (F.col("real_bytes") <= MAX_IMAGE_BYTES))
 
 
-def image_manifest(images: DataFrame) -> DataFrame:
-    """(page_id, images map<url, file>): what the note writer needs to rewrite addresses."""
-    file = strings.image_filename(F.col("page_id"), F.col("image_url"), F.col("content_type"))
-    return images.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("image_url", file))).alias("images"))
-
-
 # ---- Markdown to block rows --------------------------------------------------------------------
 
 BLOCK_ORDER = {"paragraph": 0, "list": 1, "quote": 2, "code": 3, "heading": 4}

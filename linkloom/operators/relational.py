@@ -131,13 +131,6 @@ def facet_filter(hits: DataFrame, collection: str | None = None, tag: str | None
     return hits
 
 
-def quarantine_states(rows: DataFrame, column: str, allowed: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
-    """Split rows by whether the state is known: (good with canonical state, bad with an error)."""
-    error = st.state_error(F.col(column), allowed, kind)
-    good = rows.where(error.isNull()).withColumn(column, st.parse_state(F.col(column), allowed))
-    return good, rows.where(error.isNotNull()).withColumn("error", error)
-
-
 # ---- joins -------------------------------------------------------------------------------------
 
 

@@ -55,11 +55,6 @@ def export_notes(links: DataFrame, link_tags: DataFrame, tags: DataFrame, collec
     return render_notes(ready, as_of)
 
 
-def export_results(exported: DataFrame, as_of: Column) -> DataFrame:
-    """Job rows that close the export: (link_id, status, vault_path, completed_at)."""
-    return exported.select("link_id", F.lit("done").alias("status"), F.col("path").alias("vault_path"), as_of.alias("completed_at"))
-
-
 def note_files(exported: DataFrame) -> DataFrame:
     """(path, content) with one row per file: of notes that share a path the last link's stays."""
     return exported.groupBy("path").agg(F.max_by("content", "link_id").alias("content"))

@@ -8,6 +8,9 @@ from linkloom.functions import status as st
 from linkloom.operators import relational as rel
 from linkloom.plans.registry import query
 from linkloom.plans.scalars import q_escape, q_in
+from linkloom.sources.schemas import ENTITIES
+from linkloom.sources.tables import read_entity, read_pages
+from linkloom.streaming.flows import work_folder
 
 TAGS_SQL = "SELECT lt.link_id, string_agg(t.name, '|' ORDER BY t.name) AS tags FROM v_link_tags lt JOIN v_tags t ON t.id = lt.tag_id GROUP BY 1"
 
@@ -19,26 +22,31 @@ def joined(tags="tags"):
 # ---- sources -----------------------------------------------------------------------------------
 
 
-@query("src_tables", """
-SELECT 'users' AS entity, count(*) AS n, sum(id) AS ids FROM v_users
-UNION ALL SELECT 'links', count(*), sum(id) FROM v_links UNION ALL SELECT 'collections', count(*), sum(id) FROM v_collections
-UNION ALL SELECT 'tags', count(*), sum(id) FROM v_tags UNION ALL SELECT 'link_tags', count(*), sum(link_id) FROM v_link_tags
-UNION ALL SELECT 'export_jobs', count(*), sum(id) FROM v_export_jobs""")
+# a column of each entity beside its key
+_SHOWN = {"users": "email", "links": "url", "collections": "slug", "tags": "name", "link_tags": "tag_id", "export_jobs": "status"}
+
+
+@query("src_tables", " UNION ALL ".join(
+    f"SELECT '{name}' AS entity, {'link_id' if name == 'link_tags' else 'id'} AS id, {shown}::VARCHAR AS shown FROM v_{name}"
+    for name, shown in _SHOWN.items()))
 def src_tables(t):
-    def size(name, df, key="id"):
-        return df.agg(F.lit(name).alias("entity"), F.count("*").alias("n"), F.sum(key).alias("ids"))
-
-    parts = [size("users", t.users), size("links", t.links), size("collections", t.collections), size("tags", t.tags),
-             size("link_tags", t.link_tags, "link_id"), size("export_jobs", t.export_jobs)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
+    """Every entity stored under its schema and read back."""
+    folder = work_folder(t.spark, "entities")
+    out = None
+    for name, shown in _SHOWN.items():
+        rows = getattr(t, name)
+        fields = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTITIES[name]]
+        rows.select(*fields).write.parquet(f"{folder}/{name}")
+        key = "link_id" if name == "link_tags" else "id"
+        part = read_entity(t.spark, folder, name).select(
+            F.lit(name).alias("entity"), F.col(key).alias("id"), F.col(shown).cast("string").alias("shown"))
+        out = part if out is None else out.unionAll(part)
     return out
 
 
 @query("src_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
 def src_pages(t):
-    return t.pages.select("page_id", "url", F.length("html").alias("chars"))
+    return read_pages(t.spark, f"{t.folder}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
 
 
 # ---- lookups and filters -----------------------------------------------------------------------

@@ -10,7 +10,7 @@ from linkloom.operators import related as rl
 from linkloom.operators import vault
 from linkloom.plans.registry import query
 from linkloom.plans.related import _EDGES, _TOP5, doc_link_tags, doc_links
-from linkloom.plans.relational import _TAGGED, TAGS_SQL
+from linkloom.plans.relational import _TAGGED
 from linkloom.plans.scalars import (AS_OF, q_dir, q_front, q_iso, q_margin, q_minutes, q_note_path, q_stem, q_tags_yaml,
                                     q_wikilink)
 from linkloom.functions import strings

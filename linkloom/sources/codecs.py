@@ -75,9 +75,3 @@ def encode(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 # fixed values: JSON names of a link with its tags
-LINK_JSON = {
-    "id": "id", "url": "url", "url_hash": "urlHash", "title": "title", "content_md": "contentMd",
-    "reading_time_min": "readingTimeMin", "status": "status", "collection_id": "collectionId", "user_id": "userId",
-    "export_directory": "exportDirectory", "export_file_name": "exportFileName", "saved_at": "savedAt",
-    "parsed_at": "parsedAt", "indexed_at": "indexedAt", "tags": "tags",
-}
