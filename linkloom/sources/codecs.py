@@ -72,6 +72,3 @@ def encode(rows: DataFrame, names: dict[str, str]) -> DataFrame:
         is_time = isinstance(kinds[column], (T.TimestampType, T.TimestampNTZType))
         cells.append((iso_instant(F.col(column)) if is_time else F.col(column)).alias(name))
     return rows.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
-
-
-# fixed values: JSON names of a link with its tags
