@@ -57,8 +57,10 @@ class Shape:
         new = B.runs_of(least, text)
         return text[new], valid[new], np.diff(np.append(new, len(valid))), grams[least[new]], least[new]
 
-    def runs(self, data: np.ndarray, bounds: np.ndarray):
-        return self.members(data, bounds)[:4], None
+    def seen(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all members' grams, and values that only alike members share."""
+        _, first, count, gram, _ = self.members(data, bounds)
+        return gram, B.range_hash(B.prefix_hash(data), first, first + count - 1 + self.length)
 
 
 def _heads(shape: Shape):

@@ -51,6 +51,10 @@ class Shape:
         first = valid[new]
         return (text[first], first, count, grams[least[new]]), (starts, ends, firsts)
 
+    def seen(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Hashes of the minimisers of all runs that travel."""
+        return self.runs(data, bounds)[0][3], None
+
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit values for each window of the words that begin at ``starts``."""
@@ -60,10 +64,15 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int)
 def counter(shape, at_least: int):
     def count(batches: Iterator[pa.RecordBatch]):
         """Minimisers that this task meets ``at_least`` times: one met ``limit`` times in all is among them in some task."""
-        seen: list[np.ndarray] = []
+        values, alike = [], []
         for _, data, bounds in B.chunks(batches):
-            seen.append(shape.runs(data, bounds)[0][3])
-        values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64),) * 2
+            minimisers, identity = shape.seen(data, bounds)
+            values.append(minimisers)
+            alike.append(identity)
+        values = np.concatenate(values) if values else np.empty(0, np.uint64)
+        if alike and alike[0] is not None:  # runs with equal strings travel once
+            values = values[np.unique(B.mix(values ^ B.mix(np.concatenate(alike))), return_index=True)[1]]
+        values, counts = np.unique(values, return_counts=True)
         often = counts >= at_least
         yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
                                          ["minimiser", "n"])
