@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from linkloom.llm import bytetext as B
 
 MARK = "▁"
 WORD = re.compile(rf"{MARK}|\n| *[^ \n{MARK}]+| +")
-CHUNK_BYTES = 1 << 19  # texts whose words' lattices are built together: some 200 bytes for each character of a new word
+CHUNK_BYTES = 1 << 20  # texts whose words' lattices are built together: some 200 bytes for each character of a new word
 
 
 class Vocabulary:
@@ -92,9 +93,9 @@ def _prefix(codes: np.ndarray) -> np.ndarray:
 class Lattice:
     """The lattices of many words at once; words are sorted by falling length.
 
-    Node ``base[w] + j`` is the place after j characters of word w. ``shares[node, n - 1]`` is the share of the weight at a
-    node whose last piece has n characters or fewer, ``pieces[node, n - 1]`` the piece of n characters that begins there
-    (below 0: the bytes of a character without a piece).
+    Node ``base[w] + j`` is the place after j characters of word w. ``sums[node, n - 1]`` is the weight of the ways to a node
+    whose last piece has n characters or fewer, ``whole[node]`` that of all ways, and ``pieces[node, n - 1]`` the piece of n
+    characters that begins there (below 0: the bytes of a character without a piece).
     """
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
@@ -110,30 +111,32 @@ class Lattice:
         begins = np.arange(len(codes)) + word_of  # node before each character
         self.base = ends - lengths + np.arange(len(words))
         self.last = self.base + lengths
-        self.pieces = np.zeros((nodes, k), np.int32)
-        weights = np.zeros((nodes, k))
         prefix, left = _prefix(codes), ends[word_of] - np.arange(len(codes))
+        found = []
         for n in range(1, k + 1):
             start = np.flatnonzero(left >= n)
-            found, at = vocabulary.find(B.range_hash(prefix, start, start + n))
-            self.pieces[begins[start[found]], n - 1] = vocabulary.ids[at]
-            weights[begins[start[found]], n - 1] = vocabulary.weights[at]
-        lone = np.flatnonzero(weights[begins, 0] == 0)
+            some, at = vocabulary.find(B.range_hash(prefix, start, start + n))
+            found.append((begins[start[some]], at))
+        k = max([1, *(n for n, (some, _) in enumerate(found, 1) if len(some))])  # longest piece in these words
+        self.pieces = np.zeros((nodes, k), np.int32)
+        weights = np.zeros((k, nodes))
+        for n, (some, at) in enumerate(found[:k]):
+            self.pieces[some, n] = vocabulary.ids[at]
+            weights[n, some] = vocabulary.weights[at]
+        lone = np.flatnonzero(weights[0, begins] == 0)
         self.pieces[begins[lone], 0] = -1 - codes[lone].astype(np.int64)
         size = 1 + (codes[lone] > 0x7F) + (codes[lone] > 0x7FF).astype(np.int64) + ((codes[lone] > 0xFFFF) & (codes[lone] != OWN_MARK))
-        weights[begins[lone], 0] = vocabulary.byte_weight ** size
+        weights[0, begins[lone]] = vocabulary.byte_weight ** size
         total = np.zeros(nodes)
         total[self.base] = 1
-        self.shares = np.zeros((nodes, k))
+        self.sums, self.whole = np.full((nodes, k), np.inf), np.ones(nodes)
         for j in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
             some = self.base[:np.searchsorted(-lengths, -j, "right")] + j
             run = np.zeros(len(some))
             for n in range(1, min(j, k) + 1):
-                run = run + total[some - n] * weights[some - n, n - 1]
-                self.shares[some, n - 1] = run
-            self.shares[some, min(j, k):] = run[:, None]
-            self.shares[some] /= run[:, None]
-            total[some] = run
+                run = run + total[some - n] * weights[n - 1][some - n]
+                self.sums[some, n - 1] = run
+            self.whole[some] = total[some] = run
             tiny = some[run < 1e-200]
             for n in range(min(j, k) if len(tiny) else 0):  # only ratios between the last nodes matter
                 total[tiny - n] *= 1e200
@@ -155,8 +158,9 @@ def _sample(words: list[str], first: np.ndarray, seeds: np.ndarray, text_of: np.
     while len(active):
         now = node[active]
         place = B.mix(seeds[text_of[active]] + B.mix((first[active] + now - start[active]).astype(np.uint64)))
-        u = (place >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        n = (lattice.shares[now] <= u[:, None]).sum(axis=1) + 1
+        # below 1 by more than a product rounds
+        drawn_weight = (place >> np.uint64(11)).astype(np.float64) / (1 << 53) * (1 - 2 ** -50) * lattice.whole[now]
+        n = (lattice.sums[now] <= drawn_weight[:, None]).sum(axis=1) + 1
         before = now - n
         drawn.append((active, lattice.pieces[before, n - 1]))
         counts[active] += 1
@@ -225,11 +229,15 @@ def decode(rows: DataFrame, ids: str = "ids", vocabulary: str | None = None) ->
 
     def texts(batches: Iterator[pa.RecordBatch]):
         table = Vocabulary(path, 1.0).bytes_of
+        sizes = np.fromiter(map(len, table), np.int64, len(table))
         for batch in batches:
-            place = batch.schema.get_field_index(ids)
-            out = []
-            for part in batch.column(place):
-                out.append(b"".join(map(table.__getitem__, part.values.to_pylist()))[1:].decode() if part.is_valid else None)
+            listed = batch.column(batch.schema.get_field_index(ids))
+            flat = listed.flatten().to_pylist()
+            spelled = b"".join(map(table.__getitem__, flat))
+            ends = np.append(0, np.cumsum(sizes[flat]))[np.append(0, np.cumsum(
+                pc.list_value_length(listed).fill_null(0).to_numpy(zero_copy_only=False)))]
+            out = [spelled[a + 1:b].decode() if real else None for a, b, real in zip(
+                ends[:-1].tolist(), ends[1:].tolist(), listed.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(texts, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
