@@ -345,6 +345,21 @@ def test_near_crowds(spark, monkeypatch):
     assert sum((Counter(got) & want).values()) >= 0.98 * len(rows)
 
 
+def test_near_large_group_loses_no_link(spark, monkeypatch):
+    """Pairs exactly at the threshold, in a group of a hundred times the text of a task that is near it everywhere."""
+    monkeypatch.setattr(nearsets, "GROUP_BYTES", 2_000)
+    base = [f"w{i}" for i in range(189)]
+    rows = []
+    for i in range(60):
+        mine = [f"p{i}" if j in (10, 30, 50, 70, 90) else w for j, w in enumerate(base)]
+        rows += [(2 * i, " ".join(mine)), (2 * i + 1, " ".join(
+            f"q{i}" if j in (130, 160, 180) else w for j, w in enumerate(mine)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(frame, 85)
+    assert len({r[2] for r in want}) == 60
+    assert Counter(rows_of(nearsets.near_groups(frame).select("doc_id", "n_shingles", "component_id"))) == want
+
+
 # --- encoding
 
 def test_pieces_round_trip(docs, odd):
