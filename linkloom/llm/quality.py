@@ -24,6 +24,7 @@ class Rule:
     rejects: str
 
 
+BLOCK_WORDS = 5000  # words of a block in which different words are counted
 RULES = (
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
@@ -31,7 +32,9 @@ RULES = (
     Rule("shouting", r"2 * regexp_count(text, '\\p{Lu}') > regexp_count(text, '\\p{L}')"),
     Rule("exclaiming", "length(text) - length(replace(text, '!', '')) > 0.3 * n_words"),
     Rule("few_letters", r"2 * regexp_count(text, '[\\p{L}\\p{M}]') < word_chars"),
-    Rule("few_words", "size(array_distinct(words)) < 0.2 * n_words"),
+    # the share of different words falls with the length of any text, so it is that of blocks which cover the text
+    Rule("few_words", f"""aggregate(sequence(0, greatest(size(words) - 1, 0) div {BLOCK_WORDS}), 0, (n, i) -> n + size(array_distinct(
+        slice(words, cast(i * {BLOCK_WORDS} + 1 as int), {BLOCK_WORDS})))) < 0.2 * n_words"""),
     Rule("dots", r"regexp_count(text, '\\.\\.\\.|…') > 0.3 * n_words"),
 )
 SAMPLE_ROWS = 500  # rows on which cost and rejections are estimated

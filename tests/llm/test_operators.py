@@ -112,6 +112,18 @@ def test_quality_labels(spark):
     assert rows.where("kept <> (quality = 1)").count() <= 0.01 * rows.count()
 
 
+def test_length_alone_rejects_no_text(spark):
+    """A long text of clean ones is as varied as they are; one that goes on with few words is not."""
+    rng = np.random.default_rng(3)
+    clean = " ".join(f"word{'abcdefghij'[int(i) % 10]}{i}" for i in rng.zipf(1.2, 400_000) % 40_000)
+    poor = " ".join(f"word{i}" for i in rng.integers(0, 500, 20_000))
+    assert len(set(clean.split())) < 0.2 * 400_000
+    rows = quality.judge(spark.createDataFrame([(1, clean), (2, poor)], "doc_id long, text string"),
+                         tuple(r for r in quality.RULES if r.name == "few_words"))
+    rows = rows.select("doc.doc_id", F.expr(next(r.rejects for r in quality.RULES if r.name == "few_words")).alias("few")).collect()
+    assert dict(map(tuple, rows)) == {1: False, 2: True}
+
+
 # --- URLs
 
 RULES = queries.URL_RULES
