@@ -217,6 +217,12 @@ def test_main_text():
     assert markup.main_text("<div>x</div>", {markup.token("/div", "x")}) == ""
 
 
+def test_articles_in_other_regions_are_no_main_region():
+    page = ("<body><div><p>The story.</p></div><section id=comments><article>I liked it</article></section>"
+            "<aside><article>Next story</article></aside></body>")
+    assert markup.main_text(page, set()) == "The story."
+
+
 def test_template_text_goes_and_articles_stay(spark):
     page = "<html><body><div><p>Share this page</p><p>story {0} is told</p><p>more {0}</p></div></body></html>"
     rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(12)] + [(20, "http://k.org/", page.format(20)), (21, None, None)]
