@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from linkloom.llm.tables import keyed, stored
 
@@ -37,6 +39,14 @@ def encoder(path: str, specials: dict[str, int]) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=specials)
 
 
+def fallback(path: str, specials: dict[str, int]) -> Tokenizer:
+    """The same encoder by the tokenizers library, from the JSON file beside the vocabulary; no run of white space is too long for it."""
+    tokenizer = Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+    if any(tokenizer.token_to_id(name) != number for name, number in specials.items()):
+        raise ValueError("the JSON file beside the vocabulary has other special strings")
+    return tokenizer
+
+
 def cut_points(n: int, capacity: int) -> list[int]:
     """Starts of the pieces of n ids, and n: only the first piece may be shorter than the capacity."""
     return sorted({0, *range(n, 0, -capacity)})
@@ -44,11 +54,20 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 def _pieces(path: str, specials: dict[str, int], end_id: int, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]):
-        encode = encoder(path, specials).encode
+        encode, slow = encoder(path, specials).encode, None
+
+        def ids_of(text: str) -> list[int]:
+            nonlocal slow
+            try:
+                return encode(text, allowed_special="all")
+            except ValueError:  # its patterns give up on runs of some million spaces
+                slow = slow or fallback(path, specials)
+                return slow.encode(text, add_special_tokens=False).ids
+
         for batch in batches:
             out = ([], [], [], [], [], [], [])
             for row, key, text in zip(*[batch.column(c).to_pylist() for c in ("row", "key", "text")]):
-                ids = np.array([*encode(text, allowed_special="all"), end_id], "<u4")
+                ids = np.array([*ids_of(text), end_id], "<u4")
                 cuts = cut_points(len(ids), capacity)
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     part = ids[a:b]

@@ -444,6 +444,18 @@ def test_packing(docs, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [" " * 1_000_000 + "a b", "x" + " " * 2_000_000, "<|endoftext|>" + " " * 1_000_000 + "c<|endoftext|>"]
+    got = packing.pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for key, text in enumerate(texts):
+        parts = sorted((r["start"], r["ids"]) for r in got if r["doc_id"] == key)
+        assert [i for _, ids in parts for i in ids] == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 # --- pipeline
 
 def test_pipeline(spark, docs):
