@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.tables import keyed, squeezed, stored
+from linkloom.llm.tables import ROW, keyed, numbered, squeezed, stored
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
@@ -80,5 +80,6 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 4096) -> DataFrame:
     """The input rows that stay, with all their columns."""
-    stay = mark_copies(docs, key, text, block_bytes).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").drop("__row")
+    docs = numbered(docs)
+    stay = mark_copies(docs, key, text, block_bytes).where("kept").select(F.col("row").alias(ROW))
+    return docs.join(stay, ROW, "left_semi").drop(ROW)

@@ -14,14 +14,28 @@ SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+ROW = "__linkloom_row"
+
+
 def keyed(docs: DataFrame, key: str, *texts: str) -> DataFrame:
     """Columns ``row``, ``key`` and the named texts (null: empty) of a table, whatever else it has.
 
-    ``row`` tells rows with equal or null keys apart. It follows the place of a row in its input, so the input
-    must give its rows in the same order when it is read again, as files do.
+    ``row`` tells rows with equal or null keys apart. It follows the place of a row in its input and is made anew in every
+    scan, which may cut the input elsewhere: what reads it more than once takes ``keyed_once``.
     """
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
-                       *[F.coalesce(F.col(t), F.lit("")).alias(t) for t in texts])
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), F.col(key).alias("key"), *[F.coalesce(F.col(t), F.lit("")).alias(t) for t in texts])
+
+
+def keyed_once(docs: DataFrame, key: str, *texts: str) -> DataFrame:
+    """``keyed`` with rows numbered once: the same row has the same number in all scans."""
+    rows = keyed(docs, key, *texts)
+    return rows if ROW in docs.columns else stored(rows)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The input rows, stored with their number in the column ``ROW``."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 # Spark then removes the shuffle files of an execution when it has ended; asking again for the same rows makes them anew.

@@ -301,9 +301,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     shorter than a window stay whole. Keys are whole numbers. An empty table gives an empty table. A text is read whole; one
     may have up to 2 ** 28 bytes. The input row is in ``doc``, so its column names clash with nothing.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"),
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"),
                        F.struct(*[c for c in docs.columns if c != text]).alias("doc"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text), F.lit("")).alias("text")))  # rows are numbered once
     runs = later_windows(rows, window, minimiser, limit).groupBy("row").agg(
         F.collect_list(F.struct("start", "n")).alias("runs"))  # no more than a text has words
     kind = dict(rows.dtypes)["doc"]

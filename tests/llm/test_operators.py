@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import (bytetext, framed, licences, markup, naming, nearsets, packing, pieces, quality, queries, suffixes, urls,
+from linkloom.llm import (bytetext, framed, licences, markup, naming, nearsets, packing, pieces, quality, queries, suffixes, tables, urls,
                           windows)
 
 SF = "/root/testdata/sf0.001"
@@ -378,6 +378,34 @@ def test_near_large_group_loses_no_link(spark, monkeypatch):
     assert Counter(rows_of(nearsets.near_groups(frame).select("doc_id", "n_shingles", "component_id"))) == want
 
 
+@pytest.mark.parametrize("module, run, want", [
+    (naming, lambda f: naming.drop_copies(f).select("doc_id"), lambda f: len({SQUEEZE.sub("", t) for _, t in texts_of(f)})),
+    (nearsets, lambda f: nearsets.drop_near(f).select("doc_id"), lambda f: len({r[2] for r in brute_near(f, 80)})),
+    (windows, lambda f: windows.drop_repeats(f).select("doc.doc_id", "n_words", "n_removed", "kept_text"),
+     lambda f: brute_windows(f, 20)),
+    (suffixes, lambda f: suffixes.drop_repeated_strings(f).select("key", "n_bytes", "n_removed", "n_spans", "kept"),
+     lambda f: brute_strings(f, 400))])
+def test_rows_keep_their_number_when_splits_change(spark, docs, tmp_path, monkeypatch, module, run, want):
+    """Every table that is stored changes the split size for the scans after it, as a lost executor may."""
+    docs.repartition(4).sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "documents"))
+    frame, real, sizes = spark.read.parquet(str(tmp_path / "documents")), tables.stored, iter([2_000, 5_000, 11_000] * 999)
+    expected, before = want(frame), spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def stored(rows):
+        made = real(rows)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        return made
+
+    for place in (module, tables):
+        monkeypatch.setattr(place, "stored", stored)
+    try:
+        got = rows_of(run(frame))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (len(got) if isinstance(expected, int) else Counter(
+        tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got)) == expected
+
+
 # --- encoding
 
 def test_pieces_round_trip(docs, odd):
