@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,3 +123,15 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
     return out + np.repeat(starts - (ends - lengths), lengths)
+
+
+LONG_BYTES = 256  # ranges beyond get a hash of another kind
+
+
+def sure_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``range_hash`` that also keeps long ranges apart: polynomial sums modulo 2 ** 64 fail on some made-up long strings."""
+    out = range_hash(prefix_hash(data, seed), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_BYTES).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, salt=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import licences, markup, naming, nearsets, packing, pieces, quality, suffixes, urls, windows
+from linkloom.llm import (audit, bytepairs, licences, markup, naming, nearsets, negatives, packing, pieces, quality, suffixes, urls,
+                          windows)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,3 +198,63 @@ def op8(spark, folder):
 @query("op1_best_fit_packing")
 def op1(spark, folder):
     return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
+@query("op11_hard_negatives", r"""
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+     e AS (SELECT row_number() OVER () AS r, * FROM u),
+     s AS (SELECT a.r AS a, b.r AS b, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike,
+                  CAST(list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)]) AS BIGINT) AS score
+           FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+     p AS (SELECT a, anchor_id, b, id AS positive_id, score AS positive_score FROM s WHERE alike
+           QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, id) AS INT) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, id) <= 5""")
+def op11(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query("op12_filter_audit", r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+     d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+     f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                  [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                   100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+           FROM d LEFT JOIN l USING (doc_id)),
+     g AS (SELECT part, fails, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (good) AS BIGINT) AS good,
+                  CAST(count(*) FILTER (toxic) AS BIGINT) AS toxic FROM f GROUP BY part, fails),
+     x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+     s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter
+           FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+     h AS (SELECT part, filter_order, step, letter, n, good, toxic, fails[strpos('ABCDE', letter)] AS here,
+                  len([j FOR j IN range(1, step) IF fails[strpos('ABCDE', substr(filter_order, j, 1))]]) > 0 AS gone,
+                  len([x FOR x IN fails IF x]) = 1 AS one FROM s, g),
+     r AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept,
+                  sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed,
+                  sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+                  sum(CASE WHEN here AND one THEN n ELSE 0 END) AS unique_fails,
+                  sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost,
+                  sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM h GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r""")
+def op12(spark, folder):
+    return audit.interactions(audit.tally(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
+@query("op13_byte_bpe")
+def op13(spark, folder):
+    rows = bytepairs.decode(bytepairs.encode(table(spark, folder, "documents")))
+    return rows.select(F.col("key").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
