@@ -30,6 +30,7 @@ from linkloom.llm import bytetext as B
 from linkloom.llm import framed
 
 CHUNK_BYTES = 16 << 20  # texts whose words share a list; one longer text is a chunk by itself
+PIECE_BYTES = 1 << 20  # text in which pre-tokens are found together
 TASK_BYTES = 64 << 20  # text for each task of a shuffle
 SLICE_IDS = 1 << 20  # ids written or decoded together
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -104,24 +105,52 @@ def pre_tokens(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(start[:n])]
 
 
-def _listed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, the most frequent first: a place of each, its hash; and the number of every word."""
-    h1, h2 = (B.sure_hash(data, starts, ends, seed) for seed in (0, 1))
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray, limit: int) -> np.ndarray:
+    """Bounds of the texts, with more of them inside texts over ``limit`` bytes.
+
+    A text may be cut before a single space between two plain letters or digits: a pre-token begins there, whatever is around.
+    """
+    out = [bounds]
+    for i in np.flatnonzero(np.diff(bounds) > limit).tolist():
+        text = data[bounds[i]:bounds[i + 1]]
+        places = np.flatnonzero((text[1:-1] == 32) & ALNUM[text[:-2]] & ALNUM[text[2:]]) + 1
+        # the first such place after every ``limit`` bytes
+        found = np.searchsorted(places, np.arange(limit, len(text), limit))
+        out.append(bounds[i] + places[np.unique(found[found < len(places)])])
+    return np.sort(np.concatenate(out), kind="stable")
+
+
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and two hashes of all pre-tokens, found a megabyte at a time."""
+    cuts, out = _pieces(data, bounds, PIECE_BYTES), []
+    for lo, hi in B.shares(cuts, PIECE_BYTES):
+        part = data[cuts[lo]:cuts[hi]]
+        starts = pre_tokens(part, cuts[lo:hi + 1] - cuts[lo])
+        ends = np.append(starts[1:], len(part))[:len(starts)]
+        out.append((starts + cuts[lo], ends - starts, *(B.sure_hash(part, starts, ends, seed) for seed in (0, 1))))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+
+
+def _listed(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct word, the most frequent first; and the number of every word."""
     order = np.lexsort((h2, h1))
     new = B.runs_of(h1[order], h2[order])
     count = np.diff(np.append(new, len(order)))
     rank = np.argsort(-count, kind="stable")
     number = np.empty(len(new), np.int64)
     number[rank] = np.arange(len(new))
-    numbers = np.empty(len(order), np.int64)
+    numbers = np.empty(len(order), np.uint32)
     numbers[order] = np.repeat(number, count)
-    place = order[new][rank]
-    return place, h1[place], numbers
+    return order[new][rank], numbers
 
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers by byte, the lowest first: the high bytes of frequent words are alike."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _from_planes(data: np.ndarray) -> np.ndarray:
@@ -132,17 +161,16 @@ def _chunked(buckets: int, chunk_bytes: int):
     def chunk(batches: Iterator[pa.RecordBatch]):
         """One row for each chunk of texts: its number, keys, and packed numbers of its words; its words by bucket, packed."""
         for batch, data, bounds in together(batches, chunk_bytes):
-            starts = pre_tokens(data, bounds)
-            ends = np.append(starts[1:], len(data))[:len(starts)]
-            place, hashes, numbers = _listed(data, starts, ends)
+            starts, lengths, h1, h2 = _words(data, bounds)
+            place, numbers = _listed(h1, h2)
             counts = np.diff(np.searchsorted(starts, bounds))
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            bucket = (h1[place] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # rising numbers in each bucket
             new = B.runs_of(bucket[order])
             blocks = []
             for lo, hi in zip(new, np.append(new[1:], len(order))):
                 some = order[lo:hi]
-                first, length = starts[place[some]], (ends - starts)[place[some]]
+                first, length = starts[place[some]], lengths[place[some]]
                 blocks.append(framed.pack([np.diff(some, prepend=0).astype("<i4")], data[B.spread(first, length)].tobytes(), length))
             told = framed.pack([counts.astype("<i4")], _planes(numbers), np.zeros(len(counts), np.int64))
             yield pa.RecordBatch.from_arrays(
