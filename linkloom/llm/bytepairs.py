@@ -124,28 +124,69 @@ def _pieces(data: np.ndarray, bounds: np.ndarray, limit: int) -> np.ndarray:
     return np.sort(np.concatenate(out), kind="stable")
 
 
-def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and two hashes of all pre-tokens, found a megabyte at a time."""
-    cuts, out = _pieces(data, bounds, PIECE_BYTES), []
-    for lo, hi in B.shares(cuts, PIECE_BYTES):
-        part = data[cuts[lo]:cuts[hi]]
-        starts = pre_tokens(part, cuts[lo:hi + 1] - cuts[lo])
-        ends = np.append(starts[1:], len(part))[:len(starts)]
-        out.append((starts + cuts[lo], ends - starts, *(B.sure_hash(part, starts, ends, seed) for seed in (0, 1))))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
-
-
-def _listed(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct word, the most frequent first; and the number of every word."""
+def _distinct(h1: np.ndarray, h2: np.ndarray, times: np.ndarray | None = None):
+    """Of equal pairs of hashes: a place of each, how often it stands (``times`` each), and the number of every pair."""
     order = np.lexsort((h2, h1))
     new = B.runs_of(h1[order], h2[order])
-    count = np.diff(np.append(new, len(order)))
-    rank = np.argsort(-count, kind="stable")
-    number = np.empty(len(new), np.int64)
-    number[rank] = np.arange(len(new))
-    numbers = np.empty(len(order), np.uint32)
-    numbers[order] = np.repeat(number, count)
-    return order[new][rank], numbers
+    size = np.diff(np.append(new, len(order)))
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.repeat(np.arange(len(new), dtype=np.uint32), size)
+    count = size if times is None else np.add.reduceat(times[order], new) if len(new) else size
+    return order[new], count, number
+
+
+class Chunk:
+    """Documents whose words share a list. Of a text nothing stays but its distinct words, a megabyte of text at a time."""
+
+    def __init__(self):
+        self.size, self.rows, self.keys, self.counts = 0, [], [], []
+        self.parts: list[tuple] = []  # per piece of text: hashes, counts and lengths of its words, their bytes, numbers
+
+    def add(self, batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> None:
+        cuts = _pieces(data, bounds, PIECE_BYTES)
+        sizes = []
+        for lo, hi in B.shares(cuts, PIECE_BYTES):
+            part, at = data[cuts[lo]:cuts[hi]], cuts[lo:hi + 1] - cuts[lo]
+            starts = pre_tokens(part, at)
+            sizes.append(np.diff(np.searchsorted(starts, at)))
+            ends = np.append(starts[1:], len(part))[:len(starts)]
+            h1, h2 = (B.sure_hash(part, starts, ends, seed) for seed in (0, 1))
+            place, count, number = _distinct(h1, h2)
+            lengths = (ends - starts)[place]
+            self.parts.append((h1[place], h2[place], count, lengths, part[B.spread(starts[place], lengths)], number))
+        text = np.searchsorted(bounds, cuts[:-1], "right") - 1
+        self.counts.append(np.bincount(np.minimum(text, len(bounds) - 2), np.concatenate(sizes), len(bounds) - 1).astype(np.int64))
+        self.rows.append(np.array(batch.column("row").to_numpy(zero_copy_only=False)))
+        self.keys.append(batch.column("key").take(pa.array(np.arange(len(batch)))))  # a copy: the batch can go
+        self.size += len(data)
+
+    def packed(self, buckets: int) -> pa.RecordBatch:
+        """One row: the chunk's number, rows, keys, packed numbers of all words; its distinct words by bucket, packed."""
+        h1, h2, times, lengths = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        data = np.concatenate([p[4] for p in self.parts])
+        starts = np.cumsum(lengths) - lengths
+        place, count, number = _distinct(h1, h2, times)
+        rank = np.argsort(-count, kind="stable")  # the most frequent first: their numbers are short
+        of = np.empty(len(rank), np.uint32)
+        of[rank] = np.arange(len(rank), dtype=np.uint32)
+        number, place = of[number], place[rank]
+        heads = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        numbers = np.concatenate([number[h:][p[5]] for h, p in zip(heads, self.parts)])
+        counts, rows = np.concatenate(self.counts), np.concatenate(self.rows)
+        told = framed.pack([counts.astype("<i4")], _planes(numbers), np.zeros(len(counts), np.int64))
+        bucket = (h1[place] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")  # rising numbers in each bucket
+        new = B.runs_of(bucket[order])
+        blocks = []
+        for lo, hi in zip(new, np.append(new[1:], len(order))):
+            some = order[lo:hi]
+            first, length = starts[place[some]], lengths[place[some]]
+            blocks.append(framed.pack([np.diff(some, prepend=0).astype("<i4")], data[B.spread(first, length)].tobytes(), length))
+        keys = pa.concat_arrays(self.keys)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[:1]), *(pa.ListArray.from_arrays([0, len(rows)], c) for c in (pa.array(rows), keys)),
+             pa.array([told], pa.binary()), pa.array([bucket[order][new].tolist()], pa.list_(pa.int64())),
+             pa.array([blocks], pa.list_(pa.binary()))], ["chunk", "rows", "keys", "told", "buckets", "blocks"])
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -159,47 +200,17 @@ def _from_planes(data: np.ndarray) -> np.ndarray:
 
 def _chunked(buckets: int, chunk_bytes: int):
     def chunk(batches: Iterator[pa.RecordBatch]):
-        """One row for each chunk of texts: its number, keys, and packed numbers of its words; its words by bucket, packed."""
-        for batch, data, bounds in together(batches, chunk_bytes):
-            starts, lengths, h1, h2 = _words(data, bounds)
-            place, numbers = _listed(h1, h2)
-            counts = np.diff(np.searchsorted(starts, bounds))
-            bucket = (h1[place] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # rising numbers in each bucket
-            new = B.runs_of(bucket[order])
-            blocks = []
-            for lo, hi in zip(new, np.append(new[1:], len(order))):
-                some = order[lo:hi]
-                first, length = starts[place[some]], lengths[place[some]]
-                blocks.append(framed.pack([np.diff(some, prepend=0).astype("<i4")], data[B.spread(first, length)].tobytes(), length))
-            told = framed.pack([counts.astype("<i4")], _planes(numbers), np.zeros(len(counts), np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").slice(0, 1), *(pa.ListArray.from_arrays([0, len(batch)], batch.column(c)) for c in ("row", "key")),
-                 pa.array([told], pa.binary()), pa.array([bucket[order][new].tolist()], pa.list_(pa.int64())),
-                 pa.array([blocks], pa.list_(pa.binary()))],
-                ["chunk", "rows", "keys", "told", "buckets", "blocks"])
+        now = Chunk()
+        for batch, data, bounds in B.chunks(batches, limit=PIECE_BYTES):
+            if now.size and now.size + len(data) > chunk_bytes:
+                yield now.packed(buckets)
+                now = Chunk()
+            now.add(batch, data, bounds)
+        if now.rows:
+            yield now.packed(buckets)
     return chunk
 
 
-def together(batches: Iterator[pa.RecordBatch], limit: int):
-    """Texts of several batches as chunks of ``limit`` bytes, about: (rows, joined bytes, bounds)."""
-    held, size = [], 0
-
-    def joined():
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        return B.chunks([whole], limit=1 << 62)
-
-    for batch in batches:
-        for part, data, _ in B.chunks([batch], limit=limit):
-            if held and size + len(data) > limit:
-                yield from joined()
-                held, size = [], 0
-            held.append(part)
-            size += len(data)
-    if held:
-        yield from joined()
-
-
 def _exploded(batches: Iterator[pa.RecordBatch]):
     """The words of a chunk, one row for each bucket."""
     for batch in batches:
