@@ -10,8 +10,11 @@ A document table has: id, user_id, title, content, tags array<string>, collectio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from linkloom.operators.relational import page_per_key
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 2.0, "content": 1.0, "tags": 1.0}
 WORD = r"\p{L}\p{Nd}"
+SLICE_TOKENS = 200_000  # tokens grouped together
 
 
 def tokens(c: Column) -> Column:
@@ -43,11 +47,42 @@ def _field_tokens(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(field, term, id, user_id, tf, dl, positions): one row per term of a document's field."""
-    spots = _field_tokens(docs).select(
-        "field", "id", "user_id", "dl", F.posexplode("terms").alias("pos", "term"))
-    return spots.groupBy("field", "term", "id", "user_id", "dl").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(field, term, id, user_id, dl, tf, positions): one row per term of a document's field.
+
+    All tokens of a field are in one row, so they are grouped there and nothing is shuffled.
+    """
+    rows = _field_tokens(docs).select("field", "id", "user_id", "dl", "terms")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(_grouped, f"field string, term string, id {kinds['id']}, user_id {kinds['user_id']}, dl int, tf long, "
+                                     "positions array<int>")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of each row with their positions, in slices of some hundred thousand tokens."""
+    for batch in batches:
+        lengths = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < len(lengths):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + SLICE_TOKENS, "right")))
+            part = batch.slice(at, end - at)
+            size = lengths[at:end]
+            words = part.column("terms").flatten().dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((code, row))  # stable: positions stay in order
+            new = np.ones(len(order), bool)
+            new[1:] = (row[order][1:] != row[order][:-1]) | (code[order][1:] != code[order][:-1])
+            first = np.flatnonzero(new)
+            bounds = np.append(first, len(order)).astype(np.int32)
+            spot = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            of = pa.array(row[order][first])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("field").take(of), words.dictionary.take(pa.array(code[order][first])),
+                 part.column("id").take(of), part.column("user_id").take(of), part.column("dl").take(of),
+                 pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(spot[order]))],
+                ["field", "term", "id", "user_id", "dl", "tf", "positions"])
+            at = end
 
 
 def field_stats(docs: DataFrame) -> DataFrame:
@@ -145,6 +180,10 @@ def search_index(found: DataFrame, stats: DataFrame, queries: DataFrame, buckets
 def _top(scored: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     if "user_id" in queries.columns:
         scored = scored.join(queries.select("query_id", "user_id"), ["query_id", "user_id"], "left_semi")
+    return top_per_user(scored, limit)
+
+
+def top_per_user(scored: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("query_id", "user_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).select(
         "query_id", "user_id", "id", "score", "pos")

@@ -12,4 +12,4 @@ def catalog():
     return QUERIES
 
 
-MODULES = ["scalars", "relational", "related", "changes", "search", "pages", "vault", "events", "streams"]
+MODULES = ["scalars", "relational", "related", "changes", "search", "segments", "pages", "vault", "events", "streams"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.operators import changes, pages, search, vault
+from linkloom.operators.segments import SearchIndex
 from linkloom.session import ensure_checkpoint_dir
 from linkloom.streaming.feed import feed_messages
 
@@ -95,21 +96,23 @@ class CaptureFlow:
 
 
 class IncrementalIndex:
-    """Keeps a document table and the links' index times up to date from a stream of parsed link ids."""
+    """Keeps a stored search index and the links' index times up to date from a stream of parsed link ids.
 
-    def __init__(self, links: DataFrame, collections: DataFrame, link_tags: DataFrame, tags: DataFrame, folder: str):
+    A batch writes one segment and reads no other batch but the id partitions that it touches; a repeated batch changes nothing.
+    """
+
+    def __init__(self, links: DataFrame, collections: DataFrame, link_tags: DataFrame, tags: DataFrame, folder: str, **settings: int):
         self.inputs, self.folder = (links, collections, link_tags, tags), folder
+        self.index = SearchIndex(links.sparkSession, f"{folder}/index", **settings)
 
     def step(self, batch: DataFrame, epoch: int) -> None:
         links, *others = self.inputs
         asked = links.join(batch.select(F.col("link_id").alias("id")).distinct(), "id", "left_semi")
-        search.resync_docs(asked, *others).write.mode("overwrite").parquet(f"{self.folder}/docs/batch={epoch}")
+        self.index.apply(search.resync_docs(asked, *others), epoch=epoch)
 
     def documents(self) -> DataFrame:
         """One document per link: that of the last batch that wrote it."""
-        rows = self.inputs[0].sparkSession.read.parquet(f"{self.folder}/docs")
-        columns = [c for c in rows.columns if c not in ("id", "batch")]
-        return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("id", "row.*")
+        return self.index.documents()
 
     def marked_links(self, at: Column) -> DataFrame:
         """The links, those with a written document marked as indexed."""
