@@ -155,8 +155,12 @@ def blank_to_null(c: Column) -> Column:
 BROWSER_SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+# the same characters, one by one
+BROWSER_SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def browser_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{BROWSER_SPACE}]+|[{BROWSER_SPACE}]+$", "")
+    return F.btrim(c, F.lit(BROWSER_SPACES))
 
 
 def parse_tag_list(text: Column) -> Column:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,62 +83,97 @@ def image_size_filter(assets: DataFrame) -> DataFrame:
 
 # ---- Markdown to block rows --------------------------------------------------------------------
 
-BLOCK_ORDER = {"paragraph": 0, "list": 1, "quote": 2, "code": 3, "heading": 4}
+BLOCK_KINDS = ("paragraph", "list", "quote", "code", "heading")  # in the order in which blocks at one place come
+END = 2**31 - 1  # the place of blocks that only the end of the text flushes
+# per kind of block: the kinds of line that flush it, and what joins its lines
+FLUSHED = {
+    "paragraph": (("fence", "heading", "list", "quote", "blank"), " "), "list": (("fence", "heading", "quote", "blank"), "\n"),
+    "quote": (("fence", "heading", "list", "blank"), " "), "code": (("fence",), "\n")}
+LINE_KINDS = ("paragraph", "list", "quote", "code", "heading", "fence", "blank")
 
 
 def markdown_blocks(notes_df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, at, rank, kind, level, text): the blocks of each Markdown text in order of (at, rank).
 
     Three buffers (paragraph, list, quote) and the code fence fill up side by side and each is emitted at the next line
-    that flushes it, which names the block. The lines of a text are folded where the text is read: no shuffle.
+    that flushes it, which names the block. So the lines of a block are those of its kind with the same next flushing line,
+    found for all lines of some texts at once. Lines of a text stay in the task that reads it: no shuffle, and the work
+    grows with the number of lines.
     """
     space = f"[{strings.BROWSER_SPACE}]"
     heading, item, quote = rf"^(#{{1,6}}){space}+(.*)$", rf"^[-*+]{space}+(.*)$", rf"^>{space}?(.*)$"
-    texts = F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")
-    lines = F.transform(texts, lambda line, n: F.struct(n.alias("n"), line.alias("line"), strings.browser_trim(line).alias("trimmed")))
-    # what a line is outside code; the fold below only compares names
-    lines = F.transform(lines, lambda x: F.struct(
-        x["n"].alias("n"), x["line"].alias("line"), x["trimmed"].alias("trimmed"),
-        F.when(F.startswith(x["trimmed"], F.lit("```")), "fence").when(F.rlike(x["line"], F.lit(heading)), "heading")
-        .when(F.rlike(x["line"], F.lit(item)), "list").when(F.rlike(x["line"], F.lit(quote)), "quote")
-        .when(x["trimmed"] == "", "blank").otherwise("paragraph").alias("kind")))
-    none = F.lit(None).cast("string")
-    block = "struct<at:int,rank:int,kind:string,level:int,text:string>"
-    start = F.struct(F.lit(False).alias("inside"), *[none.alias(k) for k in ("paragraph", "list", "quote", "code")],
-                     F.array().cast(f"array<{block}>").alias("out"))
-
-    def made(kind: str, at: Column, content: Column, level: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), F.lit(BLOCK_ORDER[kind]).alias("rank"), F.lit(kind).alias("kind"),
-                        level.cast("int").alias("level"), content.alias("text"))
-
-    def flushed(state: Column, at: Column, **when: Column) -> Column:
-        """Blocks of the buffers that hold something and are flushed."""
-        blocks = F.array(*[F.when(full & state[k].isNotNull(), made(k, at, state[k], F.lit(None))) for k, full in when.items()])
-        return F.array_compact(blocks)
-
-    def step(state: Column, x: Column) -> Column:
-        line, trimmed = x["line"], x["trimmed"]
-        fence = x["kind"] == "fence"
-        code = ~fence & state["inside"]
-        head, listed, quoted, blank, plain = (
-            ~state["inside"] & (x["kind"] == kind) for kind in ("heading", "list", "quote", "blank", "paragraph"))
-        ends = fence | head | blank
-        full = {"paragraph": ends | listed | quoted, "list": ends | quoted, "quote": ends | listed, "code": fence}
-        values = {"paragraph": (plain, trimmed, " "), "list": (listed, F.regexp_extract(line, item, 1), "\n"),
-                  "quote": (quoted, F.regexp_extract(line, quote, 1), " "), "code": (code, line, "\n")}
-
-        def buffer(kind: str) -> Column:
-            more, value, glue = values[kind]
-            kept = F.when(~full[kind], state[kind])
-            return F.when(more, F.when(kept.isNull(), value).otherwise(F.concat(kept, F.lit(glue), value))).otherwise(kept)
-
-        title = F.when(head, F.array(made("heading", x["n"], F.regexp_extract(line, heading, 2),
-                                          F.length(F.regexp_extract(line, heading, 1))))).otherwise(F.array().cast(f"array<{block}>"))
-        return F.struct((state["inside"] != fence).alias("inside"), *[buffer(k).alias(k) for k in values],
-                        F.concat(state["out"], flushed(state, x["n"], **full), title).alias("out"))
-
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], flushed(state, F.lit(2**31 - 1), **dict.fromkeys(("paragraph", "list", "quote", "code"), F.lit(True))))
-
-    rows = notes_df.where(F.col(text) != "").select(key, F.explode(F.aggregate(lines, start, step, finish)).alias("block"))
-    return rows.select(key, "block.at", "block.rank", "block.kind", "block.level", "block.text")
+    rows = notes_df.where(F.col(text) != "").select(
+        F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.replace(F.col(text), F.lit("\r"), F.lit("")).alias("text"))
+    rows = rows.select("key", "row", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = rows.withColumn("trimmed", strings.browser_trim(F.col("line")))
+    number = {kind: F.lit(i) for i, kind in enumerate(LINE_KINDS)}
+    # what a line is outside code
+    rows = rows.withColumn(
+        "kind", F.when(F.startswith("trimmed", F.lit("```")), number["fence"]).when(F.rlike("line", F.lit(heading)), number["heading"])
+        .when(F.rlike("line", F.lit(item)), number["list"]).when(F.rlike("line", F.lit(quote)), number["quote"])
+        .when(F.col("trimmed") == "", number["blank"]).otherwise(number["paragraph"]).cast("tinyint"))
+    value = F.when(F.col("kind") == number["heading"], F.regexp_extract("line", heading, 2)).when(
+        F.col("kind") == number["list"], F.regexp_extract("line", item, 1)).when(
+        F.col("kind") == number["quote"], F.regexp_extract("line", quote, 1)).otherwise(F.col("trimmed"))
+    level = F.when(F.col("kind") == number["heading"], F.length(F.regexp_extract("line", heading, 1)))
+    kind = dict(rows.dtypes)["key"]
+    return rows.select("key", "row", "n", "line", "kind", value.alias("value"), level.alias("level")).mapInArrow(
+        _whole_texts, f"key {kind}, at int, rank int, kind string, level int, text string").withColumnRenamed("key", key)
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the texts whose last line has come; the lines of the last text wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        row = batch.column("row").to_numpy(zero_copy_only=False)
+        if held and len(row) and held[-1].column("row")[-1].as_py() != row[0]:
+            yield _blocks(held)
+            held = []
+        new = np.flatnonzero(row[1:] != row[:-1])
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if cut:
+            yield _blocks([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if any(len(b) for b in held):
+        yield _blocks(held)
+
+
+def _blocks(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    lines = pa.Table.from_batches(batches).combine_chunks()
+    column = lambda name: lines.column(name).chunk(0)
+    row, n, kind = (column(c).to_numpy(zero_copy_only=False) for c in ("row", "n", "kind"))
+    code = {name: i for i, name in enumerate(LINE_KINDS)}
+    fence = kind == code["fence"]
+    first = np.append(True, row[1:] != row[:-1])
+    text = np.cumsum(first) - 1
+    fences = np.cumsum(fence)
+    inside = (fences - (fences - fence)[first][text]) % 2 == 1
+    kind = np.where(inside & ~fence, code["code"], kind)
+    ends = np.append(np.flatnonzero(first)[1:], len(row))[text]
+    place = np.arange(len(row))
+    parts = []
+    for block, (flushing, _) in FLUSHED.items():
+        some = place[kind == code[block]]
+        flush = place[np.isin(kind, [code[k] for k in flushing])]
+        after = np.append(flush, len(row))[np.searchsorted(flush, some)]
+        at = np.where(after < ends[some], n[np.minimum(after, len(row) - 1)], END)
+        parts.append((some, at, np.full(len(some), code[block])))
+    heads = place[kind == code["heading"]]
+    parts.append((heads, n[heads], np.full(len(heads), code["heading"])))
+    some, at, block = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((some, block, at, text[some]))
+    some, at, block = some[order], at[order], block[order]
+    new = np.append(True, (text[some][1:] != text[some][:-1]) | (at[1:] != at[:-1]) | (block[1:] != block[:-1]))[:len(some)]
+    starts = np.flatnonzero(new)
+    bounds = np.append(starts, len(some)).astype(np.int64)
+    chosen = pc.if_else(pa.array(block == code["code"]), column("line").take(pa.array(some)), column("value").take(pa.array(some)))
+    joins = {code[k]: glue for k, (_, glue) in FLUSHED.items()} | {code["heading"]: " "}
+    glue = pa.array([joins[b] for b in block[starts].tolist()], pa.large_string())
+    listed = pa.LargeListArray.from_arrays(pa.array(bounds), chosen.cast(pa.large_string()))
+    of = pa.array(some[starts])
+    level = pc.if_else(pa.array(block[starts] == code["heading"]), column("level").take(of), pa.scalar(None, pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [column("key").take(of), pa.array(at[starts].astype(np.int32)), pa.array(block[starts].astype(np.int32)),
+         pa.array([BLOCK_KINDS[b] for b in block[starts].tolist()], pa.string()), level,
+         pc.binary_join(listed, glue).cast(pa.string())], ["key", "at", "rank", "kind", "level", "text"])
