@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.tables import ROW, keyed, numbered, squeezed, stored
+from linkloom.llm.tables import keyed, numbered, read_from, squeezed, stored
 
 
 def _named(rows: DataFrame, key: str) -> DataFrame:
@@ -34,8 +34,11 @@ def text_names(docs: DataFrame, key: str = "doc_id", text: str = "text", block_b
     empty texts are equal; a text of any length is read whole. Rows may repeat keys or have none. An empty table gives
     an empty table. Other columns of the input are not looked at.
     """
-    rows = keyed(docs, key, text).select("row", "key", F.length(text).alias("n_chars"),
-                                         squeezed(F.col(text)).cast("binary").alias("body"))
+    return _text_names(keyed(docs, key, text).withColumnRenamed(text, "text"), block_bytes)
+
+
+def _text_names(rows: DataFrame, block_bytes: int) -> DataFrame:
+    rows = rows.select("row", "key", F.length("text").alias("n_chars"), squeezed(F.col("text")).cast("binary").alias("body"))
     rows = rows.select("row", "key", "n_chars", F.sha2("body", 256).alias("sha256"), "body",
                        F.greatest(F.ceil(F.length("body") / block_bytes), F.lit(1)).cast("int").alias("blocks"))
     cut = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -66,7 +69,11 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
 
     Of equal texts the row with the most code points stays, then the smallest key (null last), then the first row.
     """
-    names = stored(text_names(docs, key, text, block_bytes))
+    return _marked(text_names(docs, key, text, block_bytes))
+
+
+def _marked(names: DataFrame) -> DataFrame:
+    names = stored(names)
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("key").isNull().alias("no_key"), "key", "row")).alias("best")
     # a group of one needs no answer from elsewhere
     groups = stored(names.groupBy("blocks", "h", "r").agg(F.count(F.lit(1)).alias("size"), best).where("size > 1"))
@@ -80,6 +87,6 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 4096) -> DataFrame:
     """The input rows that stay, with all their columns."""
-    docs = numbered(docs)
-    stay = mark_copies(docs, key, text, block_bytes).where("kept").select(F.col("row").alias(ROW))
-    return docs.join(stay, ROW, "left_semi").drop(ROW)
+    rows = numbered(docs)
+    names = _text_names(read_from(rows, key, text).withColumnRenamed(text, "text"), block_bytes)
+    return rows.join(_marked(names).where("kept").select("row"), "row", "left_semi").select("doc.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import bytetext as B
-from linkloom.llm.tables import ROW, keyed_once, numbered, stored
+from linkloom.llm.tables import keyed_once, numbered, quoted, read_from, stored
 
 COORDINATES = 64
 NEAR = 0.6  # share of equal coordinates from which two documents are candidates: 7 deviations below a similarity of 0.85
@@ -262,7 +262,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     nothing; null keys come after all others. Equal sets are always linked, repeated rows too. ``recall`` is that of a single
     pair; in a group every further link adds to it. An empty table gives an empty table; texts are read whole.
     """
-    rows = keyed_once(docs, key, text).select("row", "key", F.col(text).alias("text"))
+    return _grouped(keyed_once(docs, key, text).select("row", "key", F.col(quoted(text)).alias("text")), words, percent, recall)
+
+
+def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFrame:
     kind = dict(rows.dtypes)["key"]
     signed = stored(rows.mapInArrow(
         _signatures(words), f"row long, key {kind}, n long, s1 long, s2 long, signature array<int>"))
@@ -340,6 +343,7 @@ def _large_links(texts: DataFrame, link) -> DataFrame:
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
               recall: float = 0.99) -> DataFrame:
     """The input rows that are kept, with all their columns: one of each group."""
-    docs = numbered(docs)
-    stay = near_groups(docs, key, text, words, percent, recall).where("kept").select(F.col("row").alias(ROW))
-    return docs.join(stay, ROW, "left_semi").drop(ROW)
+    rows = numbered(docs)
+    texts = read_from(rows, key, text).select("row", "key", F.col(quoted(text)).alias("text"))
+    stay = _grouped(texts, words, percent, recall).where("kept").select("row")
+    return rows.join(stay, "row", "left_semi").select("doc.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import bytetext as B
 from linkloom.llm import framed
-from linkloom.llm.tables import keyed_once, stored
+from linkloom.llm.tables import keyed_once, quoted, stored
 from linkloom.llm.windows import GROUP_BYTES, extent, hot_minimisers, joined
 
 RUN_BYTES = 6 << 20  # bytes of text whose members are sorted together
@@ -349,7 +349,7 @@ def drop_repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "tex
     or another one. Null and empty texts have no bytes; texts shorter than ``length`` stay whole; a repeated row is another
     text. An empty table gives an empty table. A text is read whole; one may have up to 2 ** 28 bytes.
     """
-    rows = keyed_once(docs, key, text).select("row", "key", F.col(text).alias("text"))
+    rows = keyed_once(docs, key, text).select("row", "key", F.col(quoted(text)).alias("text"))
     runs = repeated_strings(rows, length, gram, limit).groupBy("row").agg(
         F.collect_list(F.struct("start", "n")).alias("runs"))  # no more than a text has bytes
     kind = dict(rows.dtypes)["key"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import bytetext as B
 from linkloom.llm import framed
-from linkloom.llm.tables import stored
+from linkloom.llm.tables import numbered, quoted, stored
 
 FLUSH_BYTES = 8 << 20  # packed strings that a task holds before it hands them on
 BUCKET_BYTES = 8 << 20  # packed strings of one bucket, about
@@ -229,8 +229,9 @@ def _finder(window: int):
 
 
 def extent(rows: DataFrame) -> tuple[int, int]:
-    """Bytes of text, and tasks that read them (rows are numbered by task)."""
-    size, tasks = rows.agg(F.sum(F.octet_length("text")), F.countDistinct(F.shiftright("row", 33))).first()
+    """Bytes of text, and tasks that read them."""
+    told = rows.select(F.octet_length("text").alias("bytes"), F.spark_partition_id().alias("task"))
+    size, tasks = told.agg(F.sum("bytes"), F.count_distinct("task")).first()
     return size or 0, tasks
 
 
@@ -301,9 +302,10 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     shorter than a window stay whole. Keys are whole numbers. An empty table gives an empty table. A text is read whole; one
     may have up to 2 ** 28 bytes. The input row is in ``doc``, so its column names clash with nothing.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"),
-                       F.struct(*[c for c in docs.columns if c != text]).alias("doc"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text")))  # rows are numbered once
+    rows = numbered(docs).select(
+        "row", F.col(f"doc.{quoted(key)}").cast("long").alias("key"),
+        F.struct(*[F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns if c != text]).alias("doc"),
+        F.coalesce(F.col(f"doc.{quoted(text)}"), F.lit("")).alias("text"))
     runs = later_windows(rows, window, minimiser, limit).groupBy("row").agg(
         F.collect_list(F.struct("start", "n")).alias("runs"))  # no more than a text has words
     kind = dict(rows.dtypes)["doc"]
