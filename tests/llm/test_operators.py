@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,6 +224,23 @@ def test_articles_in_other_regions_are_no_main_region():
     assert markup.main_text(page, set()) == "The story."
 
 
+@pytest.mark.parametrize("page", ['<a "' * 1_250_000, "<div>" * 500_000 + "</span>" * 300_000, "<a '\" \"" * 700_000, "<" * 3_000_000])
+def test_malformed_pages_take_linear_time(page):
+    start = time.time()
+    assert sum(1 for _ in markup.blocks_of(page)) >= 1
+    assert time.time() - start < 60
+
+
+def test_an_empty_page_changes_no_template(spark):
+    page = "<body><div>Top of all pages</div><div><p>Own text {0} here.</p></div><div>Bottom of all pages</div></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(12)]
+    kind = "page_id long, url string, html string"
+    alone = rows_of(markup.extract(spark.createDataFrame(rows, kind)))
+    more = rows_of(markup.extract(spark.createDataFrame([*rows, (98, "http://a.com/x", None), (99, "http://a.com/y", "")], kind)))
+    assert sorted(more) == sorted([*alone, (98, "http://a.com/x", "", 0), (99, "http://a.com/y", "", 0)])
+    assert all("Top of" not in r[2] and "Own text" in r[2] for r in alone)
+
+
 def test_template_text_goes_and_articles_stay(spark):
     page = "<html><body><div><p>Share this page</p><p>story {0} is told</p><p>more {0}</p></div></body></html>"
     rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(12)] + [(20, "http://k.org/", page.format(20)), (21, None, None)]
