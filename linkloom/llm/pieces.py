@@ -31,7 +31,7 @@ from linkloom.llm import bytetext as B
 
 MARK = "▁"
 WORD = re.compile(rf"{MARK}|\n| *[^ \n{MARK}]+| +")
-CHUNK_BYTES = 1 << 20  # texts whose words' lattices are built together: some 200 bytes for each character of a new word
+CHUNK_BYTES = 1 << 19  # texts whose words' lattices are built together: some 200 bytes for each character of a new word
 
 
 class Vocabulary:
@@ -223,21 +223,37 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     return rows.mapInArrow(_encode(path, sharpness), f"row long, key {kind}, text string, ids array<int>")
 
 
+SLICE_IDS = 200_000  # ids decoded together
+
+
 def decode(rows: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """The rows with the text of their ids as column ``decoded`` (null ids: null)."""
+    """The rows with the text of their ids as column ``decoded`` (null ids: null).
+
+    Ids are decoded some hundred thousand at a time, whatever the size of a batch; of a longer single row all at once.
+    """
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
 
     def texts(batches: Iterator[pa.RecordBatch]):
         table = Vocabulary(path, 1.0).bytes_of
         sizes = np.fromiter(map(len, table), np.int64, len(table))
+        starts, spelled = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            listed = batch.column(batch.schema.get_field_index(ids))
-            flat = listed.flatten().to_pylist()
-            spelled = b"".join(map(table.__getitem__, flat))
-            ends = np.append(0, np.cumsum(sizes[flat]))[np.append(0, np.cumsum(
-                pc.list_value_length(listed).fill_null(0).to_numpy(zero_copy_only=False)))]
-            out = [spelled[a + 1:b].decode() if real else None for a, b, real in zip(
-                ends[:-1].tolist(), ends[1:].tolist(), listed.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+            column = batch.column(batch.schema.get_field_index(ids))
+            counts = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, end in B.shares(np.append(0, np.cumsum(counts)), SLICE_IDS):
+                part = batch.slice(at, end - at)
+                listed = part.column(part.schema.get_field_index(ids))
+                flat = listed.flatten().to_numpy(zero_copy_only=False)
+                n, mine = sizes[flat], counts[at:end]
+                data = spelled[B.spread(starts[flat], n)]
+                ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(mine))]
+                # a text begins with a mark of its own
+                keep = np.ones(len(data), bool)
+                keep[ends[:-1][np.diff(ends) > 0]] = False
+                ends = np.append(0, np.cumsum(keep))[ends]
+                made = pa.Array.from_buffers(pa.large_string(), end - at, [
+                    None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data[keep].tobytes())])
+                made = pc.if_else(listed.is_valid(), made, pa.scalar(None, pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(texts, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
