@@ -12,7 +12,7 @@ from linkloom.plans.relational import joined
 from linkloom.plans.scalars import AS_OF, q_stem
 from linkloom.plans.search import _RESYNC
 from linkloom.sources import codecs
-from linkloom.streaming import feed, flows, stateful, windows
+from linkloom.streaming import feed, firsts, flows, stateful, windows
 
 
 def stream_of(t, table):
@@ -32,10 +32,10 @@ def stream_ttl_dedup(t):
         "key", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.col("seq").alias("event_id"))
 
 
-@query("stream_permanent_dedup", "SELECT DISTINCT user_id, url FROM v_captures")
+@query("stream_permanent_dedup", "SELECT user_id, url, min(event_id) AS event_id FROM v_captures GROUP BY 1, 2")
 def stream_permanent_dedup(t):
-    kept = stateful.permanent_dedup_stream(captures(t), ["user_id", "url"])
-    return flows.collect_batches(kept.select("user_id", "url"), flows.work_folder(t.spark, "first"))
+    store = firsts.FirstArrivals(t.spark, flows.work_folder(t.spark, "first"), ["user_id", "url"], "event_id", buckets=8)
+    return store.run(captures(t)).select("user_id", "url", "event_id")
 
 
 @query("stream_rate_limit", "SELECT seq, key, allowed, used, reset_at FROM (" + q_replay(TIGHT).strip() + ") r")

@@ -4,11 +4,12 @@ import datetime as dt
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import dedup, ratelimit
-from linkloom.streaming import flows, stateful
+from linkloom.streaming import firsts, flows, stateful
 
 START = dt.datetime(2024, 1, 1)
 
@@ -137,3 +138,40 @@ def test_capture_flow_in_batches(spark, tmp_path):
     assert flow.table("feed").count() == 10 and flow.table("docs").count() == 10
     note = flow.table("notes").where("path like '%page-3.md'").first()
     assert "# Page 3\n\nBody 3" in note.content
+
+
+def test_first_arrivals_over_restarts(spark, tmp_path):
+    """Three runs over the same folders, each with new files; the store is made anew each time, as after a restart."""
+    rnd, want, seen = random.Random(4), {}, []
+    kind = "user string, url string, seq long"
+    for turn in range(3):
+        rows = [(rnd.choice("aaab") if rnd.random() > 0.1 else None, f"u{rnd.randrange(60)}", turn * 1000 + i) for i in range(150)]
+        for user, url, seq in rows:
+            want.setdefault((user, url), (turn, seq))
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        store = firsts.FirstArrivals(spark, str(tmp_path / "out"), ["user", "url"], "seq", buckets=4, fanout=2)
+        got = store.run(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+        assert {((r.user, r.url), r.seq) for r in got.collect()} == {(k, s) for k, (_, s) in want.items()}
+        assert got.count() == len(want)
+        seen.append(store.looked_up)
+    assert seen[0] == 0 < seen[1]
+    assert sum(store.state()[1]["segments"].values()) == len(want)
+    before = store.state()
+    store.step(spark.createDataFrame([("a", "other", 1)], kind), before[1]["epoch"])  # a repeated batch
+    assert store.state() == before
+
+
+def test_segments_of_keys_are_merged(spark, tmp_path):
+    store = firsts.FirstArrivals(spark, str(tmp_path / "out"), ["id"], "seq", buckets=2, fanout=2)
+    for epoch in range(3):
+        store.step(spark.range(epoch * 10, epoch * 10 + 20).selectExpr("id", "id AS seq"), epoch)
+        assert spark.read.parquet(f"{tmp_path}/out/rows/batch={epoch}").count() == (10 if epoch else 20)
+    sizes = store.state()[1]["segments"].values()
+    assert sum(sizes) == 40 and len(sizes) == 2
+
+
+def test_filters_hold_their_keys():
+    rng = np.random.default_rng(1)
+    keys, others = rng.integers(-2**63, 2**63 - 1, (2, 20_000))
+    bits = firsts.filter_of(keys)
+    assert firsts.may_hold(bits, keys).all() and firsts.may_hold(bits, others).mean() < 0.01
