@@ -7,7 +7,6 @@ many tasks. Written out, such a page is a folder of ordered text parts.
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import notes, strings
 from linkloom.operators import related as rl
+from linkloom.operators.notefiles import NoteStore
 from linkloom.operators.relational import with_collection, with_tags
 from linkloom.sources.schemas import MANIFEST
 
@@ -61,32 +61,12 @@ def note_files(exported: DataFrame) -> DataFrame:
 
 
 def write_notes(files: DataFrame, root: str) -> None:
-    """Write one file per row below ``root``, a folder that all executors share.
-
-    Each file is written aside and renamed, so a repeated task leaves whole files only.
-    """
-
-    def write(rows) -> None:
-        for row in rows:
-            target = os.path.join(root, row["path"])  # an absolute path stays one
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            aside = f"{target}.{os.getpid()}.tmp"
-            with open(aside, "w", encoding="utf-8", newline="") as out:
-                out.write(row["content"])
-            os.replace(aside, target)
-
-    files.select("path", "content").foreachPartition(write)
+    """Write one file per row below ``root``, a folder that all executors share, all of them or none."""
+    NoteStore(files.sparkSession, root).write(files)
 
 
 def remove_files(paths: DataFrame, root: str) -> None:
-    def remove(rows) -> None:
-        for row in rows:
-            try:
-                os.remove(os.path.join(root, row["path"]))
-            except FileNotFoundError:
-                pass
-
-    paths.select("path").foreachPartition(remove)
+    NoteStore(paths.sparkSession, root).write(removed=paths)
 
 
 def downloads(links: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from linkloom.plans.relational import _TAGGED
 from linkloom.plans.scalars import (AS_OF, q_dir, q_front, q_iso, q_margin, q_minutes, q_note_path, q_stem, q_tags_yaml,
                                     q_wikilink)
 from linkloom.functions import strings
+from linkloom.sources.versions import VersionedFolder
 from linkloom.streaming.flows import work_folder
 
 NL = "chr(10)"
@@ -124,9 +125,12 @@ def old_manifest(t):
 
 @query("sink_manifest", f"WITH {_ROWS} SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE link_id NOT IN (SELECT link_id FROM fresh)")
 def sink_manifest(t):
-    folder = work_folder(t.spark, "manifest")
-    vault.write_manifest(vault.manifest_upsert(old_manifest(t), note_rows(t)), folder)
-    return vault.read_manifest(t.spark.read.text(folder))
+    # the manifest before, then the one after new notes, made from it
+    folder = VersionedFolder(t.spark, work_folder(t.spark, "manifest"))
+    first = folder.publish(lambda place: vault.write_manifest(old_manifest(t), place))
+    before = vault.read_manifest(t.spark.read.text(folder.current(first)))
+    folder.publish(lambda place: vault.write_manifest(vault.manifest_upsert(before, note_rows(t)), place), first)
+    return vault.read_manifest(t.spark.read.text(folder.current()))
 
 
 @query("note_moves", f"WITH {_ROWS} SELECT o.link_id, o.path AS old_path, f.path FROM old o JOIN fresh f ON f.link_id = o.link_id WHERE o.path <> f.path")
@@ -238,17 +242,18 @@ def read_lines(t, folder):
 
 @query("sink_index", _INDEX + "SELECT '_index.md' AS page, row_number() OVER (ORDER BY part, key1, sub, key2, link_id) AS n, line FROM lines")
 def sink_index(t):
-    folder = work_folder(t.spark, "index-pages")
-    vault.write_lines(index_lines(t), folder)
-    return read_lines(t, folder)
+    folder = VersionedFolder(t.spark, work_folder(t.spark, "index-pages"))
+    folder.publish(lambda place: vault.write_lines(index_lines(t), place))
+    return read_lines(t, folder.current())
 
 
 @query("sink_tag_pages", _TAG_LINES + f"""SELECT 'by-tag/' || {q_wikilink('tag')} || '.md' AS page,
   row_number() OVER (PARTITION BY {q_wikilink('tag')} ORDER BY tag, sub, key2, link_id) AS n, line FROM lines""")
 def sink_tag_pages(t):
-    folder = work_folder(t.spark, "tag-pages")
-    vault.write_lines(vault.tag_pages(rel.tagged_titles(t.tags, t.link_tags, t.links, t.collections), as_of()), folder)
-    return read_lines(t, folder)
+    folder = VersionedFolder(t.spark, work_folder(t.spark, "tag-pages"))
+    lines = vault.tag_pages(rel.tagged_titles(t.tags, t.link_tags, t.links, t.collections), as_of())
+    folder.publish(lambda place: vault.write_lines(lines, place))
+    return read_lines(t, folder.current())
 
 
 # ---- exports again and exports deleted ---------------------------------------------------------

@@ -163,3 +163,34 @@ class VersionedTable:
         used = {part for content in self.versions.forget(keep) for part in content["parts"]}
         for part in set(self.versions.files.names(f"{self.folder}/data")) - used:
             self.versions.files.remove(f"{self.folder}/data/{part}")
+
+
+class VersionedFolder:
+    """A folder of which each version is written aside as a whole and then becomes the current one at once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self.versions = folder.rstrip("/"), Versions(spark, folder)
+
+    def publish(self, write: Callable[[str], None], base: int | None = None) -> int:
+        """``write`` fills the folder it is given; if it fails, or ``base`` is no longer the latest version, nothing changes."""
+        base = self.versions.latest() if base is None else base
+        part = uuid4().hex
+        try:
+            write(f"{self.folder}/data/{part}")
+            return self.versions.commit(base, {"part": part})
+        except BaseException:
+            self.versions.files.remove(f"{self.folder}/data/{part}")
+            raise
+
+    def current(self, version: int | None = None) -> str:
+        """The folder of a version, the latest by default."""
+        number = self.versions.latest() if version is None else version
+        if not number:
+            raise ValueError(f"{self.folder} has no version yet")
+        return f"{self.folder}/data/{self.versions.content(number)['part']}"
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the last ``keep`` versions; no reader of older ones may be at work."""
+        used = {content["part"] for content in self.versions.forget(keep)}
+        for part in set(self.versions.files.names(f"{self.folder}/data")) - used:
+            self.versions.files.remove(f"{self.folder}/data/{part}")
