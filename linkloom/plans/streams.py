@@ -12,7 +12,7 @@ from linkloom.plans.relational import joined
 from linkloom.plans.scalars import AS_OF, q_stem
 from linkloom.plans.search import _RESYNC
 from linkloom.sources import codecs
-from linkloom.streaming import feed, firsts, flows, stateful, windows
+from linkloom.streaming import feed, firsts, flows, queues, stateful, windows
 
 
 def stream_of(t, table):
@@ -65,15 +65,18 @@ def feed_stream(t):
 def src_queue(t):
     # queue entries of error events are not numbers and are skipped
     entry = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id").cast("string"))
-    ids = feed.link_ids(stream_of(t, "events").select(entry.alias("value")))
-    return flows.collect_batches(ids, flows.work_folder(t.spark, "queue"))
+    folder = flows.work_folder(t.spark, "queue")
+    queues.enqueue(t.base("events").select(entry.alias("value")), f"{folder}/entries")
+    return flows.collect_batches(feed.link_ids(queues.read_queue(t.spark, f"{folder}/entries")), folder)
 
 
 @query("src_feed", "SELECT event_id AS link_id FROM events WHERE event_type <> 'signup'")
 def src_feed(t):
     entry = F.when(F.col("event_type") == "signup", "not a number").otherwise(F.col("event_id").cast("string"))
-    ids = feed.link_ids(stream_of(t, "events").select(entry.alias("value")))
-    return flows.collect_batches(ids, flows.work_folder(t.spark, "subscriber"))
+    folder = flows.work_folder(t.spark, "subscriber")
+    for half in (0, 1):  # two runs, one batch each
+        queues.enqueue(t.base("events").where(F.col("event_id") % 2 == half).select(entry.alias("value")), f"{folder}/entries")
+    return flows.collect_batches(feed.link_ids(queues.read_queue(t.spark, f"{folder}/entries")), folder)
 
 
 @query("capture_flow", f"""
