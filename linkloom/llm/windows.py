@@ -25,7 +25,7 @@ from linkloom.llm.tables import numbered, quoted, stored
 
 FLUSH_BYTES = 8 << 20  # packed strings that a task holds before it hands them on
 BUCKET_BYTES = 8 << 20  # packed strings of one bucket, about
-GROUP_BYTES = 64 << 20  # strings with one minimiser that a task may hold at once
+GROUP_BYTES = 32 << 20  # strings with one minimiser that a task may hold at once
 LIMIT = GROUP_BYTES // 160  # so many runs: a run is some 30 words
 
 
