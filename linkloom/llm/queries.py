@@ -62,7 +62,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > len(regexp_extract_all(text, '\p{L}'))
             OR length(text) - length(replace(text, '!', '')) > 0.3 * n_words
             OR 2 * len(regexp_extract_all(text, '[\p{L}\p{M}]')) < word_chars
-            OR len(list_distinct(words)) < 0.2 * n_words
+            OR list_sum([len(list_distinct(words[5000 * i + 1:5000 * i + 5000]))
+                         FOR i IN range(0, greatest(len(words) - 1, 0) // 5000 + 1)]) < 0.2 * n_words
             OR len(regexp_extract_all(text, '\.\.\.|…')) > 0.3 * n_words) AS kept
 FROM b""")
 def op6(spark, folder):

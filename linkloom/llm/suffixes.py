@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from linkloom.llm import bytetext as B
 from linkloom.llm import framed
 from linkloom.llm.tables import keyed_once, quoted, stored
-from linkloom.llm.windows import GROUP_BYTES, extent, hot_minimisers, joined
+from linkloom.llm.windows import extent, hot_minimisers, joined
 
 RUN_BYTES = 6 << 20  # bytes of text whose members are sorted together
 RANGE_BYTES = 8 << 20  # bytes of members in one range, about
+GROUP_BYTES = 64 << 20  # strings of one gram that a task may hold at once
 LIMIT = GROUP_BYTES // 400  # members of one gram that a task may hold at once
 SAMPLE_BYTES = 16 << 20  # text from which the ends of the ranges are taken: they decide the balance only
 KINDS = ["<i8", "<i4", "<i2", "<i2", "<i2"]  # row, start, strings, shared prefix, bytes before the anchor
