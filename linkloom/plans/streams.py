@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from linkloom.operators import metrics, ratelimit
@@ -144,3 +146,60 @@ def sink_json(t):
 
 
 
+
+
+def _faulty(name, key, fields, good):
+    """SQL of one entity: faults by the key's remainder (``fields``: remainder to message), 3: cut off, else the good row."""
+    cases = " ".join(f"WHEN {key} % 5 = {r}{extra} THEN {message}" for r, extra, message in fields)
+    return f"""SELECT '{name}' AS entity, {key} AS key, CASE {cases} WHEN {key} % 5 = 3 THEN 'not a JSON record of this kind' END AS error, {good} AS detail"""
+
+
+_ENTITIES = " UNION ALL ".join([
+    _faulty("link", "id", [(1, "", "'Invalid instant: day ' || id"), (2, "", "'Unknown LinkStatus: lost' || id")],
+            "url || ' ' || status || ' ' || epoch(saved_at)::BIGINT || ' ' || coalesce(epoch(parsed_at)::BIGINT::VARCHAR, '-')") + " FROM v_links",
+    _faulty("collection", "id", [(1, "", "'Invalid instant: ' || name"), (4, "", "'missing field slug'")],
+            "name || ' ' || slug || ' ' || (user_id * 86400)") + " FROM v_collections",
+    _faulty("tag", "id", [(4, "", "'missing field name'")], "name") + " FROM v_tags",
+    _faulty("link_tag", "link_id", [(4, "", "'missing field tagId'")], "tag_id::VARCHAR") + " FROM v_link_tags",
+    _faulty("export_job", "id", [(1, "", "'Unknown ExportStatus: lost' || id"), (0, " AND completed_at IS NOT NULL", "'Invalid instant: later'")],
+            "status || ' ' || coalesce(vault_path, '-') || ' ' || epoch(created_at)::BIGINT") + " FROM v_export_jobs",
+    _faulty("parse_job", "id", [(4, "", "'missing field url'")], "url") + " FROM v_links"])
+
+
+@query("src_json_entities", f"WITH e AS ({_ENTITIES}) SELECT entity, key, error, CASE WHEN error IS NULL THEN detail END AS detail FROM e")
+def src_json_entities(t):
+    """Records of six entities made from the tables, each with its kinds of fault."""
+    iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    at = lambda c: F.unix_seconds(F.col(c)).cast("string")
+    text, dash = F.col, lambda c: F.coalesce(c, F.lit("-"))
+    left = F.col("id") % 5
+    records = {
+        "link": (t.links, "id", F.struct(
+            "id", "url", F.lit("h").alias("urlHash"), F.when(left == 2, F.concat(F.lit("Lost"), "id")).otherwise(F.upper("status")).alias("status"),
+            F.when(left == 1, F.concat(F.lit("day "), "id")).otherwise(iso("saved_at")).alias("savedAt"), iso("parsed_at").alias("parsedAt")),
+            F.concat_ws(" ", "url", "status", at("savedAt"), dash(at("parsedAt")))),
+        "collection": (t.collections, "id", F.struct(
+            "id", "name", F.when(left != 4, F.col("slug")).alias("slug"), F.col("user_id").alias("userId"),
+            F.when(left == 1, F.col("name")).otherwise(iso(F.timestamp_seconds(F.col("user_id") * 86400))).alias("createdAt")),
+            F.concat_ws(" ", "name", "slug", at("createdAt"))),
+        "tag": (t.tags, "id", F.struct("id", F.when(left != 4, F.col("name")).alias("name")), text("name")),
+        "link_tag": (t.link_tags, "link_id", F.struct(
+            F.col("link_id").alias("linkId"), F.when(F.col("link_id") % 5 != 4, F.col("tag_id")).alias("tagId")), text("tagId").cast("string")),
+        "export_job": (t.export_jobs, "id", F.struct(
+            "id", F.col("link_id").alias("linkId"), F.when(left == 1, F.concat(F.lit("LOST"), "id")).otherwise(F.col("status")).alias("status"),
+            F.col("vault_path").alias("vaultPath"), iso("created_at").alias("createdAt"),
+            F.when(F.col("completed_at").isNotNull(), F.when(left == 0, "later").otherwise(iso("completed_at"))).alias("completedAt")),
+            F.concat_ws(" ", "status", dash(text("vaultPath")), at("createdAt"))),
+        "parse_job": (t.links, "id", F.struct(F.col("id").alias("linkId"), F.when(left != 4, F.col("url")).alias("url")), text("url"))}
+    out = []
+    for name, (rows, key, record, detail) in records.items():
+        whole = F.to_json(record)
+        texts = rows.select(whole.alias("whole"), F.col(key).alias("key"))
+        texts = texts.select(F.when(F.col("key") % 5 == 3, F.expr("substring(whole, 1, length(whole) - 1)")).otherwise(F.col("whole")).alias("value"))
+        good, bad = codecs.decode(texts, name)
+        own = "id" if "id" in good.columns else "linkId"
+        none = F.lit(None).cast("string")
+        out.append(good.select(F.lit(name).alias("entity"), F.col(own).alias("key"), none.alias("error"), detail.alias("detail")))
+        out.append(bad.select(F.lit(name).alias("entity"), F.regexp_extract("value", rf'"{own}":(\d+)', 1).cast("bigint").alias("key"),
+                              "error", none.alias("detail")))
+    return reduce(lambda a, b: a.unionByName(b), out)
