@@ -14,7 +14,7 @@ from linkloom.plans.relational import joined
 from linkloom.plans.scalars import AS_OF, q_stem
 from linkloom.plans.search import _RESYNC
 from linkloom.sources import codecs
-from linkloom.streaming import feed, firsts, flows, queues, stateful, windows
+from linkloom.streaming import feed, firsts, flows, queues, stateful, ttl, windows
 
 
 def stream_of(t, table):
@@ -34,6 +34,26 @@ def stream_ttl_dedup(t):
         "key", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.col("seq").alias("event_id"))
 
 
+@query("stream_ttl_processor", q_ttl("user_id || ' ' || url", 86400))
+def stream_ttl_processor(t):
+    """The state processor; two rows long after all others move the watermark past them."""
+    folder, provider = flows.work_folder(t.spark, "ttl-processor"), "spark.sql.streaming.stateStore.providerClass"
+    rows = t.captures.select(F.concat_ws(" ", "user_id", "url").alias("key"), "ts", "event_id")
+    last = rows.agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
+    before = t.spark.conf.get(provider)
+    ttl.use_state_store(t.spark)
+    try:
+        for days in (0, 3, 6):
+            end = last.select(F.lit("end").alias("key"), (F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"), "event_id")
+            (end if days else rows).write.mode("append").parquet(f"{folder}/in")
+            stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            out = flows.collect_batches(ttl.ttl_dedup_processor(stream, ["key"], cell_seconds=86400), folder)
+    finally:
+        t.spark.conf.set(provider, before)
+    return out.where("verdict = 'kept' AND key <> 'end'").select(
+        "key", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), F.col("seq").alias("event_id"))
+
+
 @query("stream_permanent_dedup", "SELECT user_id, url, min(event_id) AS event_id FROM v_captures GROUP BY 1, 2")
 def stream_permanent_dedup(t):
     store = firsts.FirstArrivals(t.spark, flows.work_folder(t.spark, "first"), ["user_id", "url"], "event_id", buckets=8)
