@@ -262,7 +262,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     nothing; null keys come after all others. Equal sets are always linked, repeated rows too. ``recall`` is that of a single
     pair; in a group every further link adds to it. An empty table gives an empty table; texts are read whole.
     """
-    return _grouped(keyed_once(docs, key, text).select("row", "key", F.col(quoted(text)).alias("text")), words, percent, recall)
+    return _grouped(keyed_once(docs, key, text, copy=True).select("row", "key", F.col(quoted(text)).alias("text")), words, percent, recall)
 
 
 def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFrame:
@@ -343,7 +343,7 @@ def _large_links(texts: DataFrame, link) -> DataFrame:
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
               recall: float = 0.99) -> DataFrame:
     """The input rows that are kept, with all their columns: one of each group."""
-    rows = numbered(docs)
+    rows = numbered(docs, copy=True)
     texts = read_from(rows, key, text).select("row", "key", F.col(quoted(text)).alias("text"))
     stay = _grouped(texts, words, percent, recall).where("kept").select("row")
     return rows.join(stay, "row", "left_semi").select("doc.*")

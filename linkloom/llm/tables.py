@@ -30,9 +30,9 @@ def keyed(docs: DataFrame, key: str, *texts: str) -> DataFrame:
                        *[F.coalesce(F.col(quoted(t)), F.lit("")).alias(t) for t in texts])
 
 
-def keyed_once(docs: DataFrame, key: str, *texts: str) -> DataFrame:
+def keyed_once(docs: DataFrame, key: str, *texts: str, copy: bool = False) -> DataFrame:
     """``keyed`` with rows numbered once: the same row has the same number in all scans."""
-    return read_from(numbered(docs, key, *texts), key, *texts)
+    return read_from(numbered(docs, key, *texts, copy=copy), key, *texts)
 
 
 def read_from(rows: DataFrame, key: str, *texts: str) -> DataFrame:
@@ -41,13 +41,13 @@ def read_from(rows: DataFrame, key: str, *texts: str) -> DataFrame:
     return rows.select("row", field(key).alias("key"), *[F.coalesce(field(t), F.lit("")).alias(t) for t in texts])
 
 
-def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+def numbered(docs: DataFrame, *columns: str, copy: bool = False) -> DataFrame:
     """The input rows as ``doc`` (these columns, or all) with a number ``row`` that is the same in all scans.
 
-    Rows of Parquet files are numbered by file and place in it, and nothing is copied. Other rows are stored once with their
-    number.
+    Rows of Parquet files are numbered by file and place in it, and nothing is copied. Other rows, and all with ``copy``, are
+    stored once with a number that follows their place: small numbers, which pack better where they travel much.
     """
-    number = _place(docs)
+    number = None if copy else _place(docs)
     doc = F.struct(*[F.col(quoted(c)) for c in dict.fromkeys(columns or docs.columns)]).alias("doc")
     rows = docs.select((F.monotonically_increasing_id() if number is None else number).alias("row"), doc)
     return stored(rows) if number is None else rows
