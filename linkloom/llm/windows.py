@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.llm import bytetext as B
 from linkloom.llm import framed
@@ -308,6 +309,6 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         F.coalesce(F.col(f"doc.{quoted(text)}"), F.lit("")).alias("text"))
     runs = later_windows(rows, window, minimiser, limit).groupBy("row").agg(
         F.collect_list(F.struct("start", "n")).alias("runs"))  # no more than a text has words
-    kind = dict(rows.dtypes)["doc"]
-    return rows.drop("key").join(stored(runs), "row", "left").mapInArrow(
-        _cutter(window), f"row long, doc {kind}, n_words long, n_removed long, kept_text string").drop("row")
+    made = T.StructType([rows.schema["row"], rows.schema["doc"], T.StructField("n_words", T.LongType()),
+                         T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return rows.drop("key").join(stored(runs), "row", "left").mapInArrow(_cutter(window), made).drop("row")

@@ -218,3 +218,18 @@ def test_full_tables(spark, library):
         ids = library.encode_ordinary(r["text"])
         want.add((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()))
     assert got == want
+
+
+def test_clashing_column_names(spark, tmp_path):
+    """Columns with dots, and with the names that operators use inside, pass through; from files and from memory."""
+    from linkloom.llm import naming, windows
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 7, 1, "a", 5), (2, text, 7, 2, "b", 5), (3, "other", 7, 3, "c", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __linkloom_row long, row long, `x.y` string, doc long")
+    frame.write.parquet(str(tmp_path / "t"))
+    for docs in (frame, spark.read.parquet(str(tmp_path / "t"))):
+        kept = naming.drop_copies(docs)
+        assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
+        cut = windows.drop_repeats(docs).select("doc.doc_id", "doc.`x.y`", "n_removed").collect()
+        assert sorted(tuple(r) for r in cut) == [(1, "a", 0), (2, "b", 30), (3, "c", 0)]
