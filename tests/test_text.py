@@ -136,3 +136,54 @@ def test_json_records(spark):
     good, _ = codecs.decode(spark.createDataFrame([(job,)], "value string"), "export_job")
     row = good.first()
     assert row.status == "done" and row.createdAt is not None and row.vaultPath is None
+
+
+def folded(text):
+    """The blocks of a text by a plain fold over its lines."""
+    import re
+
+    out, full, inside = [], {}, False
+    glue = {"paragraph": " ", "list": "\n", "quote": " ", "code": "\n"}
+
+    def flush(at, *kinds):
+        for kind in kinds:
+            if kind in full:
+                out.append((at, kind, None, glue[kind].join(full.pop(kind))))
+
+    for n, line in enumerate(text.replace("\r", "").split("\n")):
+        trimmed = line.strip()
+        if trimmed.startswith("```"):
+            flush(n, "paragraph", "list", "quote", "code")
+            inside = not inside
+        elif inside:
+            full.setdefault("code", []).append(line)
+        elif found := re.match(r"^(#{1,6})\s+(.*)$", line):
+            flush(n, "paragraph", "list", "quote")
+            out.append((n, "heading", len(found[1]), found[2]))
+        elif found := re.match(r"^[-*+]\s+(.*)$", line):
+            flush(n, "paragraph", "quote")
+            full.setdefault("list", []).append(found[1])
+        elif found := re.match(r"^>\s?(.*)$", line):
+            flush(n, "paragraph", "list")
+            full.setdefault("quote", []).append(found[1])
+        elif not trimmed:
+            flush(n, "paragraph", "list", "quote")
+        else:
+            full.setdefault("paragraph", []).append(trimmed)
+    flush(2**31 - 1, "paragraph", "list", "quote", "code")
+    return out
+
+
+def test_blocks_equal_a_fold_and_long_notes_take_linear_time(spark):
+    import random
+    import time
+
+    rnd = random.Random(7)
+    lines = ["# head", "### more", "#no", "one", " two ", "- item", "* other", "-no", "> said", ">also", "", "  ", "```", "```py", "last"]
+    texts = ["\n".join(rnd.choices(lines, k=rnd.randrange(1, 40))) for _ in range(300)]
+    texts.append("\n".join(rnd.choices(lines, k=200_000)))
+    start = time.time()
+    rows = pg.markdown_blocks(spark.createDataFrame(list(enumerate(texts)), "k int, md string"), "k", "md").collect()
+    assert time.time() - start < 60
+    want = sorted((k, *map(str, block)) for k, text in enumerate(texts) if text for block in folded(text))
+    assert sorted((r["k"], *map(str, (r["at"], r["kind"], r["level"], r["text"]))) for r in rows) == want
