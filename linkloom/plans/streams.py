@@ -14,12 +14,18 @@ from linkloom.plans.relational import joined
 from linkloom.plans.scalars import AS_OF, q_stem
 from linkloom.plans.search import _RESYNC
 from linkloom.sources import codecs
+from linkloom.sources.versions import Files
 from linkloom.streaming import feed, firsts, flows, queues, stateful, ttl, windows
 
 
 def stream_of(t, table):
-    """The files of one table as a stream."""
-    return t.spark.readStream.schema(t.base(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    """The files of one table as a stream, be it one file or a folder of them."""
+    base = t.base(table)
+    place = f"{t.folder}/{table}.parquet"
+    files = Files(t.spark, t.folder)
+    if files.fs.getFileStatus(files.path(place)).isDirectory():
+        return t.spark.readStream.schema(base.schema).parquet(place)
+    return t.spark.readStream.schema(base.schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
 
 
 def captures(t):

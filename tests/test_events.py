@@ -175,3 +175,19 @@ def test_filters_hold_their_keys():
     keys, others = rng.integers(-2**63, 2**63 - 1, (2, 20_000))
     bits = firsts.filter_of(keys)
     assert firsts.may_hold(bits, keys).all() and firsts.may_hold(bits, others).mean() < 0.01
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_capture_flow_reads_a_table_of_one_file_or_a_folder(spark, tmp_path, files):
+    from linkloom.plans import catalog
+    from linkloom.sources.views import Tables
+
+    rows = [(i, f"https://e.example/{i % 4}", f"<title>Page {i % 4}</title><article><p>text</p></article>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if files == 1:
+        pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    else:
+        pages.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog()["capture_flow"].run(Tables(spark, str(tmp_path))).collect()
+    assert sorted((r.seq, r.title, r.path) for r in got) == [
+        (i, f"Page {i % 4}", f"collections/unsorted/page-{i % 4}.md") for i in range(12)]
