@@ -187,3 +187,12 @@ def test_blocks_equal_a_fold_and_long_notes_take_linear_time(spark):
     assert time.time() - start < 60
     want = sorted((k, *map(str, block)) for k, text in enumerate(texts) if text for block in folded(text))
     assert sorted((r["k"], *map(str, (r["at"], r["kind"], r["level"], r["text"]))) for r in rows) == want
+
+
+@pytest.mark.parametrize("raw,title", [
+    ("Salt &amp; pepper &amp", "Salt & pepper &amp"), ("&am", "&am"), ("&#65;&#x42; &#67", "AB &#67"), ("a && b", "a && b")])
+def test_character_references_need_their_semicolon(raw, title):
+    page = parse_page(f"<title>{raw}</title><meta property='og:image' content='https://i.example/?a=1&copy=2'><article><p>{raw}</p></article>")
+    assert page["title_tag"] == title
+    assert page["markdown"].replace("\\", "") == title
+    assert page["og_image"] == "https://i.example/?a=1&copy=2"
