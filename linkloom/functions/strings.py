@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,13 +165,13 @@ def browser_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(BROWSER_SPACES))
 
 
-def parse_tag_list(text: Column) -> Column:
+def parse_tag_list(text: Column, trim: Callable[[Column], Column] = browser_trim) -> Column:
     """Comma list to trimmed, non-empty names."""
-    return clean_tag_array(F.split(text, ","))
+    return clean_tag_array(F.split(text, ","), trim)
 
 
-def clean_tag_array(tags: Column) -> Column:
-    return F.filter(F.transform(tags, browser_trim), lambda t: t != "")
+def clean_tag_array(tags: Column, trim: Callable[[Column], Column] = browser_trim) -> Column:
+    return F.filter(F.transform(tags, lambda t: trim(t)), lambda t: t != "")
 
 
 def default_tags(own: Column, defaults: Column) -> Column:

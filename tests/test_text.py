@@ -196,3 +196,28 @@ def test_character_references_need_their_semicolon(raw, title):
     assert page["title_tag"] == title
     assert page["markdown"].replace("\\", "") == title
     assert page["og_image"] == "https://i.example/?a=1&copy=2"
+
+
+@pytest.mark.parametrize("text,browser,spaces", [
+    (" one, \ntwo ,\t,three ", ["one", "two", "three"], ["one", "\ntwo", "\t", "three"]), (" , ", [], [])])
+def test_tag_lists_are_trimmed_as_asked(spark, text, browser, spaces):
+    assert value(spark, strings.parse_tag_list, text) == browser
+    assert value(spark, lambda c: strings.parse_tag_list(c, F.trim), text) == spaces
+
+
+def test_the_tag_query_keeps_line_breaks_like_its_sql(spark, tmp_path):
+    from compare import rows_of
+    import duckdb
+
+    from linkloom.plans import catalog
+    from linkloom.sources.views import Tables
+
+    rows = [(1, "one \nAll rights\t two", "en", "web", 22), (2, "", "en", "web", 0), (3, None, "en", "web", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = catalog()["parse_tags"].run(Tables(spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog()["parse_tags"].sql)
+    columns = [d[0] for d in want.description]
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(columns, want.fetchall())
