@@ -10,9 +10,12 @@ The answer is the same as that of the full self join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ SALTS = 32
 # most items of a link that its rows carry along
 WIDE_LINK = 64
 
+# items of pairs that are compared at once
+PAIR_CELLS = 1 << 21
+
 Weigh = Callable[[Column], Column]
 
 
@@ -89,12 +95,14 @@ def top_shared(items: DataFrame, targets: DataFrame, k: int, min_score: int = 1,
     if most["item"] > hot_degree:
         pairs = _split_pairs(items, degrees, targets, k, order, hot_degree, weigh)
     else:
-        pairs = _small_pairs(items, targets, weigh, wide_link, most["link"] > wide_link)
+        best = k if order.column == "rel_id" else None
+        pairs = _small_pairs(items, targets, weigh, wide_link, most["link"] > wide_link, best)
     return _finish(pairs, targets, k, min_score, order)
 
 
-def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link: int, any_wide: bool) -> DataFrame:
-    """All scored pairs where every item is on few links.
+def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link: int, any_wide: bool,
+                 best: int | None = None) -> DataFrame:
+    """All scored pairs where every item is on few links, or those that hold the ``best`` of every link by score and id.
 
     A link's items travel with each of its rows as an array, so a pair is scored where it meets and
     kept only at the first item it shares: pairs are neither counted nor shuffled. Links with too many
@@ -102,12 +110,15 @@ def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link:
     """
     bags = items.groupBy("link_id").agg(F.array_sort(F.collect_list("item")).alias("bag"))
     narrow = bags.where(F.size("bag") <= wide_link) if any_wide else bags
-    left = narrow.select("link_id", "bag", F.explode("bag").alias("item"))
-    right = narrow.join(targets.select(F.col("rel_id").alias("link_id")), "link_id", "left_semi").select(
-        F.col("link_id").alias("rel_id"), F.col("bag").alias("rel_bag"), F.explode("bag").alias("item"))
-    both = F.array_intersect("bag", "rel_bag")
-    met = left.join(right, "item").where((F.col("link_id") != F.col("rel_id")) & (both[0] == F.col("item")))
-    pairs = met.select("link_id", "rel_id", weigh(both).cast("bigint").alias("score"))
+    if best:
+        pairs = _best_of_items(narrow, targets, weigh, best)
+    else:
+        left = narrow.select("link_id", "bag", F.explode("bag").alias("item"))
+        right = narrow.join(targets.select(F.col("rel_id").alias("link_id")), "link_id", "left_semi").select(
+            F.col("link_id").alias("rel_id"), F.col("bag").alias("rel_bag"), F.explode("bag").alias("item"))
+        both = F.array_intersect("bag", "rel_bag")
+        met = left.join(right, "item").where((F.col("link_id") != F.col("rel_id")) & (both[0] == F.col("item")))
+        pairs = met.select("link_id", "rel_id", weigh(both).cast("bigint").alias("score"))
     if not any_wide:
         return pairs
     flagged = items.join(bags.where(F.size("bag") > wide_link).select("link_id", F.lit(True).alias("wide")), "link_id", "left")
@@ -118,6 +129,85 @@ def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link:
     return pairs.unionByName(_counted(counted, weigh))
 
 
+def _best_of_items(bags: DataFrame, targets: DataFrame, weigh: Weigh, best: int) -> DataFrame:
+    """Scored pairs of links (link_id, bag) that first meet in one item: each link's best there.
+
+    A pair carries its whole score where it first meets, so the best of a link are among the best of its items; the other
+    pairs are never rows. An item's links meet in one task, which holds some items at a time.
+    """
+    eligible = targets.select(F.col("rel_id").alias("link_id")).distinct().withColumn("eligible", F.lit(True))
+    weights = F.transform("bag", lambda x: weigh(F.array(x)).cast("bigint"))
+    rows = bags.where(F.col("link_id").isNotNull()).join(eligible, "link_id", "left").select(
+        F.explode("bag").alias("item"), F.col("link_id").cast("bigint").alias("link_id"), "bag", weights.alias("weights"),
+        F.coalesce("eligible", F.lit(False)).alias("eligible"))
+    return rows.repartition("item").sortWithinPartitions("item", "link_id").mapInArrow(
+        _meeting(best), "link_id bigint, rel_id bigint, score bigint")
+
+
+def _meeting(best: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last item, which may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            item = batch.column("item").to_numpy()
+            cut = int(np.searchsorted(item, item[-1]))
+            if cut or (held and held[-1].column("item")[-1].as_py() != item[0]):
+                yield from _best_pairs([*held, batch.slice(0, cut)], best)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from _best_pairs(held, best)
+    return meet
+
+
+def _best_pairs(batches: list[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
+    """Best pairs of whole items; the rows come by item and link."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    if not rows.num_rows:
+        return
+    item, link, eligible = (rows.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("item", "link_id", "eligible"))
+    bag, weight = (rows.column(c).chunk(0) for c in ("bag", "weights"))
+    sizes = pc.list_value_length(bag).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, codes = np.unique(bag.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    width = int(sizes.max())
+    at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    bags = np.full((len(sizes), width), -1, np.int32)
+    bags[at] = codes
+    weights = np.zeros((len(sizes), width), np.int64)
+    weights[at] = weight.flatten().to_numpy(zero_copy_only=False)
+    weights[:, 1:][bags[:, 1:] == bags[:, :-1]] = 0  # an item that a link has twice counts once
+    own = np.searchsorted(values, item).astype(np.int32)
+    # of each row, the places of its item's eligible rows among all eligible ones
+    others = np.flatnonzero(eligible)
+    first = np.searchsorted(others, np.searchsorted(item, item))
+    count = np.searchsorted(others, np.searchsorted(item, item, "right")) - first
+    cost = np.cumsum(count) * width
+    lo = 0
+    while lo < len(item):
+        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + PAIR_CELLS)))
+        n = count[lo:hi]
+        left = np.repeat(np.arange(lo, hi), n)
+        right = others[np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(len(left))]
+        apart = link[left] != link[right]
+        left, right = left[apart], right[apart]
+        mine, theirs = bags[left], bags[right]
+        shared = np.zeros(mine.shape, bool)
+        for place in range(width):
+            column = theirs[:, place:place + 1]
+            shared |= (mine == column) & (column >= 0)
+        meets = mine[np.arange(len(left)), shared.argmax(axis=1)] == own[left]
+        left, right = left[meets], right[meets]
+        score = (weights[left] * shared[meets]).sum(axis=1)
+        # the rows stand by link, so a stable order by score leaves ties by id
+        order = np.lexsort((-score, left))
+        left, right, score = left[order], right[order], score[order]
+        top = np.arange(len(left)) - np.searchsorted(left, left) < best
+        yield pa.RecordBatch.from_arrays([pa.array(link[left[top]]), pa.array(link[right[top]]), pa.array(score[top])],
+                                         ["link_id", "rel_id", "score"])
+        lo = hi
+
+
 def _counted(pairs: DataFrame, weigh: Weigh, *extra: Column) -> DataFrame:
     score = F.sum(weigh(F.array("item")))
     for part in extra:
@@ -214,9 +304,9 @@ def related_top(links: DataFrame, link_tags: DataFrame, k: int = 5, scope_user:
         items = items.join(private, ["item", "user_id"]).select("link_id", F.col("own").cast("bigint").alias("item"))
     targets = _targets(links)
     top = top_shared(items, targets, k, hot_degree=hot_degree)
-    return top.join(targets, "rel_id").select(
-        "link_id", "rel_id", F.col("score").alias("shared_tags"), "pos", "title",
-        wikilink_slug(F.col("title")).alias("slug"))
+    # slugs are made once for each target, before it meets the links that it is related to
+    named = targets.withColumn("slug", wikilink_slug(F.col("title")))
+    return top.join(named, "rel_id").select("link_id", "rel_id", F.col("score").alias("shared_tags"), "pos", "title", "slug")
 
 
 def related_weighted(links: DataFrame, link_tags: DataFrame, collections: DataFrame, k: int = 8,
@@ -231,9 +321,10 @@ def related_weighted(links: DataFrame, link_tags: DataFrame, collections: DataFr
     targets = _targets(links)
     top = top_shared(tags.unionByName(filed), targets, k, hot_degree=hot_degree, weigh=tag_and_collection_weight)
     slugs = collections.select(F.col("id").alias("collection_id"), F.col("slug").alias("collection"))
-    about = links.select(F.col("id").alias("rel_id"), "title", "collection_id").join(slugs, "collection_id", "left")
+    about = links.select(F.col("id").alias("rel_id"), "title", "collection_id", wikilink_slug(F.col("title")).alias("slug")).join(
+        slugs, "collection_id", "left")
     return top.join(about, "rel_id").select(
-        "link_id", "rel_id", "pos", "score", "title", wikilink_slug(F.col("title")).alias("slug"),
+        "link_id", "rel_id", "pos", "score", "title", "slug",
         F.coalesce("collection", F.lit("unsorted")).alias("collection"),
         F.floor(F.col("score") / 3).cast("bigint").alias("shared_tags"), (F.col("score") % 3 == 1).alias("same_collection"))
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.operators import related
 
@@ -100,3 +101,22 @@ def test_scope_user(spark):
     edges = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "link_id bigint, tag_id bigint")
     pairs = {(r.link_id, r.rel_id) for r in related.related_top(links, edges, scope_user=True).collect()}
     assert pairs == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_only_the_best_of_an_item_leave_it(spark, k):
+    rnd = random.Random(k)
+    edges = sorted({(link, rnd.randrange(12)) for link in range(60) for _ in range(rnd.randrange(1, 5))})
+    items = spark.createDataFrame(edges, "link_id long, item long")
+    targets = [link for link in range(60) if link % 3]
+    rows = spark.createDataFrame([(link,) for link in targets], "rel_id long")
+    bags = items.groupBy("link_id").agg(F.array_sort(F.collect_list("item")).alias("bag"))
+    near = related._best_of_items(bags, rows, related.plain_weight, k)
+    assert near.groupBy("link_id").count().agg(F.max("count")).first()[0] <= 4 * k  # no more than k for each of its items
+    of = {link: {i for own, i in edges if own == link} for link in range(60)}
+    want = set()
+    for link in of:
+        met = sorted((-len(of[link] & of[other]), other) for other in targets if other != link and of[link] & of[other])
+        want |= {(link, other, -less, pos + 1) for pos, (less, other) in enumerate(met[:k])}
+    got = related.top_shared(items, rows, k)
+    assert {(r.link_id, r.rel_id, r.score, r.pos) for r in got.collect()} == want
