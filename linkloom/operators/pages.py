@@ -20,6 +20,9 @@ PARTS = T.StructType(
     + [T.StructField("removed", T.IntegerType()), T.StructField("images", T.ArrayType(T.StringType())),
        T.StructField("languages", T.ArrayType(T.StringType()))])
 
+# characters of HTML whose parts leave Python at once
+PARSED_CHARS = 1 << 20
+
 
 @F.pandas_udf(PARTS)
 def html_parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -30,14 +33,19 @@ def html_parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     sys.setrecursionlimit(20000)
     blank = {name: None for name in PARTS.fieldNames()}
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for html in batch:
             try:
                 # one bad page must not fail the job: it becomes a failed row
                 rows.append({**blank, **parse_page(html)})
             except Exception as exc:  # noqa: BLE001
                 rows.append({**blank, "error": f"{type(exc).__name__}: {exc}"})
-        yield pd.DataFrame(rows, columns=PARTS.fieldNames())
+            size += len(html or "")
+            if size >= PARSED_CHARS:
+                yield pd.DataFrame(rows, columns=PARTS.fieldNames())
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=PARTS.fieldNames())
 
 
 # a filter on what the function gives must not run it a second time

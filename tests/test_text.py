@@ -221,3 +221,17 @@ def test_the_tag_query_keeps_line_breaks_like_its_sql(spark, tmp_path):
     want = con.execute(catalog()["parse_tags"].sql)
     columns = [d[0] for d in want.description]
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(columns, want.fetchall())
+
+
+def test_a_parsed_page_leaves_no_cycles_behind():
+    import gc
+
+    html = "<article>" + "<div><p>text <b>bold</b></p></div>" * 200 + "</article>"
+    parse_page(html)
+    gc.collect()
+    gc.disable()
+    try:
+        parse_page(html)
+        assert gc.collect() < 100  # a tree with ways up left all its nodes to the collector
+    finally:
+        gc.enable()
