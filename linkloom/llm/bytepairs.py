@@ -29,10 +29,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from linkloom.llm import bytetext as B
 from linkloom.llm import framed
 
-CHUNK_BYTES = 16 << 20  # texts whose words share a list; one longer text is a chunk by itself
+CHUNK_BYTES = 12 << 20  # texts whose words share a list; one longer text is a chunk by itself
 PIECE_BYTES = 1 << 20  # text in which pre-tokens are found together
 TASK_BYTES = 64 << 20  # text for each task of a shuffle
-SLICE_IDS = 1 << 20  # ids written or decoded together
+SLICE_IDS = 1 << 18  # ids written or decoded together
 LETTER, NUMBER, OTHER, SPACE = range(4)
 # The letters after an apostrophe that are a pre-token with it.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
