@@ -7,14 +7,20 @@ many tasks. Written out, such a page is a folder of ordered text parts.
 
 from __future__ import annotations
 
+import posixpath
+import re
+from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import notes, strings
 from linkloom.operators import related as rl
-from linkloom.operators.notefiles import NoteStore
+from linkloom.operators.notefiles import NoteStore, opened
 from linkloom.operators.relational import with_collection, with_tags
 from linkloom.sources.schemas import MANIFEST
 
@@ -253,7 +259,53 @@ def shared_tag_files(tags: DataFrame) -> DataFrame:
     return tags.groupBy(strings.wikilink_slug(F.col("name")).alias("slug")).agg(F.count("*").alias("tags")).where("tags > 1")
 
 
+# characters that Spark writes as %XX in the name of a folder
+_ESCAPED = re.compile(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+
+
+def page_folder(page: str | None) -> str:
+    name = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", page) if page else "__HIVE_DEFAULT_PARTITION__"
+    return f"page={name}"
+
+
+def _page_writer(folder: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        part = f"part-{TaskContext.get().partitionId():05d}"
+        now, out, aside, written = None, None, None, 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                system.move(aside, posixpath.join(base, page_folder(now[0]), f"{part}.txt"))
+
+        for batch in batches:
+            for page, line in zip(batch.column("page").to_pylist(), batch.column("line").to_pylist()):
+                if now != (page,):
+                    close()
+                    now, written = (page,), written + 1
+                    place = posixpath.join(base, page_folder(page))
+                    system.create_dir(place, recursive=True)
+                    aside = posixpath.join(place, f"_{part}.{uuid4().hex}")
+                    out = system.open_output_stream(aside)
+                out.write(f"{line or ''}\n".encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["pages"])
+    return write
+
+
 def write_lines(lines: DataFrame, folder: str) -> None:
-    """Write pages of lines as text: one folder per page, its parts in order."""
+    """Write pages of lines as text: one folder per page, its parts in order.
+
+    Pages may be very many, so tasks put their files in place themselves; Spark's writer would move each folder in the driver.
+    It only writes where Arrow does not know the file system. The folder is the caller's to publish when all is written.
+    """
     ordered = lines.repartitionByRange(*LINE_KEYS).sortWithinPartitions(*LINE_KEYS)
-    ordered.select("page", F.col("line").alias("value")).write.mode("overwrite").partitionBy("page").text(folder)
+    try:
+        system, base = opened(folder)
+        system.create_dir(base, recursive=True)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        ordered.select("page", F.col("line").alias("value")).write.mode("overwrite").partitionBy("page").text(folder)
+        return
+    system.delete_dir_contents(base)
+    ordered.select("page", "line").mapInArrow(_page_writer(folder), "pages long").agg(F.sum("pages")).collect()

@@ -82,3 +82,15 @@ def test_only_written_documents_are_marked(spark):
     links = spark.createDataFrame([(1, None), (2, None)], "id bigint, indexed_at timestamp")
     out = search.mark_indexed(links, spark.createDataFrame([(2,)], "id bigint"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     assert {r.id: r.indexed_at is not None for r in out.collect()} == {1: False, 2: True}
+
+
+def test_tasks_put_page_files_in_place_under_spark_s_names(spark, tmp_path):
+    pages = ["by-tag/a b.md", "by-tag/100%.md", "ä=ö?#.md", "x:y'[z].md"]
+    rows = [(p, 0, "", 0, f"{n:03d}", n, f"{p} line {n}") for p in pages for n in range(20)]
+    lines = spark.createDataFrame(rows, "page string, part int, key1 string, sub int, key2 string, link_id bigint, line string")
+    folder = str(tmp_path / "out")
+    vault.write_lines(lines, folder)
+    got = spark.read.option("basePath", folder).text(folder).select("page", "value").collect()
+    assert sorted(map(tuple, got)) == sorted((r[0], r[6]) for r in rows)
+    names = [f.name for f in (tmp_path / "out").rglob("*") if f.is_file()]
+    assert names and all(n.endswith(".txt") and n.count("-") == 1 for n in names)  # no job's or attempt's number: a repeated task writes the same
