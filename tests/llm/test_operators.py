@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,50 @@ def test_windows(docs, odd, limit):
     assert windows.drop_repeats(odd.limit(0)).count() == 0
 
 
+def common_passage(words):
+    """Texts that share a passage, as the batches of two tasks."""
+    passage = " ".join(f"common{i}" for i in range(words))
+    texts = [" ".join([f"a{i} " * 30, passage, f"b{i} " * 30]) for i in range(600)]
+    whole = pa.RecordBatch.from_pydict({"row": list(range(600)), "key": list(range(600)), "text": texts})
+    return passage, texts, [whole.slice(0, 300), whole.slice(300)]
+
+
+def test_windows_of_a_common_passage_travel_in_blocks():
+    passage, texts, tasks = common_passage(60)
+    shape = windows.Shape(20, 3)
+    hot = np.unique(np.concatenate([shape.seen(data, bounds)[0] for _, data, bounds in bytetext.chunks(iter(tasks[:1]))]))
+    packed = [b for task in tasks for b in windows._packer(shape, 4, hot)(iter([task]))]
+    assert sum(map(len, packed)) <= 2 * 12  # was one for each window, 600 times a hundred
+    blocks = sorted((n, v) for b in packed for n, v in zip(*[b.column(c).to_pylist() for c in ("bucket", "block")]))
+    given = pa.RecordBatch.from_pydict({"bucket": [n for n, _ in blocks], "block": [v for _, v in blocks]})
+    gone = Counter()
+    for batch in windows._finder(20, 4)(iter([given])):
+        for row, start, n in zip(*[c.to_pylist() for c in batch.columns]):
+            gone.update((row, start + i) for i in range(n))
+    seen, want = set(), set()
+    for row, text in enumerate(texts):
+        words = text.split()
+        for i in range(len(words) - 19):
+            want |= {(row, i)} if tuple(words[i:i + 20]) in seen else set()
+            seen.add(tuple(words[i:i + 20]))
+    assert set(gone) == want and len(want) >= 599 * 41
+
+
+def test_strings_of_a_common_passage_travel_in_blocks():
+    passage, texts, tasks = common_passage(100)
+    shape = suffixes.Shape(400, 16)
+    hot = np.unique(np.concatenate([shape.seen(data, bounds)[0] for _, data, bounds in bytetext.chunks(iter(tasks[:1]))]))
+    packed = [b for task in tasks for b in suffixes._sorter(shape, [b"b", b"m"], hot)(iter([task]))]
+    assert sum(map(len, packed)) <= 2 * 12
+    blocks = sorted((n, v) for b in packed for n, v in zip(*[b.column(c).to_pylist() for c in ("range", "block")]))
+    given = pa.RecordBatch.from_pydict({"range": [n for n, _ in blocks], "block": [v for _, v in blocks]})
+    gone = {(row, start + i) for batch in suffixes._merger(shape, 3)(iter([given]))
+            for row, start, n in zip(*[c.to_pylist() for c in batch.columns]) for i in range(n)}
+    counts = Counter(t[i:i + 400] for t in texts for i in range(len(t) - 399))
+    want = {(row, i) for row, t in enumerate(texts) for i in range(len(t) - 399) if counts[t[i:i + 400]] > 1}
+    assert gone == want and len(want) >= 600 * (len(passage) - 399)
+
+
 # --- repeated byte strings
 
 def brute_strings(frame, size):
