@@ -15,8 +15,11 @@ whole levels that no query needs are not opened. Positions answer phrases; a sor
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ FIELDS = tuple(search.BOOSTS)
 BLOCK_KIND = ("field string, term string, user_id bigint, salt int, block int, n bigint, top double, "
               "entries array<struct<id:bigint,tf:bigint,dl:int,positions:array<int>>>, segment string, bucket int, level int")
 KEYS = ["segment", "bucket", "level", "field", "term", "user_id", "salt", "block"]
+GROUP = ["bucket", "level", "salt", "field", "term", "user_id"]
+TASK_TOKENS = 1_000_000  # tokens whose postings one task sorts, about
 
 
 class SearchIndex:
@@ -99,19 +104,21 @@ class SearchIndex:
         name = f"s{uuid4().hex}"
         sizes = [F.size(search.tokens(F.col(f))).alias(f"dl_{f}") for f in ("title", "content")]
         sizes.append(F.size(F.coalesce("tags", F.array().cast("array<string>"))).alias("dl_tags"))
-        docs.select("*", *sizes, self._part().alias("part")).repartition("part").write.partitionBy("part").parquet(
+        docs.select("*", *sizes, self._part().alias("part")).hint("rebalance", "part").write.partitionBy("part").parquet(
             f"{self.folder}/docs/segment={name}")
         state["schema"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join(
             f"dl_{f} int" for f in FIELDS) + ", segment string, part int"
         new = self._docs(state | {"segments": {name: 0}})
-        added, state["stats"] = self._moved(new, state["stats"], 1)
+        before = state["stats"]
+        added, state["stats"] = self._moved(new, before, 1)
+        tokens = sum(state["stats"][f][1] - before[f][1] for f in FIELDS)
         touched = new.select("id")
         if gone is not None:
             touched = touched.unionByName(gone.select(F.col("id").cast("long").alias("id"))).distinct()
         if state["segments"]:
             self._bury(touched, state)
         if added:
-            self._write_segment(search.postings(new.select("id", "user_id", "title", "content", "tags")), name, added, state)
+            self._write_segment(search.postings(new.select("id", "user_id", "title", "content", "tags")), name, added, tokens, state)
             state["segments"][name] = {"docs": added, "avgdl": self._avgdl(state)}
         if epoch is not None:
             state["epoch"] = epoch
@@ -141,23 +148,23 @@ class SearchIndex:
             state["dead"][name] = hit
             _, state["stats"] = self._moved(dead, state["stats"], -1)
 
-    def _write_segment(self, postings: DataFrame, name: str, n_docs: int, state: dict) -> None:
+    def _write_segment(self, postings: DataFrame, name: str, n_docs: int, tokens: int, state: dict) -> None:
         """Blocks of a segment, and its dictionary."""
         mean = F.create_map(*[x for f, a in self._avgdl(state).items() for x in (F.lit(f), F.lit(a))])[F.col("field")]
         share = F.col("tf") / (F.col("tf") + _norm(F.col("field"), F.col("dl"), mean))
         level = F.least(F.lit(self.levels - 1), F.floor((1 - share) * self.levels)).cast("int")
         salts = max(1, -(-n_docs // self.task_docs))
-        rows = postings.select("field", "term", "id", "user_id", "tf", "dl", "positions", share.alias("share"), level.alias("level"),
-                               search._bucket(self.buckets).alias("bucket"), F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
-        # one shuffle: what follows is grouped inside (bucket, level, salt)
-        rows = rows.repartition("bucket", "level", "salt")
-        group = ["bucket", "level", "salt", "field", "term", "user_id"]
-        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("share"), "id")) - 1
-        blocks = rows.withColumn("block", F.floor(place / self.block).cast("int")).groupBy(*group, "block").agg(
-            F.count(F.lit(1)).alias("n"), F.max("share").alias("top"),
-            F.collect_list(F.struct("id", "tf", "dl", F.col("positions").cast("array<int>").alias("positions"))).alias("entries"))
-        blocks.sortWithinPartitions("bucket", "level", "field", "term", "user_id").write.partitionBy("bucket", "level").parquet(
-            f"{self.folder}/postings/segment={name}")
+        kinds = {c: F.col(c).cast("bigint").alias(c) for c in ("id", "user_id", "tf")}
+        rows = postings.select("field", "term", *kinds.values(), "dl", F.col("positions").cast("array<int>").alias("positions"))
+        place = [search._bucket(self.buckets).alias("bucket"), level.alias("level"), F.pmod(F.hash("id"), F.lit(salts)).cast("int").alias("salt")]
+        # one shuffle, into as many tasks as the tokens need: all of a block's postings have the same group
+        tasks = max(1, -(-tokens // TASK_TOKENS))
+        spread = F.pmod(F.xxhash64("field", "term", "user_id"), F.lit(-(-tasks // self.buckets)))
+        rows = rows.repartition(tasks, *place, spread).select("*", share.alias("share"), *place)
+        # groups are told apart by a hash first, so that the sort seldom compares strings
+        rows = rows.withColumn("h", F.xxhash64(*GROUP)).sortWithinPartitions("h", *GROUP, F.desc("share"), "id").drop("h")
+        blocks = rows.mapInArrow(_blocked(self.block), BLOCK_KIND.replace(", segment string", ""))
+        blocks.write.partitionBy("bucket", "level").parquet(f"{self.folder}/postings/segment={name}")
         self._blocks([name]).select("field", "term").distinct().repartitionByRange("field", "term").sortWithinPartitions(
             "field", "term").write.parquet(f"{self.folder}/terms/segment={name}")
 
@@ -180,12 +187,13 @@ class SearchIndex:
         new = f"s{uuid4().hex}"
         some = state | {"segments": {n: state["segments"][n] for n in names}}
         docs = self._alive(self._docs(some), some).drop("segment")
-        docs.repartition("part").write.partitionBy("part").parquet(f"{self.folder}/docs/segment={new}")
-        count = self._docs(state | {"segments": {new: 0}}).count()
+        docs.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.folder}/docs/segment={new}")
+        count, sizes = self._moved(self._docs(state | {"segments": {new: 0}}), {f: [0, 0] for f in FIELDS}, 1)
         entries = self._blocks(names).select("segment", "field", "term", "user_id", F.explode("entries").alias("e")).select(
             "segment", "field", "term", "user_id", "e.*")
         if count:
-            self._write_segment(self._alive(entries, some).drop("segment"), new, count, state)
+            tokens = sum(total for _, total in sizes.values())
+            self._write_segment(self._alive(entries, some).drop("segment"), new, count, tokens, state)
         for name in names:
             del state["segments"][name]
         if count:
@@ -325,5 +333,47 @@ class SearchIndex:
         return top.join(titles, ["segment", "id"]).select("id", "user_id", "title", "n_words", "pos")
 
 
+def _blocked(size: int):
+    """Blocks of postings that come by group, largest share first."""
+    def starts(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for name in GROUP:
+            codes = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    def made(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        lengths = np.diff(np.append(first, rows.num_rows))
+        number = -(-lengths // size)
+        block = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        at = np.repeat(first, number) + block * size
+        bounds = np.append(at, rows.num_rows)
+        fields = ["id", "tf", "dl", "positions"]
+        struct = pa.StructArray.from_arrays([rows.column(c).chunk(0) for c in fields], fields)
+        heads = rows.take(pa.array(at))
+        columns = {c: heads.column(c).combine_chunks() for c in GROUP} | {
+            "block": pa.array(block.astype(np.int32)), "n": pa.array(np.diff(bounds)), "top": heads.column("share").combine_chunks(),
+            "entries": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), struct)}
+        names = ["field", "term", "user_id", "salt", "block", "n", "top", "entries", "bucket", "level"]
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group, which may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held else rows
+            first = starts(rows)
+            if first[-1]:
+                yield made(rows.slice(0, first[-1]), first[:-1])
+            held = rows.slice(first[-1])
+        if held:
+            yield made(held, np.zeros(1, np.int64))
+    return blocked
+
+
 def _norm(field: Column, dl: Column, mean: Column) -> Column:
     return F.when(field == "tags", F.lit(search.K1)).otherwise(search.K1 * (1 - search.B + search.B * dl / mean))
