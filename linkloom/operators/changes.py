@@ -157,7 +157,11 @@ def collection_write(collections: DataFrame, requests: DataFrame) -> DataFrame:
         "folded", same_name(F.col("slug")))
     taken = collections.groupBy("user_id", same_name(F.col("slug")).alias("folded")).agg(F.min("id").alias("holder"))
     owners = collections.select(F.col("id").alias("collection_id"), F.col("user_id").alias("owner"))
-    rows = judged.join(taken, ["user_id", "folded"], "left").join(owners, "collection_id", "left")
+    held = judged.join(taken, ["user_id", "folded"], "left")
+    # inserts name no collection: they look for no owner, so they do not all meet in the task of the null key
+    insert = F.col("collection_id").isNull()
+    rows = held.where(~insert).join(owners, "collection_id", "left").unionByName(
+        held.where(insert).withColumn("owner", F.lit(None).cast(owners.schema["owner"].dataType)))
     error = (
         F.when(F.col("name").isNull(), "Missing 'name' field")
         .when(F.col("name") == "", "Collection name cannot be empty")
