@@ -222,10 +222,14 @@ def src_json_entities(t):
         whole = F.to_json(record)
         texts = rows.select(whole.alias("whole"), F.col(key).alias("key"))
         texts = texts.select(F.when(F.col("key") % 5 == 3, F.expr("substring(whole, 1, length(whole) - 1)")).otherwise(F.col("whole")).alias("value"))
-        good, bad = codecs.decode(texts, name)
-        own = "id" if "id" in good.columns else "linkId"
-        none = F.lit(None).cast("string")
-        out.append(good.select(F.lit(name).alias("entity"), F.col(own).alias("key"), none.alias("error"), detail.alias("detail")))
-        out.append(bad.select(F.lit(name).alias("entity"), F.regexp_extract("value", rf'"{own}":(\d+)', 1).cast("bigint").alias("key"),
-                              "error", none.alias("detail")))
+        # judged once: valid and refused records come from the same scan
+        judged = codecs.judge(texts, name)
+        fields = judged.schema["r"].dataType.names
+        own = "id" if "id" in fields else "linkId"
+        good, none = F.col("error").isNull(), F.lit(None).cast("string")
+        named = F.regexp_extract("value", rf'"{own}":(\d+)', 1).cast("bigint")
+        rows = judged.select("value", "error", "r.*").select(
+            F.lit(name).alias("entity"), F.when(good, F.col(own)).otherwise(named).alias("key"), "error",
+            F.when(good, detail).otherwise(none).alias("detail"))
+        out.append(rows)
     return reduce(lambda a, b: a.unionByName(b), out)

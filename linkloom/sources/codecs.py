@@ -41,6 +41,13 @@ def parse_instant(text: Column) -> Column:
 
 def decode(texts: DataFrame, entity: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, bad): typed rows of valid JSON texts, and the texts with the reason they were refused."""
+    judged = judge(texts, entity, column)
+    good = judged.where(F.col("error").isNull()).select("r.*")
+    return good, judged.where(F.col("error").isNotNull()).select(column, "error")
+
+
+def judge(texts: DataFrame, entity: str, column: str = "value") -> DataFrame:
+    """Each JSON text with its typed fields ``r`` and the reason why it is refused (``error``, null for a valid one)."""
     fields = _fields(entity)
     schema = T.StructType([T.StructField(name, _TYPES.get(kind, T.StringType())) for name, kind, _ in fields]
                           + [T.StructField("_corrupt", T.StringType())])
@@ -59,9 +66,8 @@ def decode(texts: DataFrame, entity: str, column: str = "value") -> tuple[DataFr
         if not optional:
             reasons.append(F.when(raw.isNull(), f"missing field {name}"))
         values[name] = value
-    judged = rows.withColumn("_error", F.coalesce(*reasons))
-    good = judged.where(F.col("_error").isNull()).select(*[v.alias(n) for n, v in values.items()])
-    return good, judged.where(F.col("_error").isNotNull()).select(column, F.col("_error").alias("error"))
+    typed = F.struct(*[v.alias(n) for n, v in values.items()])
+    return rows.select(column, typed.alias("r"), F.coalesce(*reasons).alias("error"))
 
 
 def encode(rows: DataFrame, names: dict[str, str]) -> DataFrame:
