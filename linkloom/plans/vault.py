@@ -235,9 +235,14 @@ def tag_page(t):
 def read_lines(t, folder):
     """Lines of written pages with their number: parts in the order of their names, lines as they stand."""
     rows = t.spark.read.option("basePath", folder).text(folder).select(
-        "page", F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
-    n = F.row_number().over(Window.partitionBy("page").orderBy("file", "at"))
-    return rows.select("page", n.alias("n"), "line")
+        "page", F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.monotonically_increasing_id().alias("at"))
+    # numbers run on from file to file, so no task sees more of a page than a file
+    files = rows.groupBy("page", "path", "file").agg(F.count(F.lit(1)).alias("lines"))
+    before = files.select("path", (F.sum("lines").over(Window.partitionBy("page").orderBy("file")) - F.col("lines")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("at"))
+    return rows.withColumn("place", place).join(before, "path").select(
+        "page", (F.col("place") + F.col("before")).cast("int").alias("n"), "line")
 
 
 @query("sink_index", _INDEX + "SELECT '_index.md' AS page, row_number() OVER (ORDER BY part, key1, sub, key2, link_id) AS n, line FROM lines")
