@@ -96,7 +96,11 @@ def top_shared(items: DataFrame, targets: DataFrame, k: int, min_score: int = 1,
         pairs = _split_pairs(items, degrees, targets, k, order, hot_degree, weigh)
     else:
         best = k if order.column == "rel_id" else None
-        pairs = _small_pairs(items, targets, weigh, wide_link, most["link"] > wide_link, best)
+        any_wide = most["link"] > wide_link
+        pairs = _small_pairs(items, targets, weigh, wide_link, any_wide, best)
+        if best and not any_wide:
+            return pairs.where(F.col("score") >= min_score).select("link_id", "rel_id", "score", "pos")
+        pairs = pairs.drop("pos")
     return _finish(pairs, targets, k, min_score, order)
 
 
@@ -121,6 +125,7 @@ def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link:
         pairs = met.select("link_id", "rel_id", weigh(both).cast("bigint").alias("score"))
     if not any_wide:
         return pairs
+    pairs = pairs.drop("pos")
     flagged = items.join(bags.where(F.size("bag") > wide_link).select("link_id", F.lit(True).alias("wide")), "link_id", "left")
     wide, rest = flagged.where("wide").select("link_id", "item"), flagged.where("wide IS NULL").select("link_id", "item")
     eligible = targets.select(F.col("rel_id").alias("link_id"))
@@ -130,84 +135,142 @@ def _small_pairs(items: DataFrame, targets: DataFrame, weigh: Weigh, wide_link:
 
 
 def _best_of_items(bags: DataFrame, targets: DataFrame, weigh: Weigh, best: int) -> DataFrame:
-    """Scored pairs of links (link_id, bag) that first meet in one item: each link's best there.
+    """Each link's best pairs (link_id, rel_id, score, pos) among links (link_id, bag).
 
-    A pair carries its whole score where it first meets, so the best of a link are among the best of its items; the other
-    pairs are never rows. An item's links meet in one task, which holds some items at a time.
+    A pair carries its whole score in the item where it first meets, so the best of a link are among the best of its items; the
+    other pairs are never rows. An item's links meet in one task, which holds some items at a time. What a link has from
+    an item travels as one row.
     """
     eligible = targets.select(F.col("rel_id").alias("link_id")).distinct().withColumn("eligible", F.lit(True))
     weights = F.transform("bag", lambda x: weigh(F.array(x)).cast("bigint"))
     rows = bags.where(F.col("link_id").isNotNull()).join(eligible, "link_id", "left").select(
         F.explode("bag").alias("item"), F.col("link_id").cast("bigint").alias("link_id"), "bag", weights.alias("weights"),
         F.coalesce("eligible", F.lit(False)).alias("eligible"))
-    return rows.repartition("item").sortWithinPartitions("item", "link_id").mapInArrow(
-        _meeting(best), "link_id bigint, rel_id bigint, score bigint")
+    found = rows.repartition("item").sortWithinPartitions("item", "link_id").mapInArrow(
+        _groups_of("item", _best_pairs, best), "link_id bigint, rel_id array<bigint>, lost array<bigint>")
+    return found.repartition("link_id").sortWithinPartitions("link_id").mapInArrow(
+        _groups_of("link_id", _ranked, best), "link_id bigint, rel_id bigint, score bigint, pos int")
 
 
-def _meeting(best: int):
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last item, which may go on in the next batch
+def _groups_of(key: str, solve: Callable[[list[pa.RecordBatch], int], Iterator[pa.RecordBatch]], best: int):
+    """Rows sorted by a key, handed on with all rows of a key together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
         for batch in batches:
             if not len(batch):
                 continue
-            item = batch.column("item").to_numpy()
-            cut = int(np.searchsorted(item, item[-1]))
-            if cut or (held and held[-1].column("item")[-1].as_py() != item[0]):
-                yield from _best_pairs([*held, batch.slice(0, cut)], best)
+            keys = batch.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut or (held and held[-1].column(key)[-1].as_py() != keys[0]):
+                yield from solve([*held, batch.slice(0, cut)], best)
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from _best_pairs(held, best)
-    return meet
+            yield from solve(held, best)
+    return run
+
+
+def _ranked(batches: list[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
+    """The best pairs of whole links, from their best of each item."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    if not rows.num_rows:
+        return
+    link, rels, lost = (rows.column(c).chunk(0) for c in ("link_id", "rel_id", "lost"))
+    link = np.repeat(link.to_numpy(), pc.list_value_length(rels).to_numpy())
+    rels, lost = (x.flatten().to_numpy() for x in (rels, lost))
+    order = np.lexsort((rels, lost, link))
+    link, rels, lost = link[order], rels[order], lost[order]
+    pos = np.arange(len(link)) - np.searchsorted(link, link) + 1
+    top = pos <= best
+    yield pa.RecordBatch.from_arrays([pa.array(link[top]), pa.array(rels[top]), pa.array(-lost[top]), pa.array(pos[top].astype(np.int32))],
+                                     ["link_id", "rel_id", "score", "pos"])
 
 
 def _best_pairs(batches: list[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
-    """Best pairs of whole items; the rows come by item and link."""
+    """Best pairs of whole items, a row for each link of an item that has any; the rows come by item and link.
+
+    ``lost`` is the score, negated so that it sorts as the best do. Most links of an item share nothing else. Only those that
+    do are scored pair by pair; of the others, which all have the item's own weight, a link needs no more than the first by id.
+    """
     rows = pa.Table.from_batches(batches).combine_chunks()
     if not rows.num_rows:
         return
     item, link, eligible = (rows.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("item", "link_id", "eligible"))
     bag, weight = (rows.column(c).chunk(0) for c in ("bag", "weights"))
+    n = len(item)
     sizes = pc.list_value_length(bag).to_numpy(zero_copy_only=False).astype(np.int64)
-    values, codes = np.unique(bag.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    width = int(sizes.max())
-    at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    bags = np.full((len(sizes), width), -1, np.int32)
-    bags[at] = codes
-    weights = np.zeros((len(sizes), width), np.int64)
-    weights[at] = weight.flatten().to_numpy(zero_copy_only=False)
-    weights[:, 1:][bags[:, 1:] == bags[:, :-1]] = 0  # an item that a link has twice counts once
-    own = np.searchsorted(values, item).astype(np.int32)
-    # of each row, the places of its item's eligible rows among all eligible ones
+    row = np.repeat(np.arange(n), sizes)
+    value, each = (x.flatten().to_numpy(zero_copy_only=False) for x in (bag, weight))
+    once = np.ones(len(row), bool)  # an item that a link has twice counts once
+    once[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    row, value, each = row[once], value[once], each[once]
+    own = np.zeros(n, np.int64)
+    mine = value == item[row]
+    own[row[mine]] = each[mine]
+    row, value, each = row[~mine], value[~mine], each[~mine]
+    start = np.searchsorted(item, item)
+    # what the rows of an item share beside it: cells by item, value and row, and of each cell the eligible rows it meets
+    order = np.lexsort((row, value, start[row]))
+    row, value, each = row[order], value[order], each[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (start[row[1:]] != start[row[:-1]]) | (value[1:] != value[:-1])
+    run = np.cumsum(new) - 1
+    partners = np.flatnonzero(eligible[row])
+    first = np.searchsorted(run[partners], run)
+    meets = np.searchsorted(run[partners], run, "right") - first
+    cells = np.flatnonzero(meets > eligible[row])  # others than the row itself
+    cells = cells[np.argsort(row[cells], kind="stable")]
     others = np.flatnonzero(eligible)
-    first = np.searchsorted(others, np.searchsorted(item, item))
-    count = np.searchsorted(others, np.searchsorted(item, item, "right")) - first
-    cost = np.cumsum(count) * width
+    low = np.searchsorted(others, start)
+    count = np.searchsorted(others, np.searchsorted(item, item, "right")) - low
+    heads = np.flatnonzero(np.append(True, (start[1:] != start[:-1]) | (link[1:] != link[:-1])))
+    lengths = np.diff(np.append(heads, n))
+    twins = np.repeat(lengths, lengths)  # rows of the same link in the item, the row itself among them
+    cost = np.bincount(row[cells], meets[cells], n).astype(np.int64)
+    done = np.cumsum(cost + np.minimum(count, best + twins + cost))
     lo = 0
-    while lo < len(item):
-        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + PAIR_CELLS)))
-        n = count[lo:hi]
-        left = np.repeat(np.arange(lo, hi), n)
-        right = others[np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(len(left))]
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIR_CELLS)))
+        at = cells[np.searchsorted(row[cells], lo):np.searchsorted(row[cells], hi)]
+        left, right = np.repeat(row[at], meets[at]), row[partners[_spread(first[at], meets[at])]]
         apart = link[left] != link[right]
-        left, right = left[apart], right[apart]
-        mine, theirs = bags[left], bags[right]
-        shared = np.zeros(mine.shape, bool)
-        for place in range(width):
-            column = theirs[:, place:place + 1]
-            shared |= (mine == column) & (column >= 0)
-        meets = mine[np.arange(len(left)), shared.argmax(axis=1)] == own[left]
-        left, right = left[meets], right[meets]
-        score = (weights[left] * shared[meets]).sum(axis=1)
-        # the rows stand by link, so a stable order by score leaves ties by id
-        order = np.lexsort((-score, left))
+        pair = (left * n + right)[apart]
+        pairs, of = np.unique(pair, return_inverse=True)
+        score = np.bincount(of, np.repeat(each[at], meets[at])[apart], len(pairs)).astype(np.int64)
+        least = np.full(len(pairs), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, np.repeat(value[at], meets[at])[apart])
+        left, right = pairs // n, pairs % n
+        here = least > item[left]  # else the pair first meets in a smaller item
+        # the first by id, enough of them to leave the best ones without the link itself and the pairs above
+        known = np.bincount(left - lo, minlength=hi - lo)
+        some = np.minimum(count[lo:hi], best + twins[lo:hi] + known)
+        plain_left = np.repeat(np.arange(lo, hi), some)
+        plain_right = others[_spread(low[lo:hi], some)]
+        plain = plain_left * n + plain_right
+        found = np.searchsorted(pairs, plain)
+        seen = np.zeros(len(plain), bool)
+        inside = found < len(pairs)
+        seen[inside] = pairs[found[inside]] == plain[inside]
+        fresh = ~seen & (link[plain_left] != link[plain_right])
+        score = np.append(score[here] + own[left[here]], own[plain_left[fresh]])
+        left, right = np.append(left[here], plain_left[fresh]), np.append(right[here], plain_right[fresh])
+        # the rows stand by link, so an order by score and place leaves ties by id
+        order = np.lexsort((right, -score, left))
         left, right, score = left[order], right[order], score[order]
         top = np.arange(len(left)) - np.searchsorted(left, left) < best
-        yield pa.RecordBatch.from_arrays([pa.array(link[left[top]]), pa.array(link[right[top]]), pa.array(score[top])],
-                                         ["link_id", "rel_id", "score"])
+        left, right, score = left[top], right[top], score[top]
+        heads = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else left
+        bounds = pa.array(np.append(heads, len(left)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(link[left[heads]]), pa.ListArray.from_arrays(bounds, pa.array(link[right])),
+                                          pa.ListArray.from_arrays(bounds, pa.array(-score))], ["link_id", "rel_id", "lost"])
         lo = hi
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 def _counted(pairs: DataFrame, weigh: Weigh, *extra: Column) -> DataFrame:
     score = F.sum(weigh(F.array("item")))
     for part in extra:

@@ -120,3 +120,18 @@ def test_only_the_best_of_an_item_leave_it(spark, k):
         want |= {(link, other, -less, pos + 1) for pos, (less, other) in enumerate(met[:k])}
     got = related.top_shared(items, rows, k)
     assert {(r.link_id, r.rel_id, r.score, r.pos) for r in got.collect()} == want
+
+
+def test_links_that_share_one_item_leave_as_their_best_only(spark):
+    """Pairs that share nothing but one item are not scored one by one, and a link leaves the step once, with its best."""
+    items = spark.createDataFrame([(link, item) for link in range(300) for item in (0, 1 + link % 2, 10 + link)], "link_id long, item long")
+    rows = spark.createDataFrame([(link,) for link in range(300)], "rel_id long")
+    bags = items.groupBy("link_id").agg(F.array_sort(F.collect_list("item")).alias("bag"))
+    near = related._best_of_items(bags, rows, related.plain_weight, 5).collect()
+    want = {(link, other, 2) for link in range(300) for other in [o for o in range(300) if o % 2 == link % 2 and o != link][:5]}
+    assert len(near) == 1500 and {(r.link_id, r.rel_id, r.score) for r in near} == want
+    alone = spark.createDataFrame([(link, link % 30) for link in range(300)], "link_id long, item long")
+    got = related.top_shared(alone, rows, 3).collect()
+    assert {(r.link_id, r.rel_id, r.score, r.pos) for r in got} == {
+        (link, other, 1, n + 1) for link in range(300)
+        for n, other in enumerate([o for o in range(link % 30, 300, 30) if o != link][:3])}
