@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from linkloom.llm import audit, bytepairs, bytetext, negatives, queries
+from linkloom.llm import audit, bytepairs, bytetext, markup, negatives, queries
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
@@ -233,3 +233,23 @@ def test_clashing_column_names(spark, tmp_path):
         assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
         cut = windows.drop_repeats(docs).select("doc.doc_id", "doc.`x.y`", "n_removed").collect()
         assert sorted(tuple(r) for r in cut) == [(1, "a", 0), (2, "b", 30), (3, "c", 0)]
+
+
+def test_template_classes_are_told_apart_by_slot_and_nested(spark):
+    """Text that stands twice on a page, in repeated items or on one page type is found; copies of an article stay."""
+    page = ("<body><div class=top>Hot news</div><div class=main><p>Own {0} a.</p><p>Own {0} b.</p></div>"
+            "<div class=top>Hot news</div>{1}</body>")
+    items = "".join("<div class=item><div class=more>Read on</div><div class=what>thing {0} %d</div></div>" % n for n in range(2))
+    typed = "<div class=type><div class=say>Only on this type</div><div class=of>kind {0}</div></div>"
+    copied = "<p>Copied text.</p><p>More copied text.</p>"
+    rows = []
+    for i in range(60):
+        extra = items if i % 2 else ""
+        extra += typed.format(i) if i % 3 == 0 else ""
+        extra += copied if i % 5 == 0 else ""
+        rows.append((i, f"http://a.com/{i}", page.format(i, extra.format(i))))
+    got = {r[0]: r[2].split("\n") for r in markup.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        want = [f"Own {i} a.", f"Own {i} b."] + ([f"thing {i} 0", f"thing {i} 1"] if i % 2 else [])
+        want += ([f"kind {i}"] if i % 3 == 0 else []) + (["Copied text.", "More copied text."] if i % 5 == 0 else [])
+        assert got[i] == want
