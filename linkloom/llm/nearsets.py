@@ -4,7 +4,8 @@ Every document has a signature of minwise values of its shingle set; documents w
 all documents and branches them by the value at a coordinate it selects (on average 1 / similarity coordinates, so a pair
 that similar is expected to stay together on one branch); nodes with one document are dropped, small nodes are compared
 exhaustively by signature, and large nodes are branched again. A large node is also dealt into small parts that all hold a
-few random pivots of the node, so a crowd of copies, which no coordinate takes apart, is found without meeting in one task.
+few random pivots of the node, so a crowd of copies, which no coordinate takes apart, is found without meeting in one task. What
+is then still large is compared block by block, until every two documents of the node have been compared or are connected.
 Independent trees are repeated until the expected recall is reached.
 
 Comparing only joins documents into candidate groups. In each group, sets are then built from the full texts and searched
@@ -31,6 +32,7 @@ COORDINATES = 64
 NEAR = 0.6  # share of equal coordinates from which two documents are candidates: 7 deviations below a similarity of 0.85
 LEAF = 256  # documents of a node that are compared with each other
 PIVOTS = 8
+BLOCK = 1024  # documents of a node that DEPTH levels leave large, in a block that meets all of the node
 DEPTH = 4
 GROUP_BYTES = 8 << 20  # text of a candidate group that one task searches
 
@@ -169,8 +171,10 @@ def _candidates(signed: DataFrame, trees: int, similarity: float) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         rows = members.where(F.col("size") > LEAF).select("node", "row", "signature")
         if rows.isEmpty():
-            break
-    return stored(links.distinct())
+            return stored(links.distinct())
+    # no coordinate took these nodes apart: all that is not connected in them is compared, block by block
+    members = rows.select(F.col("node").alias("root"), "row", F.lit(1).cast("long").alias("size"))
+    return stored(_large_links(stored(members), signed, _compare, BLOCK, stored(links.distinct())).distinct())
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -283,7 +287,8 @@ def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFr
     links = small.repartition("part").sortWithinPartitions("part").mapInArrow(link, "a long, b long")
     if not large.isEmpty():
         texts = with_text.join(large, "root").select("root", "row", F.octet_length("text").cast("long").alias("size"), "text")
-        links = links.unionByName(_large_links(stored(texts), link))
+        texts = stored(texts)
+        links = links.unionByName(_large_links(texts.select("root", "row", "size"), texts.select("row", "text"), link, GROUP_BYTES // 2))
     root = connected(links)
     order = F.struct(F.col("key").isNull(), "key", "row")
     named = signed.drop("signature").join(first.where("rows > 1").drop("rows"), same, "left").withColumn(
@@ -298,17 +303,21 @@ def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFr
                         (lone | (F.col("row") == F.col("least.row"))).alias("kept"))
 
 
-def _large_links(texts: DataFrame, link) -> DataFrame:
-    """Links (a, b) of the groups whose text is too large for a task; ``texts`` has root, row, size, text.
+def _large_links(members: DataFrame, content: DataFrame, link, half: int, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of groups that are too large for a task; ``members`` has root, row, size, ``content`` what ``link`` compares.
 
-    Each turn takes blocks of a group's documents, of half a task's text each, and compares them with all of the group, which
+    Each turn takes blocks of a group's documents, of the size ``half`` each (half of what a task should hold), and compares them with all of the group, which
     is dealt into parts of the same size: all links of these documents are then known. What is not connected with most of
     the group is left for the next turn, with twice as many blocks at once. In the end every two documents of a group
     have been compared or are connected, so nothing depends on chance.
     """
-    half = GROUP_BYTES // 2
-    left = texts.select("root", "row", "size", F.col("row").alias("component"), F.lit(False).alias("done"))
-    found, turn = [], 0
+    left = members.select("root", "row", "size", F.lit(False).alias("done"))
+    if known is None:
+        left, found = left.withColumn("component", F.col("row")), []
+    else:
+        roots = connected(known).withColumnRenamed("root", "component")
+        left, found = stored(left.join(roots, "row", "left").withColumn("component", F.coalesce("component", "row"))), [known]
+    turn = 0
     while True:
         sums = left.groupBy("root", "component").agg(F.sum("size").alias("bytes"))
         most = sums.groupBy("root").agg(F.max(F.struct("bytes", "component")).alias("most"), F.sum("bytes").alias("bytes"))
@@ -321,7 +330,7 @@ def _large_links(texts: DataFrame, link) -> DataFrame:
             F.least("blocks", F.lit(1 << turn)).alias("taken"),
             F.when(F.col("open") & (block < (1 << turn)), block).alias("block")))
         if state.isEmpty():
-            return functools.reduce(DataFrame.unionByName, found) if found else texts.select(
+            return functools.reduce(DataFrame.unionByName, found) if found else members.select(
                 F.col("row").alias("a"), F.col("row").alias("b")).limit(0)
         # a document is in its own part beside each block, and in its block beside each part
         own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
@@ -332,7 +341,7 @@ def _large_links(texts: DataFrame, link) -> DataFrame:
                 beside(F.col("parts"), lambda i: F.struct(i.alias("part"), F.col("block").alias("block")))))
         dealt = state.select("row", "root", F.explode(places).alias("place")).select(
             "row", F.xxhash64("root", "place.part", "place.block").alias("part"))
-        found.append(stored(texts.select("row", "text").join(dealt, "row").repartition("part").sortWithinPartitions(
+        found.append(stored(content.join(dealt, "row").repartition("part").sortWithinPartitions(
             "part").mapInArrow(link, "a long, b long").distinct()))
         roots = connected(functools.reduce(DataFrame.unionByName, found)).withColumnRenamed("root", "component")
         left = stored(state.select("root", "row", "size", (F.col("done") | F.col("block").isNotNull()).alias("done")).join(

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from linkloom.llm import audit, bytepairs, bytetext, markup, negatives, queries
+from linkloom.llm import audit, bytepairs, bytetext, markup, nearsets, negatives, queries
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
@@ -253,3 +253,20 @@ def test_template_classes_are_told_apart_by_slot_and_nested(spark):
         want = [f"Own {i} a.", f"Own {i} b."] + ([f"thing {i} 0", f"thing {i} 1"] if i % 2 else [])
         want += ([f"kind {i}"] if i % 3 == 0 else []) + (["Copied text.", "More copied text."] if i % 5 == 0 else [])
         assert got[i] == want
+
+
+def test_nodes_that_stay_large_lose_no_pair(spark, monkeypatch):
+    """All documents share the coordinate that the only node branches by; only the two of a pair are near each other."""
+    monkeypatch.setattr(nearsets, "DEPTH", 1)
+    monkeypatch.setattr(nearsets, "LEAF", 8)
+    monkeypatch.setattr(nearsets, "PIVOTS", 1)
+    monkeypatch.setattr(nearsets, "BLOCK", 16)
+    taken = spark.range(1).select(F.pmod(F.xxhash64(F.lit(1).cast("long"), F.lit(0)), F.lit(64))).first()[0]
+    rows = []
+    for pair in range(24):
+        own = np.random.default_rng(pair).integers(1, 1 << 30, 64)
+        own[(taken + np.arange(30)) % 64] = 7
+        rows += [(2 * pair, own.tolist()), (2 * pair + 1, own.tolist())]
+    signed = spark.createDataFrame(rows, "row long, signature array<int>")
+    got = {(r.a, r.b) for r in nearsets._candidates(signed, 1, 1.0).collect()}
+    assert {(max(p), min(p)) for p in got} == {(2 * i + 1, 2 * i) for i in range(24)}
