@@ -130,6 +130,9 @@ def test_links_that_share_one_item_leave_as_their_best_only(spark):
     near = related._best_of_items(bags, rows, related.plain_weight, 5).collect()
     want = {(link, other, 2) for link in range(300) for other in [o for o in range(300) if o % 2 == link % 2 and o != link][:5]}
     assert len(near) == 1500 and {(r.link_id, r.rel_id, r.score) for r in near} == want
+    two = spark.createDataFrame([(link, [link % 30, 30 + link % 7]) for link in range(300)], "link_id long, bag array<long>")
+    sent = related._best_of_items(two, rows, related.plain_weight, 5).groupBy("link_id").count().collect()
+    assert len(sent) == 300 and all(r["count"] == 5 for r in sent)
     alone = spark.createDataFrame([(link, link % 30) for link in range(300)], "link_id long, item long")
     got = related.top_shared(alone, rows, 3).collect()
     assert {(r.link_id, r.rel_id, r.score, r.pos) for r in got} == {
