@@ -16,7 +16,6 @@ hold is dealt into parts that all share blocks of its documents, until what is n
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -154,7 +153,8 @@ def _compare(batches: Iterator[pa.RecordBatch]):
 
 
 def _candidates(signed: DataFrame, trees: int, similarity: float) -> DataFrame:
-    """Links (a, b) between documents whose signatures are near and that met in a node; ``signed`` has row, signature."""
+    """What links between documents with near signatures that met in a node connect: (a, b) for every document a but the
+    smallest b of its component; ``signed`` has row, signature."""
     links, rows = None, signed
     for level in range(DEPTH):
         children = _branched(rows, level, trees, similarity)
@@ -166,42 +166,47 @@ def _candidates(signed: DataFrame, trees: int, similarity: float) -> DataFrame:
         pivot = (parts > 1) & (F.pmod(F.xxhash64("row", "node"), F.ceil(F.col("size") / PIVOTS)) == 0)
         dealt = members.withColumn("number", F.explode(
             F.when(pivot, F.sequence(F.lit(0), parts - 1).cast("array<long>")).otherwise(F.array(own.cast("long")))))
-        found = dealt.select(F.xxhash64("node", "number").alias("part"), "row", "signature").repartition(
-            "part").sortWithinPartitions("part").mapInArrow(_compare, "a long, b long").distinct()
+        # pivots first: the parts of a node link its documents with the same ones
+        found = dealt.select(F.xxhash64("node", "number").alias("part"), "row", "signature", pivot.alias("lead")).repartition(
+            "part").sortWithinPartitions("part", F.desc("lead"), "row").mapInArrow(_compare, "a long, b long").distinct()
         links = found if links is None else links.unionByName(found)
         rows = members.where(F.col("size") > LEAF).select("node", "row", "signature")
         if rows.isEmpty():
-            return stored(links.distinct())
+            return connected(links).select(F.col("row").alias("a"), F.col("root").alias("b"))
     # no coordinate took these nodes apart: all that is not connected in them is compared, block by block
     members = rows.select(F.col("node").alias("root"), "row", F.lit(1).cast("long").alias("size"))
-    return stored(_large_links(stored(members), signed, _compare, BLOCK, stored(links.distinct())).distinct())
+    return _large_links(stored(members), signed, _compare, BLOCK, links)
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """Columns row, root: the smallest row that each linked row reaches, by alternating large and small stars."""
+    """Columns row, root: the smallest row that each linked row reaches, by alternating large and small stars.
+
+    A star makes no more links than it is given. All is done when every row has one link to a smaller row, and that has none.
+    """
     links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
 
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
-        sides = pairs if small else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(sides.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")))
-        joined = sides.join(least, "a")
-        if small:  # a and its smaller neighbours hang below the least of them
-            made = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-                least.select("a", F.col("least").alias("b")))
-        else:  # larger neighbours of a hang below the least of all
-            made = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        return stored(made.where("a <> b").distinct())
-
-    def sign(pairs: DataFrame):
-        return pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-
-    before = sign(links)
-    while True:
-        links = star(star(links, False), True)
-        now = sign(links)
-        if now == before:
-            return links.select(F.col("a").alias("row"), F.col("b").alias("root"))
-        before = now
+    def large(pairs: DataFrame) -> DataFrame:
+        """Larger neighbours of b hang below the least of all neighbours of b and itself."""
+        sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = sides.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"))
+        return stored(pairs.join(least, "b").select("a", F.least("b", "least").alias("b")).distinct())
+
+    def small(pairs: DataFrame) -> DataFrame:
+        """a and its smaller neighbours hang below the least of them."""
+        least = pairs.groupBy("a").agg(F.min("b").alias("least"))
+        return stored(pairs.join(least, "a").select(
+            F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct())
+
+    def settled(pairs: DataFrame) -> bool:
+        ends = pairs.select(F.explode(F.array(
+            F.struct(F.col("a").alias("row"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+            F.struct(F.col("b").alias("row"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("end")).select("end.*")
+        ups = ends.groupBy("row").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ups.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+    while not settled(links):
+        links = small(large(links))
+    return links.select(F.col("a").alias("row"), F.col("b").alias("root"))
 
 
 def _linked(size: int, percent: int):
@@ -276,7 +281,7 @@ def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFr
     same = ["n", "s1", "s2"]
     first = stored(signed.where("n > 0").groupBy(*same).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")))
     alone = signed.join(first.select(F.col("first").alias("row")), "row", "left_semi").select("row", "signature")
-    roots = connected(_candidates(stored(alone), trees_for(percent / 100, recall), percent / 100))
+    roots = _candidates(stored(alone), trees_for(percent / 100, recall), percent / 100).toDF("row", "root")
     groups = roots.unionByName(roots.select(F.col("root").alias("row"), "root").distinct())
     with_text = rows.select("row", "text").join(groups, "row")
     # a group of more text than a task should hold is compared block by block
@@ -284,12 +289,13 @@ def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFr
     large = bytes_of.where(F.col("bytes") > GROUP_BYTES).select("root")
     small = with_text.join(large, "root", "left_anti").select(F.col("root").alias("part"), "row", "text")
     link = _linked(words, percent)
+    # a group is searched as a whole, so a row is linked once, with the row that names its component
     links = small.repartition("part").sortWithinPartitions("part").mapInArrow(link, "a long, b long")
     if not large.isEmpty():
         texts = with_text.join(large, "root").select("root", "row", F.octet_length("text").cast("long").alias("size"), "text")
         texts = stored(texts)
         links = links.unionByName(_large_links(texts.select("root", "row", "size"), texts.select("row", "text"), link, GROUP_BYTES // 2))
-    root = connected(links)
+    root = links.toDF("row", "root")
     order = F.struct(F.col("key").isNull(), "key", "row")
     named = signed.drop("signature").join(first.where("rows > 1").drop("rows"), same, "left").withColumn(
         "first", F.coalesce("first", "row")).join(root.withColumnRenamed("row", "first"), "first", "left").withColumn(
@@ -304,21 +310,21 @@ def _grouped(rows: DataFrame, words: int, percent: int, recall: float) -> DataFr
 
 
 def _large_links(members: DataFrame, content: DataFrame, link, half: int, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) of groups that are too large for a task; ``members`` has root, row, size, ``content`` what ``link`` compares.
+    """What links of groups that are too large for a task connect, the links ``known`` included: (a, b) for every row a but the
+    smallest b of its component; ``members`` has root, row, size, ``content`` what ``link`` compares.
 
     Each turn takes blocks of a group's documents, of the size ``half`` each (half of what a task should hold), and compares them with all of the group, which
     is dealt into parts of the same size: all links of these documents are then known. What is not connected with most of
     the group is left for the next turn, with twice as many blocks at once. In the end every two documents of a group
-    have been compared or are connected, so nothing depends on chance.
+    have been compared or are connected, so nothing depends on chance. Links become components at once: the next turn's are
+    links between these, and only where they differ.
     """
-    left = members.select("root", "row", "size", F.lit(False).alias("done"))
-    if known is None:
-        left, found = left.withColumn("component", F.col("row")), []
-    else:
-        roots = connected(known).withColumnRenamed("root", "component")
-        left, found = stored(left.join(roots, "row", "left").withColumn("component", F.coalesce("component", "row"))), [known]
+    state = members.select("root", "row", "size", F.lit(False).alias("done"))
+    none = members.select(F.col("row").alias("a"), F.col("row").alias("b")).limit(0)
+    roots = (none.toDF("row", "component") if known is None else connected(known).withColumnRenamed("root", "component"))
     turn = 0
     while True:
+        left = stored(state.join(roots, "row", "left").withColumn("component", F.coalesce("component", "row")))
         sums = left.groupBy("root", "component").agg(F.sum("size").alias("bytes"))
         most = sums.groupBy("root").agg(F.max(F.struct("bytes", "component")).alias("most"), F.sum("bytes").alias("bytes"))
         state = left.join(most, "root").withColumn("open", ~F.col("done") & (F.col("component") != F.col("most.component")))
@@ -330,8 +336,7 @@ def _large_links(members: DataFrame, content: DataFrame, link, half: int, known:
             F.least("blocks", F.lit(1 << turn)).alias("taken"),
             F.when(F.col("open") & (block < (1 << turn)), block).alias("block")))
         if state.isEmpty():
-            return functools.reduce(DataFrame.unionByName, found) if found else members.select(
-                F.col("row").alias("a"), F.col("row").alias("b")).limit(0)
+            return roots.toDF("a", "b")
         # a document is in its own part beside each block, and in its block beside each part
         own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
         beside = lambda n, pair: F.transform(F.sequence(F.lit(0), n - 1), pair)
@@ -339,13 +344,21 @@ def _large_links(members: DataFrame, content: DataFrame, link, half: int, known:
             beside(F.col("taken"), lambda i: F.struct(own.alias("part"), i.alias("block"))),
             F.when(F.col("block").isNull(), F.array().cast("array<struct<part:int,block:int>>")).otherwise(
                 beside(F.col("parts"), lambda i: F.struct(i.alias("part"), F.col("block").alias("block")))))
-        dealt = state.select("row", "root", F.explode(places).alias("place")).select(
-            "row", F.xxhash64("root", "place.part", "place.block").alias("part"))
-        found.append(stored(content.join(dealt, "row").repartition("part").sortWithinPartitions(
-            "part").mapInArrow(link, "a long, b long").distinct()))
-        roots = connected(functools.reduce(DataFrame.unionByName, found)).withColumnRenamed("root", "component")
-        left = stored(state.select("root", "row", "size", (F.col("done") | F.col("block").isNotNull()).alias("done")).join(
-            roots, "row", "left").withColumn("component", F.coalesce("component", "row")))
+        # the block first: all parts beside it link their documents with the same ones
+        lead = F.coalesce(F.col("block") == F.col("place.block"), F.lit(False)).alias("lead")
+        dealt = state.select("row", "root", "block", F.explode(places).alias("place")).select(
+            "row", F.xxhash64("root", "place.part", "place.block").alias("part"), lead)
+        found = content.join(dealt, "row").repartition("part").sortWithinPartitions("part", F.desc("lead"), "row").mapInArrow(
+            link, "a long, b long").distinct()
+        for side in ("a", "b"):
+            found = found.join(roots.withColumnsRenamed({"row": side, "component": "of"}), side, "left").withColumn(
+                side, F.coalesce("of", side)).drop("of")
+        moved = connected(found)
+        if not moved.isEmpty():
+            further = roots.join(moved.withColumnRenamed("row", "component"), "component", "left").select(
+                "row", F.coalesce("root", "component").alias("component"))
+            roots = stored(further.unionByName(moved.withColumnRenamed("root", "component")))
+        state = state.select("root", "row", "size", (F.col("done") | F.col("block").isNotNull()).alias("done"))
         turn += 1
 
 

@@ -270,3 +270,15 @@ def test_nodes_that_stay_large_lose_no_pair(spark, monkeypatch):
     signed = spark.createDataFrame(rows, "row long, signature array<int>")
     got = {(r.a, r.b) for r in nearsets._candidates(signed, 1, 1.0).collect()}
     assert {(max(p), min(p)) for p in got} == {(2 * i + 1, 2 * i) for i in range(24)}
+
+
+def test_crowd_gives_each_document_one_link(spark, monkeypatch):
+    """A crowd meets in every node of every tree; what is known of it is one link a document, not one of each meeting."""
+    monkeypatch.setattr(nearsets, "DEPTH", 2)
+    monkeypatch.setattr(nearsets, "LEAF", 8)
+    monkeypatch.setattr(nearsets, "BLOCK", 16)
+    rows = [(row, [*range(40), *np.random.default_rng(row).integers(1000, 1 << 30, 24).tolist()]) for row in range(60)]
+    rows += [(100 + row, np.random.default_rng(100 + row).integers(1000, 1 << 30, 64).tolist()) for row in range(5)]
+    signed = spark.createDataFrame(rows, "row long, signature array<int>")
+    got = nearsets._candidates(signed, 6, 0.85).collect()
+    assert sorted((r.a, r.b) for r in got) == [(row, 0) for row in range(1, 60)]
