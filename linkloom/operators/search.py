@@ -275,7 +275,9 @@ def resync_docs(links: DataFrame, collections: DataFrame, link_tags: DataFrame,
     from linkloom.operators.relational import with_collection, with_tags
 
     todo = links.where((F.col("status") == "parsed") & F.col("indexed_at").isNull())
-    full = with_tags(with_collection(todo, collections), link_tags, tags)
+    # only the tags of these links are named and gathered
+    own = link_tags.join(todo.select(F.col("id").alias("link_id")).distinct(), "link_id", "left_semi")
+    full = with_tags(with_collection(todo, collections), own, tags)
     content = F.coalesce("content_md", F.lit("")) if "content_md" in links.columns else F.lit("")
     return full.select(
         "id", "url", F.coalesce("title", F.lit("")).alias("title"), content.alias("content"),

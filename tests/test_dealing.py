@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from linkloom.operators import changes, segments
+from linkloom.operators import changes, relational, search, segments
 from linkloom.plans import catalog, vault
 from linkloom.sources.views import Tables
 
@@ -69,3 +69,23 @@ def test_inserts_do_not_look_for_the_owner_of_the_null_collection(spark):
 def test_json_records_are_judged_once(spark):
     plan = plan_of(catalog()["src_json_entities"].run(Tables(spark, SF)))
     assert plan.count("Relation [") == 6  # one for each entity, was two
+
+
+def test_only_tags_of_links_to_index_are_gathered(spark, monkeypatch):
+    gathered, names = [], relational.link_tag_names
+
+    def seen(link_tags, tags):
+        gathered.append({(r.link_id, r.tag_id) for r in link_tags.collect()})
+        return names(link_tags, tags)
+
+    monkeypatch.setattr(relational, "link_tag_names", seen)
+    links = spark.createDataFrame(
+        [(1, "parsed", None), (2, "pending", None), (3, "parsed", "2024-01-01"), (4, "parsed", None), (None, "parsed", None)],
+        "id long, status string, indexed_at string").selectExpr(
+        "*", "'u' AS url", "'t' AS title", "1 AS reading_time_min", "null AS saved_at", "1L AS user_id", "null AS collection_id")
+    collections = spark.createDataFrame([], "id long, slug string")
+    link_tags = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 8), (5, 7), (None, 7)], "link_id long, tag_id long")
+    tags = spark.createDataFrame([(7, "b"), (8, "a")], "id long, name string")
+    got = search.resync_docs(links, collections, link_tags, tags).collect()
+    assert {r.id: r.tags for r in got} == {1: ["a", "b"], 4: [], None: []} and len(got) == 3
+    assert gathered == [{(1, 7), (1, 8)}]
