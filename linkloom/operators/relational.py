@@ -141,8 +141,11 @@ def tagged_titles(tags: DataFrame, link_tags: DataFrame, links: DataFrame, colle
         tags = tags.where(F.col("name") == tag_name)
     ready = links.where((F.col("status") == "parsed") & F.col("title").isNotNull()).select(
         F.col("id").alias("link_id"), "title", "collection_id")
+    # collections are found before a link is repeated for its tags; made on the way (exploded) they are more than Spark's estimates,
+    # so they are merged with, never broadcast
+    filed = with_collection(ready, collections.hint("merge"))
     edges = link_tags.join(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")), "tag_id")
-    return with_collection(edges.join(ready, "link_id"), collections).select("tag", "link_id", "title", "collection")
+    return edges.join(filed, "link_id").select("tag", "link_id", "title", "collection")
 
 
 def partner_counts(link_tags: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ many tasks. Written out, such a page is a folder of ordered text parts.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from uuid import uuid4
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import notes, strings
@@ -268,28 +269,47 @@ def page_folder(page: str | None) -> str:
     return f"page={name}"
 
 
+# beside the pages: which files they have and how many lines; Spark's readers pass over the name
+FILE_LISTS = "_lists/files"
+# lines that a task reads
+TASK_LINES = 200_000
+# rows and characters of a batch, bytes read at once
+BATCH_LINES, BATCH_TEXT, READ_BYTES = 2_000, 1 << 22, 1 << 20
+# what ends a line for Spark's text reader
+LINE_END = re.compile(rb"\r\n|\n|\r")
+
+
 def _page_writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(folder)
         part = f"part-{TaskContext.get().partitionId():05d}"
-        now, out, aside, written = None, None, None, 0
+        now, out, aside, written, lines = None, None, None, 0, 0
+        lists = posixpath.join(base, FILE_LISTS)
+        system.create_dir(lists, recursive=True)
+        listed = posixpath.join(lists, f"_{part}.{uuid4().hex}")
 
         def close() -> None:
             if out:
                 out.close()
                 system.move(aside, posixpath.join(base, page_folder(now[0]), f"{part}.txt"))
-
-        for batch in batches:
-            for page, line in zip(batch.column("page").to_pylist(), batch.column("line").to_pylist()):
-                if now != (page,):
-                    close()
-                    now, written = (page,), written + 1
-                    place = posixpath.join(base, page_folder(page))
-                    system.create_dir(place, recursive=True)
-                    aside = posixpath.join(place, f"_{part}.{uuid4().hex}")
-                    out = system.open_output_stream(aside)
-                out.write(f"{line or ''}\n".encode())
-        close()
+                files.write(f"{json.dumps({'page': now[0], 'file': f'{part}.txt', 'lines': lines})}\n".encode())
+
+        with system.open_output_stream(listed) as files:
+            for batch in batches:
+                for page, line in zip(batch.column("page").to_pylist(), batch.column("line").to_pylist()):
+                    page = page or None  # no page and the empty one, which follow each other, have one folder
+                    if now != (page,):
+                        close()
+                        now, written, lines = (page,), written + 1, 0
+                        place = posixpath.join(base, page_folder(page))
+                        system.create_dir(place, recursive=True)
+                        aside = posixpath.join(place, f"_{part}.{uuid4().hex}")
+                        out = system.open_output_stream(aside)
+                    text = f"{line or ''}\n".encode()
+                    lines += len(LINE_END.findall(text))
+                    out.write(text)
+            close()
+        system.move(listed, posixpath.join(lists, f"{part}.txt"))
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["pages"])
     return write
 
@@ -297,8 +317,8 @@ def _page_writer(folder: str):
 def write_lines(lines: DataFrame, folder: str) -> None:
     """Write pages of lines as text: one folder per page, its parts in order.
 
-    Pages may be very many, so tasks put their files in place themselves; Spark's writer would move each folder in the driver.
-    It only writes where Arrow does not know the file system. The folder is the caller's to publish when all is written.
+    Pages may be very many, so tasks put their files in place themselves and list them; Spark's writer would move each folder in
+    the driver. It only writes where Arrow does not know the file system, without lists. The folder is the caller's to publish when all is written.
     """
     ordered = lines.repartitionByRange(*LINE_KEYS).sortWithinPartitions(*LINE_KEYS)
     try:
@@ -309,3 +329,54 @@ def write_lines(lines: DataFrame, folder: str) -> None:
         return
     system.delete_dir_contents(base)
     ordered.select("page", "line").mapInArrow(_page_writer(folder), "pages long").agg(F.sum("pages")).collect()
+
+
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(page, n, line): lines of written pages with their number, parts in the order of their names, lines as they stand.
+
+    Files come from the lists of the tasks that wrote them and are opened by the tasks that read them: the driver sees none.
+    """
+    files = spark.read.schema("page string, file string, lines bigint").json(posixpath.join(folder, FILE_LISTS))
+    # numbers run on from file to file, so no task sees more of a page than a file
+    before = F.sum("lines").over(Window.partitionBy("page").orderBy("file")) - F.col("lines")
+    tasks = (files.agg(F.sum("lines")).first()[0] or 0) // TASK_LINES + spark.sparkContext.defaultParallelism
+    dealt = files.withColumn("before", before).select("page", "file", "before").repartition(int(tasks), "page", "file")
+    return dealt.mapInArrow(_page_reader(folder), "page string, n int, line string")
+
+
+def _page_reader(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        pages, numbers, lines, size = [], [], [], 0
+
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(pages, pa.string()), pa.array(numbers, pa.int32()), pa.array(lines, pa.string())], ["page", "n", "line"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                with system.open_input_stream(posixpath.join(base, page_folder(row["page"]), row["file"])) as stream:
+                    for n, line in enumerate(_lines_of(stream), row["before"] + 1):
+                        pages.append(row["page"])
+                        numbers.append(n)
+                        lines.append(line)
+                        size += len(line)
+                        if len(lines) >= BATCH_LINES or size >= BATCH_TEXT:
+                            yield taken()
+                            pages, numbers, lines, size = [], [], [], 0
+        if lines:
+            yield taken()
+    return read
+
+
+def _lines_of(stream: pa.NativeFile) -> Iterator[str]:
+    """Lines as Spark reads text: they end with a line feed, a carriage return or both."""
+    rest = b""
+    while block := stream.read(READ_BYTES):
+        *whole, rest = LINE_END.split(rest + block)
+        if not rest and block.endswith(b"\r"):  # the line feed may be next
+            whole, rest = whole[:-1], whole[-1] + b"\r"
+        for line in whole:
+            yield line.decode(errors="replace")
+    if rest:
+        yield rest.removesuffix(b"\r").decode(errors="replace")

@@ -14,7 +14,7 @@ from linkloom.plans.relational import _TAGGED
 from linkloom.plans.scalars import (AS_OF, q_dir, q_front, q_iso, q_margin, q_minutes, q_note_path, q_stem, q_tags_yaml,
                                     q_wikilink)
 from linkloom.functions import strings
-from linkloom.sources.versions import VersionedFolder
+from linkloom.sources.versions import Files, VersionedFolder
 from linkloom.streaming.flows import work_folder
 
 NL = "chr(10)"
@@ -233,7 +233,9 @@ def tag_page(t):
 
 
 def read_lines(t, folder):
-    """Lines of written pages with their number: parts in the order of their names, lines as they stand."""
+    """Lines of written pages with their number; the files as the driver lists them where their writer has left no list."""
+    if Files(t.spark, folder).exists(f"{folder}/{vault.FILE_LISTS}"):
+        return vault.read_lines(t.spark, folder)
     rows = t.spark.read.option("basePath", folder).text(folder).select(
         "page", F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
         F.monotonically_increasing_id().alias("at"))

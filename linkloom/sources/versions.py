@@ -40,6 +40,9 @@ class Files:
         place = self.path(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(place)] if self.fs.exists(place) else []
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.path(name))
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:

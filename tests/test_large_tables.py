@@ -1,8 +1,13 @@
-"""What large tables need: no exploded table is broadcast."""
+"""What large tables need: no exploded table is broadcast and no file is listed by the driver."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import changes
+from linkloom.operators import changes, relational, vault
+from linkloom.plans import vault as plans
+from linkloom.sources.versions import Files
+
+LINES = "page string, part int, key1 string, sub int, key2 string, link_id bigint, line string"
 
 
 def physical(frame):
@@ -37,3 +42,49 @@ def test_requests_are_judged_once_to_be_applied(spark):
     assert {i: rows[i] for i in (10, 11, 12, 20, 21, 22)} == {
         10: ("a", "a", 1), 11: ("B", "b", 1), 12: ("Three", "three", 1), 20: ("a", "a", 2), 21: ("b", "b", 2), 22: ("c", "c", 2)}
     assert sorted((i, rows[i][1]) for i in rows if i > 22)[0][0] == 23 and {rows[i][1] for i in (23, 24, 25)} == {"new", "a", "last"} and len(rows) == 9
+
+
+def test_collections_are_not_broadcast_to_titles(spark):
+    links = spark.createDataFrame([(1, "One", "parsed", 10), (2, "Two", "parsed", 99), (3, None, "parsed", 10), (4, "Four", "failed", 10)],
+                                  "id long, title string, status string, collection_id long")
+    got = relational.tagged_titles(spark.createDataFrame([(7, "t")], "id long, name string"), spark.createDataFrame(
+        [(i, 7) for i in (1, 2, 3, 4)], "link_id long, tag_id long"), links, exploded(spark))
+    assert "Broadcast" not in physical(got)
+    assert sorted(map(tuple, got.collect())) == [("t", 1, "One", "a"), ("t", 2, "Two", "unsorted")]
+
+
+def test_page_files_are_listed_by_the_tasks_that_write_them(spark, tmp_path):
+    rows = [(p, 0, "", 0, f"{n:03d}", n, text) for p in ("by-tag/a b.md", "ä=ö?#\n.md", None) for n, text in enumerate(
+        ["first", "", None, "two\rin one", "three\r\nin\n one\r", "ends"])]
+    folder = str(tmp_path / "out")
+    vault.write_lines(spark.createDataFrame(rows, LINES).repartition(5), folder)
+
+    class Given:
+        pass
+    Given.spark = spark
+    got = plans.read_lines(Given, folder)
+    assert not [f for f in got.inputFiles() if "page=" in f]
+    want = ["first", "", "", "two", "in one", "three", "in", " one", "ends"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(
+        str((p, n, line)) for p in ("by-tag/a b.md", "ä=ö?#\n.md", None) for n, line in enumerate(want, 1))
+    # Spark's reader, which needs no lists, finds the same
+    assert Files(spark, folder).exists(f"{folder}/{vault.FILE_LISTS}")
+    Files(spark, folder).remove(f"{folder}/_lists")
+    again = plans.read_lines(Given, folder)
+    assert [f for f in again.inputFiles() if "page=" in f]
+    assert sorted(map(str, map(tuple, again.collect()))) == sorted(map(str, map(tuple, got_rows(spark, rows, tmp_path))))
+
+
+def got_rows(spark, rows, tmp_path):
+    folder = str(tmp_path / "again")
+    vault.write_lines(spark.createDataFrame(rows, LINES), folder)
+    return vault.read_lines(spark, folder).collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_lines_that_go_on_in_the_next_block(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vault, "READ_BYTES", size)
+    for text, want in (("a\r\nb\rc\n\nd", ["a", "b", "c", "", "d"]), ("\r\r\n\n", ["", "", ""]), ("ä\r", ["ä"]), ("", []), ("x\n\r", ["x", ""])):
+        assert list(vault._lines_of(pa.BufferReader(text.encode()))) == want
