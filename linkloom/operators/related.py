@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.strings import wikilink_slug
 from linkloom.operators.changes import number_rows
+from linkloom.operators.relational import tags_of
 from linkloom.session import ensure_checkpoint_dir
 
 # largest group of links that is paired up directly: bounds the pairs at HOT_DEGREE per edge
@@ -413,7 +414,9 @@ def backlink_edges(links: DataFrame, link_tags: DataFrame, k: int = 5, hot_degre
 
     Kept as edges: a target that everything points to would not fit one row.
     """
-    top = related_top(links, link_tags, k, hot_degree=hot_degree)
+    # both ends are parsed and titled, so tags of other links are never paired
+    own = tags_of(link_tags, _targets(links).select(F.col("rel_id").alias("id")))
+    top = related_top(links, own, k, hot_degree=hot_degree)
     sources = _targets(links).select(F.col("rel_id").alias("link_id"), wikilink_slug(F.col("title")).alias("source"))
     return top.join(sources, "link_id").select(F.col("slug").alias("target"), "source").distinct()
 

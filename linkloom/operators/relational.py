@@ -24,6 +24,12 @@ def page_per_key(rows: DataFrame, key: str, order: list[Column], limit: int, off
     return ranked.where((F.col("pos") <= offset + limit) & (F.col("pos") > offset))
 
 
+def tags_of(link_tags: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct (link_id, tag_id) of some links (id). Rows are dealt by link once, for this and for what is grouped by link."""
+    ids = links.select(F.col("id").alias("link_id"))
+    return link_tags.where(F.col("tag_id").isNotNull()).select("link_id", "tag_id").join(ids, "link_id", "left_semi").distinct()
+
+
 def link_tag_names(link_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """(link_id, tags): sorted tag names of each tagged link."""
     named = link_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import notes, strings
 from linkloom.operators import related as rl
 from linkloom.operators.notefiles import NoteStore, opened
-from linkloom.operators.relational import with_collection, with_tags
+from linkloom.operators.relational import tags_of, with_collection, with_tags
 from linkloom.sources.schemas import MANIFEST
 
 # ---- notes -------------------------------------------------------------------------------------
@@ -55,9 +55,11 @@ def export_notes(links: DataFrame, link_tags: DataFrame, tags: DataFrame, collec
                  hot_degree: int = rl.HOT_DEGREE) -> DataFrame:
     """The export stage for all parsed links at once."""
     parsed = links.where(F.col("status") == "parsed")
+    # only parsed links have notes, and only they are related to any: tags of others go before they are named or paired
+    own = tags_of(link_tags, parsed)
     content = F.col("content_md") if "content_md" in links.columns else F.lit(None).cast("string")
-    full = with_tags(with_collection(parsed, collections), link_tags, tags).join(
-        related_slugs(links, link_tags, hot_degree=hot_degree), "id", "left")
+    full = with_tags(with_collection(parsed, collections), own, tags).join(
+        related_slugs(links, own, hot_degree=hot_degree), "id", "left")
     ready = full.withColumns({"content": content, "minutes": F.coalesce("reading_time_min", F.lit(1))})
     return render_notes(ready, as_of)
 

@@ -68,7 +68,7 @@ notes AS (SELECT l.id AS link_id, {_PATH} AS path, {q_stem("coalesce(l.export_fi
 
 
 def link_notes(t):
-    return vault.export_notes(t.full_links, t.link_tags, t.tags, t.collections, as_of())
+    return vault.export_notes(t.full_links, t.tag_edges, t.tags, t.collections, as_of())
 
 
 @query("export_notes", _NOTES + "SELECT link_id, path, slug, collection, content, 'done' AS status FROM notes")

@@ -108,6 +108,10 @@ class Tables:
     links = cached_property(lambda self: self.view("v_links"))
     tags = cached_property(lambda self: self.view("v_tags"))
     link_tags = cached_property(lambda self: self.view("v_link_tags"))
+    #: The rows of v_link_tags with their copies, for operators that look at some links only and drop copies then.
+    tag_edges = cached_property(lambda self: self.base("lineitem").select(
+        F.col("l_orderkey").alias("link_id"), F.col("l_partkey").alias("tag_id")))
+
     @cached_property
     def collections(self) -> DataFrame:
         """Five collections per customer, exploded per row instead of a cross join with orders."""

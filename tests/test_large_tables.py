@@ -1,15 +1,19 @@
-"""What large tables need: no exploded table is broadcast and no file is listed by the driver."""
+"""What large tables need: no exploded table is broadcast, no file is listed by the driver, and no row that is not asked for is paired."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import changes, relational, vault
+from linkloom.operators import changes, related, relational, vault
 from linkloom.plans import vault as plans
 from linkloom.sources.versions import Files
 
 LINES = "page string, part int, key1 string, sub int, key2 string, link_id bigint, line string"
 
 
+def at():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
 def physical(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
@@ -88,3 +92,49 @@ def test_lines_that_go_on_in_the_next_block(monkeypatch, size):
     monkeypatch.setattr(vault, "READ_BYTES", size)
     for text, want in (("a\r\nb\rc\n\nd", ["a", "b", "c", "", "d"]), ("\r\r\n\n", ["", "", ""]), ("ä\r", ["ä"]), ("", []), ("x\n\r", ["x", ""])):
         assert list(vault._lines_of(pa.BufferReader(text.encode()))) == want
+
+
+@pytest.fixture
+def vault_tables(spark):
+    links = spark.createDataFrame(
+        [(1, "One", "parsed"), (2, "Two", "parsed"), (3, "Three", "pending"), (4, None, "parsed"), (5, "Five", "failed")],
+        "id long, title string, status string").selectExpr(
+        "*", "'u' AS url", "1 AS reading_time_min", "null AS collection_id", "null AS export_directory", "null AS export_file_name")
+    links = links.withColumns({c: F.col(c).cast("string") for c in ("export_directory", "export_file_name")}).withColumn(
+        "collection_id", F.col("collection_id").cast("long"))
+    # link 2 has its tag twice, tags of no number and of no link are there
+    edges = spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, 7), (4, 7), (5, 8), (1, 8), (None, 7), (1, None), (9, 7)], "link_id long, tag_id long")
+    return links, edges, spark.createDataFrame([(7, "b"), (8, "a")], "id long, name string"), spark.createDataFrame([], "id long, slug string")
+
+
+def watch(monkeypatch):
+    seen, shared, names = {}, related.top_shared, relational.link_tag_names
+
+    def paired(items, *a, **b):
+        seen["paired"] = sorted(map(tuple, items.collect()))
+        return shared(items, *a, **b)
+
+    def named(link_tags, tags):
+        seen["named"] = sorted(map(tuple, link_tags.collect()))
+        return names(link_tags, tags)
+
+    monkeypatch.setattr(related, "top_shared", paired)
+    monkeypatch.setattr(relational, "link_tag_names", named)
+    return seen
+
+
+def test_only_tags_of_exported_links_are_named_and_paired(vault_tables, monkeypatch):
+    links, edges, tags, collections = vault_tables
+    seen = watch(monkeypatch)
+    got = {r.link_id: r.content for r in vault.export_notes(links, edges, tags, collections, at()).collect()}
+    assert seen == {k: [(1, 7), (1, 8), (2, 7), (4, 7)] for k in ("paired", "named")}
+    assert sorted(got) == [1, 2, 4]
+    related_of = {i: text.split("## Related\n")[1].split() if "## Related" in text else [] for i, text in got.items()}
+    assert related_of == {1: ["[[two]]"], 2: ["[[one]]"], 4: ["[[one]]", "[[two]]"]}
+
+
+def test_only_tags_of_parsed_and_titled_links_make_backlinks(vault_tables, monkeypatch):
+    links, edges, *_ = vault_tables
+    seen = watch(monkeypatch)
+    assert sorted(map(tuple, related.backlink_edges(links, edges).collect())) == [("one", "two"), ("two", "one")]
+    assert seen["paired"] == [(1, 7), (1, 8), (2, 7)]
