@@ -421,12 +421,14 @@ def backlink_edges(links: DataFrame, link_tags: DataFrame, k: int = 5, hot_degre
     return top.join(sources, "link_id").select(F.col("slug").alias("target"), "source").distinct()
 
 
-def graph_lines(edges: DataFrame) -> DataFrame:
-    """Text lines of the graph section, ordered by target then source."""
+def graph_lines(edges: DataFrame, ordered: bool = True) -> DataFrame:
+    """Text lines of the graph section, ordered by target then source unless the caller sorts them with others."""
     line = F.concat(F.lit("- [["), "source", F.lit("]] → [["), "target", F.lit("]]"))
-    return edges.select("target", "source", line.alias("line")).orderBy("target", "source")
+    lines = edges.select("target", "source", line.alias("line"))
+    return lines.orderBy("target", "source") if ordered else lines
 
 
-def mermaid_lines(edges: DataFrame) -> DataFrame:
+def mermaid_lines(edges: DataFrame, ordered: bool = True) -> DataFrame:
     line = F.concat(F.lit("    "), "source", F.lit(" --> "), "target")
-    return edges.select("target", "source", line.alias("line")).orderBy("target", "source")
+    lines = edges.select("target", "source", line.alias("line"))
+    return lines.orderBy("target", "source") if ordered else lines

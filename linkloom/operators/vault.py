@@ -231,9 +231,9 @@ def index_document(manifest: DataFrame, edges: DataFrame, as_of: Column, title:
     # the graph section only exists where there is an edge; a count says so without a global limit
     some = edges.agg(F.count("*").alias("n")).where("n > 0")
     graph_head = _fixed(some, 2, 0, [F.lit("## 🔗 Backlinks Graph"), F.lit("")], page)
-    graph = rl.graph_lines(edges).select(*_line(3, 0, F.col("line"), page, F.col("target"), F.col("source")))
+    graph = rl.graph_lines(edges, ordered=False).select(*_line(3, 0, F.col("line"), page, F.col("target"), F.col("source")))
     chart_head = _fixed(some, 4, 0, [F.lit(""), F.lit("```mermaid"), F.lit("graph LR")], page)
-    chart = rl.mermaid_lines(edges).select(*_line(5, 0, F.col("line"), page, F.col("target"), F.col("source")))
+    chart = rl.mermaid_lines(edges, ordered=False).select(*_line(5, 0, F.col("line"), page, F.col("target"), F.col("source")))
     chart_tail = _fixed(some, 6, 0, [F.lit("```"), F.lit("")], page)
     parts = [head, opened, listed, closed, graph_head, graph, chart_head, chart, chart_tail]
     return reduce(DataFrame.unionByName, parts).orderBy(*LINE_KEYS)

@@ -211,7 +211,7 @@ lines AS (
 
 
 def index_lines(t):
-    return vault.index_document(note_rows(t), rl.backlink_edges(t.links, t.link_tags), as_of())
+    return vault.index_document(note_rows(t), rl.backlink_edges(t.links, t.tag_edges), as_of())
 
 
 @query("index_document", _INDEX + "SELECT '_index.md' AS page, part, key1, sub, key2, link_id, line FROM lines")

@@ -138,3 +138,13 @@ def test_only_tags_of_parsed_and_titled_links_make_backlinks(vault_tables, monke
     seen = watch(monkeypatch)
     assert sorted(map(tuple, related.backlink_edges(links, edges).collect())) == [("one", "two"), ("two", "one")]
     assert seen["paired"] == [(1, 7), (1, 8), (2, 7)]
+
+
+def test_the_index_is_sorted_once(spark):
+    manifest = spark.createDataFrame([(1, "one", "c")], "link_id long, slug string, collection string")
+    edges = spark.createDataFrame([("one", "two"), ("one", "three")], "target string, source string")
+    lines = vault.index_document(manifest, edges, at())
+    assert lines._jdf.queryExecution().analyzed().toString().count("Sort [") == 1
+    assert [r.line for r in lines.collect()][-8:] == [
+        "- [[two]] → [[one]]", "", "```mermaid", "graph LR", "    three --> one", "    two --> one", "```", ""]
+    assert [r.line for r in related.graph_lines(edges).collect()] == ["- [[three]] → [[one]]", "- [[two]] → [[one]]"]
